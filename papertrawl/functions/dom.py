@@ -1,7 +1,7 @@
 """Pages as nested columns, and selectors over them.
 
 parse_dom() turns a page into one struct: its elements in document order (each knows its last descendant,
-so "inside" is a range test), its visible strings and its scripts. Everything after parsing, selectors
+so "inside" is a range test, and its keys: tag, .class and #id), its visible strings and its scripts. Everything after parsing, selectors
 included, is built-in array functions on that struct, so extraction never moves a page between tasks.
 """
 
@@ -9,19 +9,25 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papertrawl.functions.text import blank_to_null, or_blank
+from papertrawl.functions.text import or_blank
+from papertrawl.session import ship_with_tasks
+
+ship_with_tasks(__name__)
 
 ELEMENT = (
     T.StructType()
     .add("idx", T.IntegerType()).add("last", T.IntegerType()).add("parent", T.IntegerType())
-    .add("tag", T.StringType()).add("attrs", T.MapType(T.StringType(), T.StringType()))
+    .add("tag", T.StringType()).add("keys", T.ArrayType(T.StringType()))
+    .add("attrs", T.MapType(T.StringType(), T.StringType()))
 )
 ELEMENTS = T.ArrayType(ELEMENT)
 STRINGS = T.ArrayType(T.StructType().add("el", T.IntegerType()).add("text", T.StringType()))
@@ -31,7 +37,7 @@ _STRING_TYPE = pa.list_(pa.struct([("el", pa.int32()), ("text", pa.string())]))
 _DOM_TYPE = pa.struct([
     ("elements", pa.list_(pa.struct([
         ("idx", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
-        ("attrs", pa.map_(pa.string(), pa.string())),
+        ("keys", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
     ]))),
     ("strings", _STRING_TYPE),
     ("scripts", _STRING_TYPE),
@@ -46,7 +52,7 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements = [{"idx": 0, "last": 0, "parent": -1, "tag": "[document]", "attrs": []}]
+        self.elements = [{"idx": 0, "last": 0, "parent": -1, "tag": "[document]", "keys": [], "attrs": []}]
         self.strings: list[dict] = []
         self.scripts: list[dict] = []
         self.open = [0]
@@ -54,9 +60,9 @@ class _Tree(HTMLParser):
     def handle_starttag(self, tag, attrs):
         idx = len(self.elements)
         values = {name: value or "" for name, value in attrs}
-        self.elements.append(
-            {"idx": idx, "last": idx, "parent": self.open[-1], "tag": tag, "attrs": list(values.items())}
-        )
+        keys = [tag, *("." + c for c in values.get("class", "").split()), "#" + values.get("id", "")]
+        self.elements.append({"idx": idx, "last": idx, "parent": self.open[-1], "tag": tag, "keys": keys,
+                              "attrs": list(values.items())})
         if tag not in _VOID:
             self.open.append(idx)
 
@@ -142,38 +148,25 @@ def jsonld_scripts(dom: Column) -> Column:
 # ---- selectors ------------------------------------------------------------------------------------
 
 _PART = re.compile(
-    r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<attr>[\w-]+)(?P<op>[*^]?=)'(?P<value>[^']*)'\]"
-    r"|:not\(\.(?P<no>[\w-]+)\)|(?P<tag>^[\w-]+)"
+    r"\.[\w-]+|#[\w-]+|\[(?P<attr>[\w-]+)(?P<op>[*^]?=)'(?P<value>[^']*)'\]"
+    r"|:not\(\.(?P<no>[\w-]+)\)|^[\w-]+"
 )
 
 
-def _has_class(el: Column, name: str) -> Column:
-    padded = F.concat(F.lit(" "), F.regexp_replace(attr(el, "class"), r"\s+", " "), F.lit(" "))
-    return F.contains(padded, F.lit(f" {name} "))
-
-
 def _simple(selector: str) -> Callable[[Column], Column]:
     """One compound selector: tag, .class, #id, [attr='v'], [attr*='v'], [attr^='v'], :not(.class)."""
+    def check(el: Column, part: re.Match) -> Column:
+        if part["attr"]:
+            value = attr(el, part["attr"])
+            if part["op"] == "*=":
+                return F.contains(value, F.lit(part["value"]))
+            return value.startswith(part["value"]) if part["op"] == "^=" else value == part["value"]
+        if part["no"]:
+            return ~F.array_contains(el["keys"], "." + part["no"])
+        return F.array_contains(el["keys"], part[0])
+
     def test(el: Column) -> Column:
-        checks = []
-        for part in _PART.finditer(selector):
-            if part["tag"]:
-                checks.append(el["tag"] == part["tag"])
-            elif part["cls"]:
-                checks.append(_has_class(el, part["cls"]))
-            elif part["id"]:
-                checks.append(attr(el, "id") == part["id"])
-            elif part["no"]:
-                checks.append(~_has_class(el, part["no"]))
-            else:
-                value = attr(el, part["attr"])
-                compare = {"=": value == part["value"], "*=": F.contains(value, F.lit(part["value"])),
-                           "^=": value.startswith(part["value"])}
-                checks.append(compare[part["op"]])
-        result = checks[0]
-        for check in checks[1:]:
-            result = result & check
-        return result
+        return reduce(and_, [check(el, part) for part in _PART.finditer(selector)])
 
     return test
 
@@ -198,11 +191,7 @@ def _matches(dom: Column, el: Column, selector: str) -> Column:
 
 
 def matches(dom: Column, el: Column, selector: str) -> Column:
-    tests = [_matches(dom, el, one) for one in selector.split(",")]
-    result = tests[0]
-    for test in tests[1:]:
-        result = result | test
-    return result
+    return reduce(or_, [_matches(dom, el, one) for one in selector.split(",")])
 
 
 def select(dom: Column, selector: str) -> Column:
@@ -219,20 +208,23 @@ def select_cascade(dom: Column, selectors: list[str]) -> Column:
     return F.coalesce(*found, F.array().cast(ELEMENTS))
 
 
+def first_match(dom: Column, selectors: list[str]) -> Column:
+    """First match of the first selector that matches at all."""
+    return F.coalesce(*[select_one(dom, s) for s in selectors])
+
+
 def first_element(dom: Column, selectors: list[str]) -> Column:
     """First match of the first selector whose first match has text."""
-    return F.coalesce(*[
-        bind(select_one(dom, s), lambda el: F.when(text_of(dom, el) != "", el)) for s in selectors
-    ])
+    def with_text(el: Column) -> Column:
+        return F.when(F.exists(dom["strings"], lambda s: s["el"].between(el["idx"], el["last"])), el)
+
+    return F.coalesce(*[bind(select_one(dom, s), with_text) for s in selectors])
 
 
 def first_filled_text(dom: Column, selectors: list[str]) -> Column:
-    """Text of that element."""
-    return or_blank(F.coalesce(*[blank_to_null(text_of(dom, select_one(dom, s))) for s in selectors]))
+    return text_of(dom, first_element(dom, selectors))
 
 
 def first_text(dom: Column, selectors: list[str]) -> Column:
     """Text of the first selector that matches, even when that text is blank."""
-    return or_blank(F.coalesce(*[
-        bind(select_one(dom, s), lambda el: F.when(el.isNotNull(), text_of(dom, el, ""))) for s in selectors
-    ]))
+    return text_of(dom, first_match(dom, selectors), "")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["contacts", "leads"]
+SUBJECTS = ["contacts", "leads", "products"]
 
 
 def _modules():

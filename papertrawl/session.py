@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -59,3 +61,8 @@ def with_local_timers(spark: SparkSession) -> SparkSession:
     for key in ("spark.sql.session.timeZone", "spark.sql.streaming.stateStore.providerClass"):
         spark.conf.set(key, SETTINGS[key])
     return spark
+
+
+def ship_with_tasks(module_name: str) -> None:
+    """Send this module's functions along with the tasks, so executors need no installed package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
