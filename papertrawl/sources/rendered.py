@@ -237,7 +237,7 @@ def invoice_text(spark: SparkSession, sf: str) -> DataFrame:
                 F.concat(
                     F.lit("Item "), F.col("l_linenumber"), F.lit(" no "), F.col("l_partkey"), F.lit(" "),
                     F.col("p_name"), F.lit(" ₹"),
-                    F.format_number(F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2), 2),
+                    F.format_number(F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100, 2),
                     F.lit(" each ₹"), F.format_number("l_extendedprice", 2),
                 ).alias("line"),
             ).alias("row"),
@@ -301,7 +301,7 @@ def statement_text(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\n"), F.when(d % 7 == 6, F.lit("")).otherwise(F.concat(F.lit("Account Holder: Firm "), letters(d), F.lit("\n"))),
         F.lit("IFSC: ABCD0"), F.lpad(d.cast("string"), 6, "0"),
         F.lit("\nPeriod: "), F.date_format("first_day", "dd/MM/yyyy"), F.lit(" to "),
-        F.date_format("last_day", "dd/MM/yyyy"), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n"),
+        F.date_format("last_day", "dd/MM/yyyy"), F.lit("\nBooked lines:\n"), F.array_join("lines", "\n"), F.lit("\n"),
     )
     return statements.select("doc_id", text.alias("text"))
 
@@ -321,8 +321,8 @@ def statement_rows(spark: SparkSession, sf: str) -> DataFrame:
     first_lines = rows.filter(k % STATEMENT_LINES == 0)
     d = F.col("doc_id")
     headings = F.array(
-        F.array(F.concat(F.lit("Bank Asia statement Account No: "), F.lpad(d.cast("string"), 10, "0"))),
         F.array(F.concat(F.lit("Customer Name: Firm "), letters(d))),
+        F.array(F.concat(F.lit("1 Bank Asia statement Account No: "), F.lpad(d.cast("string"), 10, "0"))),
         F.array(F.lit("Trans Date"), F.lit("Narration"), F.lit("Debit"), F.lit("Credit"), F.lit("Balance")),
     )
     head = first_lines.select(
