@@ -132,7 +132,7 @@ def document_metrics(regions: DataFrame) -> DataFrame:
         (F.max("last_page") + 1).alias("page_count"),
     ).select(
         "doc_id", "page_count", F.col("top.engine").alias("engine_used"), "fallback_triggered", "characters_extracted",
-        "regions", "tokens", F.round(F.col("conf").cast("double") / F.col("regions"), 4).alias("avg_confidence"),
+        "regions", "tokens", F.round(F.col("conf") / F.col("regions"), 4).cast("double").alias("avg_confidence"),
     )
 
 
