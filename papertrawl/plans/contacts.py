@@ -7,37 +7,37 @@ from pyspark.sql import functions as F
 from papertrawl.functions import contacts as C
 from papertrawl.functions import text as T
 from papertrawl.operators import directory as ops
-from papertrawl.sources.tables import table
+from papertrawl.sources.tables import spread, table
 
 
 def contact_phones(spark, sf):
-    found = ops.contacts(table(spark, sf, "documents"), "doc_id", "text")
+    found = ops.contacts(spread(table(spark, sf, "documents")), "doc_id", "text")
     return found.filter("kind = 'phone'").select("doc_id", "rank", F.col("value").alias("phone"))
 
 
 def contact_emails(spark, sf):
-    found = ops.contacts(table(spark, sf, "documents"), "doc_id", "text")
+    found = ops.contacts(spread(table(spark, sf, "documents")), "doc_id", "text")
     return found.filter("kind = 'email'").select("doc_id", "rank", F.col("value").alias("email"))
 
 
 def contact_index(spark, sf):
-    found = ops.contacts(table(spark, sf, "documents"), "doc_id", "text")
+    found = ops.contacts(spread(table(spark, sf, "documents")), "doc_id", "text")
     return ops.contact_index(found, "doc_id")
 
 
 def contact_coverage(spark, sf):
-    return ops.contact_coverage(table(spark, sf, "documents"), "source", "text")
+    return ops.contact_coverage(spread(table(spark, sf, "documents")), "source", "text")
 
 
 def page_contacts(spark, sf):
     phone, email = ops.best_contact("html")
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", T.or_blank(phone).alias("phone"), T.or_blank(email).alias("email")
     )
 
 
 def ip_like_phones(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return docs.select("doc_id", "text", F.explode(C.phones("text")).alias("phone")).select(
         "doc_id", "phone", C.looks_like_ip("phone", "text").alias("is_ip_like")
     )
@@ -52,7 +52,7 @@ def dedup_keys(spark, sf):
 
 
 def url_parts(spark, sf):
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages")).select(
         "page_id", T.url_host("url").alias("host"), T.bare_host("url").alias("bare_host"),
         T.site_base("url").alias("site"), T.url_path("url").alias("path"),
         C.excluded_host(T.url_host("url")).alias("excluded"),

@@ -11,7 +11,7 @@ from papertrawl.operators import lead_reports as R
 from papertrawl.operators import leads as L
 from papertrawl.operators import ranking
 from papertrawl.sources import rendered, tables
-from papertrawl.sources.tables import table
+from papertrawl.sources.tables import spread, table
 
 KEY = ["source", "item"]
 
@@ -193,14 +193,14 @@ def listing_cards(spark, sf):
 
 def heading_leads(spark, sf):
     """Headings of the whole page table; compared by rows only, brute force in the tests."""
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages")).select(
         "page_id", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
     )
     return L.leads_from_headings(pages).select("page_id", "item", "company_name", "phone", "email")
 
 
 def service_cards(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages")).select(
         "page_id", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
     )
     return L.leads_from_services(pages).select("page_id", "item", "company_name", "phone", "email", "address")
@@ -213,7 +213,7 @@ def serp_leads(spark, sf):
 
 def serp_links(spark, sf):
     """Pages without result items: their links to outside hosts."""
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages")).select(
         "page_id", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
     )
     return L.leads_from_serp(pages).select("page_id", "item", "company_name", "website")
@@ -224,7 +224,7 @@ def site_search_urls(spark, sf):
 
 
 def business_page_leads(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages")).select(
         "page_id", "url", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
     )
     return L.lead_from_page(pages, "justdial").select("page_id", "company_name", "phone", "email", "website")

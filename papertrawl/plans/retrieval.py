@@ -7,30 +7,30 @@ from pyspark.sql import functions as F
 from papertrawl.operators import chunks as K
 from papertrawl.operators import ranking
 from papertrawl.operators import search as S
-from papertrawl.sources.tables import table
+from papertrawl.sources.tables import spread, table
 
 
 def chunks(spark, sf):
-    return K.chunk_documents(table(spark, sf, "documents")).select(
+    return K.chunk_documents(spread(table(spark, sf, "documents"))).select(
         "doc_id", "chunk_index", F.md5("text").alias("text_hash"), F.length("text").alias("chars"), "is_contained"
     )
 
 
 def small_chunks(spark, sf):
-    return K.chunk_documents(table(spark, sf, "documents"), tokens=64, overlap=16).select(
+    return K.chunk_documents(spread(table(spark, sf, "documents")), tokens=64, overlap=16).select(
         "doc_id", "chunk_index", "start", F.length("text").alias("chars")
     )
 
 
 def chunk_stats(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     return K.chunk_documents(docs).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.max(F.length("text")).alias("longest")
     )
 
 
 def chunk_index(spark, sf):
-    index = K.build_index(table(spark, sf, "documents"))
+    index = K.build_index(spread(table(spark, sf, "documents")))
     return index.select(
         "doc_id", "chunk_index", F.size("embedding").alias("dims"),
         F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 3).alias("length"),
@@ -72,7 +72,7 @@ def vector_topk_filtered(spark, sf):
 
 def text_search(spark, sf):
     """Benchmark texts as questions over all document chunks, with hashed vectors."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     index = K.build_index(docs).select(
         F.col("doc_id").alias("document_id"), (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"),
         "text", "embedding",
@@ -85,7 +85,7 @@ def text_search(spark, sf):
 
 def prompts(spark, sf):
     """Prompts from the sources that mention the question's own text; hashed vectors."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     index = K.build_index(docs).select(
         F.col("doc_id").alias("document_id"), (F.col("doc_id") * 1_000_000 + F.col("chunk_index")).alias("chunk_id"),
         "text", "embedding",

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertrawl import fixed_values as fv
-from papertrawl.sources.tables import table
+from papertrawl.sources.tables import spread, table
 
 STATEMENT_LINES = 20
 
@@ -84,7 +84,7 @@ def contact_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("/about").alias("path"), about.alias("html")),
         F.struct(F.lit("/").alias("path"), home.alias("html")),
     )
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         F.concat(F.lit("https://www.firm"), k, F.lit(".in")).alias("site"), F.inline(pages)
     )
 
@@ -107,7 +107,7 @@ def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
         spelled, F.lit("</strong> 8"), digits, F.lit("</div>"),
     )
     body = F.when(k % 4 == 3, headings).otherwise(cards)
-    return table(spark, sf, "customer").select(
+    return spread(table(spark, sf, "customer")).select(
         k.alias("page_id"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"),
         F.lit("importer").alias("category"), F.lit("Mumbai").alias("city"),
     )
@@ -125,7 +125,7 @@ def serp_pages(spark: SparkSession, sf: str) -> DataFrame:
         k, F.lit('">same</a><a href="https://www.justdial.com/two'), k, F.lit('">two</a>'),
     )
     filler = F.when(k % 3 == 2, F.lit("")).otherwise(F.repeat(F.lit("<!-- filler -->"), 400))
-    return table(spark, sf, "supplier").select(
+    return spread(table(spark, sf, "supplier")).select(
         k.alias("page_id"),
         F.concat(F.lit('<html><body><ol id="b_results">'), item, F.lit("</ol>"), filler,
                  F.lit("</body></html>")).alias("html"),
@@ -210,7 +210,7 @@ def product_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("/p/ITM"), k)
     )
     return (
-        table(spark, sf, "part")
+        spread(table(spark, sf, "part"))
         .withColumn("platform", _pick(PART_PLATFORMS, k % 8))
         .select(
             k.alias("item"), "platform",
@@ -336,7 +336,7 @@ WORDS_PER_REGION, REGIONS_PER_PAGE = 40, 5
 
 def ocr_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words of documents as three engines might have read them, with confidences derived from position."""
-    words = table(spark, sf, "documents").select(
+    words = spread(table(spark, sf, "documents")).select(
         "doc_id", F.posexplode(F.split("text", r"\s+")).alias("word_idx", "text")
     ).filter(F.col("text") != "")
     region_no = F.floor(F.col("word_idx") / WORDS_PER_REGION)

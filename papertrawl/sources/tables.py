@@ -33,6 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that has fewer splits than the session has cores, dealt out evenly.
+
+    For work that is heavy per row. Scans of large tables have splits enough and are left alone: their
+    texts are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def categories(spark: SparkSession) -> DataFrame:
     rows = [(i, *row) for i, row in enumerate(fv.CATEGORIES)]
     return spark.createDataFrame(
