@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from papertrawl import fixed_values as fv
 from papertrawl.functions import text as T
 from papertrawl.functions.dom import bind
+from papertrawl.operators.once import compute_once
 
 ENGINE = "invoice_extractor"
 HEADER = ["invoice_number", "invoice_date", "due_date", "vendor", "buyer", "subtotal", "tax", "total"]
@@ -171,7 +172,7 @@ def read_invoices(docs: DataFrame) -> DataFrame:
         for p in fv.INVOICE_TOTAL
     ]
     taxes = [_hit(T.number(T.group(text, p)), 0.86) for p in fv.INVOICE_TAX]
-    first = docs.withColumn("brand", detect_brand("text")).withColumns({
+    first = compute_once(docs, {"brand": detect_brand("text")}).withColumns({
         "number": _either(_brand_hit("invoice_number"), _hit(T.first_group(text, fv.INVOICE_NUMBER), fv.FOUND)),
         "order_number": F.coalesce(
             _brand_hit("order_number")["value"],

@@ -321,6 +321,12 @@ def lead_from_page(pages: DataFrame, source: str) -> DataFrame:
     ).drop("_text")
 
 
+def leads_from_site_search(searches: DataFrame, pages: DataFrame, source: str = "justdial") -> DataFrame:
+    """Search pages (with category and city) to the linked pages (url, html) to leads; html is joined once."""
+    urls = search_result_urls(searches).withColumnRenamed("item", "task")
+    return lead_from_page(urls.join(pages.select("url", "html"), "url"), source)
+
+
 # ---- collecting -----------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertrawl import fixed_values as fv
-from papertrawl.functions import vectors as V
 from papertrawl.operators.ranking import number_rows, ranked_per_key
 from papertrawl.session import ship_with_tasks
 
@@ -26,28 +26,43 @@ def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / np.where(usable, lengths, 1.0)[:, None], usable
 
 
-def _best_of_batches(ids: list, queries: np.ndarray, k: int):
-    """Per batch of chunks: the k best of every query, by similarity and then id."""
-    unit_queries, _ = _unit_rows(queries)
+def _best_of_batches(ids: list, queries: np.ndarray, k: int, restricted: bool):
+    """Per batch of chunks: the k best of every query, by similarity and then id.
+
+    When restricted, each chunk names the queries that may see it.
+    """
+    unit_queries, asked = _unit_rows(queries)
+    sorted_ids = np.array(ids, dtype=np.int64)
+
+    def visible(rows: pa.RecordBatch) -> np.ndarray:
+        """Which query may see which chunk of a batch."""
+        lists = rows.column("qids")
+        owners = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
+        wanted = lists.flatten().to_numpy(zero_copy_only=False)
+        slot = np.minimum(np.searchsorted(sorted_ids, wanted), len(sorted_ids) - 1)
+        known = sorted_ids[slot] == wanted
+        seen = np.zeros((len(sorted_ids), rows.num_rows), dtype=bool)
+        seen[slot[known], owners[known]] = True
+        return seen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding")
-            keep = np.asarray(vectors.is_valid())
-            if not keep.any():
+            rows = batch.filter(batch.column("embedding").is_valid())
+            if not rows.num_rows:
                 continue
-            rows = batch.filter(pa.array(keep))
             flat = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             unit, usable = _unit_rows(flat.reshape(rows.num_rows, -1))
-            chunk_ids = rows.column("chunk_id").to_numpy(zero_copy_only=False)[usable]
-            scores = unit_queries @ unit[usable].T
-            if not len(chunk_ids):
-                continue
+            chunk_ids = rows.column("chunk_id").to_numpy(zero_copy_only=False)
+            scores = unit_queries @ unit.T
+            allowed = np.broadcast_to(usable, scores.shape) & asked[:, None]
+            if restricted:
+                allowed = allowed & visible(rows)
+            scores = np.where(allowed, scores, -np.inf)
             qids, found, similarity = [], [], []
             for qid, row in zip(ids, scores):
                 # everything at or above the k-th best, so that ties are settled by id
                 edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                near = np.flatnonzero(row >= edge)
+                near = np.flatnonzero((row >= edge) & (row > -np.inf))
                 top = near[np.lexsort((chunk_ids[near], -row[near]))][:k]
                 qids += [qid] * len(top)
                 found.append(chunk_ids[top])
@@ -59,60 +74,57 @@ def _best_of_batches(ids: list, queries: np.ndarray, k: int):
     return run
 
 
-def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = fv.TOP_K) -> DataFrame:
+def vector_topk(
+    queries: DataFrame, chunks: DataFrame, k: int = fv.TOP_K, allowed: DataFrame | None = None,
+    slice_bytes: int = SLICE_BYTES,
+) -> DataFrame:
     """(qid, place, chunk_id, similarity): exact k nearest chunks of every query by cosine.
 
-    queries: qid bigint, vector. chunks: chunk_id bigint, embedding. Every task multiplies its batches with
-    the query matrix and forwards only k rows per query and batch, so no pair table is ever made. The query
-    side is cut into slices of bounded size; many slices mean several passes over the chunks.
+    queries: qid bigint, vector. chunks: chunk_id bigint, embedding, and document_id when allowed is given.
+    allowed: (qid, document_id), the documents each query may see. Zero vectors match nothing.
+
+    Every task multiplies its batches with the query matrix and forwards only k rows per query and batch, so
+    no table of pairs is made. The queries are cut into slices of bounded size; many slices mean several
+    passes over the chunks.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if not size["n"]:
-        return _empty_topk(chunks)
-    per_slice = max(1, SLICE_BYTES // (8 * max(1, size["d"])))
+        return chunks.sparkSession.createDataFrame([], "qid bigint, chunk_id bigint, similarity double, place int")
+    per_slice = max(1, slice_bytes // (8 * max(1, size["d"])))
     slices = -(-size["n"] // per_slice)
-    vectors = chunks.select("chunk_id", "embedding")
+
+    def in_slice(df: DataFrame, i: int) -> DataFrame:
+        return df.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i) if slices > 1 else df
+
     parts = []
     for i in range(slices):
-        mine = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(slices)) == i) if slices > 1 else queries
-        rows = mine.select("qid", "vector").collect()
-        if rows:
-            matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
-            parts.append(vectors.mapInArrow(
-                _best_of_batches([r["qid"] for r in rows], matrix, k),
-                "qid bigint, chunk_id bigint, similarity double",
-            ))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return _top(found, k)
+        rows = sorted(in_slice(queries.select("qid", "vector"), i).collect(), key=lambda r: r["qid"])
+        if not rows:
+            continue
+        vectors = chunks.select("chunk_id", "embedding")
+        if allowed is not None:
+            seen_by = in_slice(allowed, i).groupBy("document_id").agg(F.collect_set("qid").alias("qids"))
+            vectors = chunks.join(seen_by, "document_id").select("chunk_id", "embedding", "qids")
+        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
+        parts.append(vectors.mapInArrow(
+            _best_of_batches([r["qid"] for r in rows], matrix, k, allowed is not None),
+            "qid bigint, chunk_id bigint, similarity double",
+        ))
+    return _top(reduce(DataFrame.unionByName, parts), k)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     return ranked_per_key(found, ["qid"], [F.desc("similarity"), F.asc("chunk_id")], k, "place")
 
 
-def _empty_topk(chunks: DataFrame) -> DataFrame:
-    return chunks.sparkSession.createDataFrame([], "qid bigint, chunk_id bigint, similarity double, place int")
-
-
 def filtered_topk(
     queries: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int = fv.TOP_K,
     least: float | None = fv.MIN_SIMILARITY,
 ) -> DataFrame:
-    """Top k among each query's own documents, then only those above the least similarity (at most k rows).
-
-    allowed: (qid, document_id). Only allowed pairs meet, and each map task keeps k of them per query.
-    """
-    pairs = (
-        chunks.filter(F.col("embedding").isNotNull())
-        .join(allowed, "document_id")
-        .join(queries, "qid")
-        .select("qid", "document_id", "chunk_id", V.cosine_similarity("vector", "embedding").alias("similarity"))
-        .filter(F.col("similarity").isNotNull())
-    )
-    top = _top(pairs, k)
-    return top if least is None else top.filter(F.col("similarity") > least)
+    """Top k among each query's own documents, then only those above the least similarity (at most k rows)."""
+    top = vector_topk(queries, chunks, k, allowed)
+    top = top if least is None else top.filter(F.col("similarity") > least)
+    return top.join(chunks.select("chunk_id", "document_id"), "chunk_id")
 
 
 def chunk_sources(top: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

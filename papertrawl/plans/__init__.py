@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-SUBJECTS = ["contacts", "leads", "products", "invoices", "statements", "retrieval", "classify", "ocr", "jobs"]
+SUBJECTS = ["contacts", "leads", "products", "invoices", "statements", "retrieval", "classify", "ocr", "jobs", "pages"]
 
 
 def _modules():

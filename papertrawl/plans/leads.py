@@ -223,6 +223,19 @@ def site_search_urls(spark, sf):
     return L.search_result_urls(rendered.serp_pages(spark, sf)).select("page_id", "item", "url")
 
 
+def site_search_leads(spark, sf):
+    """Search pages joined to the pages they link to."""
+    return L.leads_from_site_search(rendered.serp_pages(spark, sf), rendered.linked_pages(spark, sf)).select(
+        "url", "task", "company_name", "phone", "website", "source"
+    )
+
+
+def sorted_cities(spark, sf):
+    """Cities by label with the number of listings in them."""
+    counts = rendered.lead_listings(spark, sf).groupBy("city").agg(F.count(F.lit(1)).alias("listings"))
+    return tables.cities(spark).join(counts, "city", "left").select("city", "region", "listings").orderBy("city")
+
+
 def business_page_leads(spark, sf):
     pages = spread(table(spark, sf, "pages")).select(
         "page_id", "url", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
@@ -235,7 +248,8 @@ QUERIES = {f.__name__: f for f in (
     lead_counts, lead_sorted_counts, lead_dims, segment_summary, segment_keys, high_priority,
     high_priority_fallback, lead_filters, lead_page, lead_page_envelope, lead_report, lead_numbers,
     lead_storage_rows, lead_view, lead_export, clean_requests, request_grid, known_categories, gated_sources,
-    listing_cards, heading_leads, service_cards, serp_leads, serp_links, site_search_urls, business_page_leads,
+    listing_cards, heading_leads, service_cards, serp_leads, serp_links, site_search_urls, site_search_leads,
+    sorted_cities, business_page_leads,
 )}
 
 # ---- the same in DuckDB ---------------------------------------------------------------------------
@@ -403,4 +417,8 @@ ORACLES = {
     "site_search_urls": """SELECT s_suppkey AS page_id, i AS item,
         'https://www.justdial.com/' || ['one', 'two'][i + 1] || s_suppkey AS url FROM supplier, range(2) r(i)""",
 }
+ORACLES["site_search_leads"] = """SELECT 'https://www.justdial.com/one' || s_suppkey AS url, 0 AS task, s_name AS company_name,
+    '9' || lpad(s_suppkey::VARCHAR, 9, '0') AS phone, 'https://www.justdial.com/one' || s_suppkey AS website, 'justdial' AS source FROM supplier"""
+ORACLES["sorted_cities"] = _with(f"""SELECT city, {sql_map(fv.CITIES)}[city] AS region, n AS listings FROM
+    (SELECT unnest({_CITIES}) AS city) LEFT JOIN (SELECT city, count(*) AS n FROM listings GROUP BY city) USING (city)""")
 ORACLES["lead_sorted_counts"] = ORACLES["lead_counts"]

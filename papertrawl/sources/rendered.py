@@ -133,6 +133,18 @@ def serp_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The first page each search page links to."""
+    k = F.col("s_suppkey")
+    html = F.concat(
+        F.lit("<html><head><title>T</title></head><body><h1> "), F.col("s_name"), F.lit(" | Directory</h1><p>Phone +91 9"),
+        F.lpad(k.cast("string"), 9, "0"), F.lit("</p></body></html>"),
+    )
+    return spread(table(spark, sf, "supplier")).select(
+        F.concat(F.lit("https://www.justdial.com/one"), k).alias("url"), html.alias("html")
+    )
+
+
 PART_PLATFORMS = ["amazon", "flipkart", "amazon", "flipkart", "manual", "flipkart", "swiggy", "zomato"]
 PART_LAYOUTS = ["jsonld", "state", "page", "page", "page", "api", "payload", "page"]
 
@@ -216,8 +228,10 @@ def product_pages(spark: SparkSession, sf: str) -> DataFrame:
             k.alias("item"), "platform",
             F.when(F.col("platform") == "manual", "myntra").alias("brand_hint"),
             F.concat(F.lit("https://shop.example"), path).alias("url"),
-            F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"),
-            F.when(layout == "api", api).when(layout == "payload", menu).alias("payload"),
+            F.inline(F.array(F.struct(
+                F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"),
+                F.when(layout == "api", api).when(layout == "payload", menu).alias("payload"),
+            ))),
         )
     )
 
@@ -261,7 +275,7 @@ def invoice_text(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\nTotal Amount: ₹"), F.format_number(F.col("amount") + F.col("tax"), 2), F.lit("\n"),
     )
     return invoices.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_suppkey").alias("doc_id"), text.alias("text")
+        F.concat_ws("-", "l_orderkey", "l_suppkey").alias("doc_id"), F.explode(F.array(text)).alias("text")
     )
 
 
@@ -303,7 +317,7 @@ def statement_text(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("\nPeriod: "), F.date_format("first_day", "dd/MM/yyyy"), F.lit(" to "),
         F.date_format("last_day", "dd/MM/yyyy"), F.lit("\nBooked lines:\n"), F.array_join("lines", "\n"), F.lit("\n"),
     )
-    return statements.select("doc_id", text.alias("text"))
+    return statements.select("doc_id", F.explode(F.array(text)).alias("text"))
 
 
 def statement_rows(spark: SparkSession, sf: str) -> DataFrame:
