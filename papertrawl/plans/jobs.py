@@ -8,6 +8,7 @@ from papertrawl.functions import text as T
 from papertrawl.operators import jobs as J
 from papertrawl.operators import products as P
 from papertrawl.plans.contacts import email_rows_sql, phone_rows_sql
+from papertrawl.plans.retrieval import chunk_sql
 from papertrawl.session import scratch_path
 from papertrawl.sources import files, rendered, sinks
 from papertrawl.sources.tables import table
@@ -232,7 +233,15 @@ def _spaced_sql(key: str, interval: str) -> str:
 
 
 _P, _E = phone_rows_sql("documents", "doc_id", "text"), email_rows_sql("documents", "doc_id", "text")
+def _chunk_rows(tokens: int, overlap: int) -> str:
+    return f"SELECT * FROM (WITH {chunk_sql(tokens * 4, overlap * 4)} SELECT doc_id, length(piece) AS n FROM kept)"
+
+
 ORACLES = {
+    "replaced_index": f"""WITH k AS (SELECT * FROM ({_chunk_rows(512, 128)}) WHERE doc_id % 3 <> 0
+        UNION ALL SELECT * FROM ({_chunk_rows(256, 64)}) WHERE doc_id % 3 = 0),
+        g AS (SELECT doc_id, count(*) AS chunks, sum(n)::BIGINT AS chars FROM k GROUP BY doc_id)
+      SELECT d.doc_id, g.doc_id IS NOT NULL AS is_indexed, chunks, chars FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
     "job_latest_state": f"WITH {_EV} SELECT job_id, status, progress, {_SEC.format('updated_at')} AS updated_at, events FROM states",
     "last_n_events": _LAST,
     "job_timeouts": f"""WITH {_EV}, late AS (SELECT job_id, ts, event_id FROM ev JOIN agg USING (job_id) WHERE event = 'progress' AND ts > created_at + INTERVAL 900 SECOND

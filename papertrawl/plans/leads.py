@@ -192,18 +192,16 @@ def listing_cards(spark, sf):
 
 
 def heading_leads(spark, sf):
-    """Headings of the whole page table; compared by rows only, brute force in the tests."""
-    pages = spread(table(spark, sf, "pages")).select(
-        "page_id", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
+    """Listing pages read by their headings only."""
+    return L.leads_from_headings(rendered.listing_pages(spark, sf).filter("page_id % 4 = 3")).select(
+        "page_id", "item", "company_name", "phone", "email"
     )
-    return L.leads_from_headings(pages).select("page_id", "item", "company_name", "phone", "email")
 
 
 def service_cards(spark, sf):
-    pages = spread(table(spark, sf, "pages")).select(
-        "page_id", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
+    return L.leads_from_services(rendered.service_pages(spark, sf)).select(
+        "page_id", "item", "company_name", "phone", "email", "address"
     )
-    return L.leads_from_services(pages).select("page_id", "item", "company_name", "phone", "email", "address")
 
 
 def serp_leads(spark, sf):
@@ -213,10 +211,7 @@ def serp_leads(spark, sf):
 
 def serp_links(spark, sf):
     """Pages without result items: their links to outside hosts."""
-    pages = spread(table(spark, sf, "pages")).select(
-        "page_id", "html", F.lit("importer").alias("category"), F.lit("Mumbai").alias("city")
-    )
-    return L.leads_from_serp(pages).select("page_id", "item", "company_name", "website")
+    return L.leads_from_serp(rendered.link_pages(spark, sf)).select("page_id", "item", "company_name", "website")
 
 
 def site_search_urls(spark, sf):
@@ -417,6 +412,12 @@ ORACLES = {
     "site_search_urls": """SELECT s_suppkey AS page_id, i AS item,
         'https://www.justdial.com/' || ['one', 'two'][i + 1] || s_suppkey AS url FROM supplier, range(2) r(i)""",
 }
+ORACLES["heading_leads"] = f"SELECT page_id, item, company_name, phone, email FROM ({ORACLES['listing_cards']}) WHERE page_id % 4 = 3"
+ORACLES["service_cards"] = """SELECT s_suppkey AS page_id, 0 AS item, s_name AS company_name, '9' || lpad(s_suppkey::VARCHAR, 9, '0') AS phone,
+    'desk' || s_suppkey || '@house.in' AS email, 'Lane ' || s_suppkey AS address FROM supplier"""
+ORACLES["serp_links"] = """SELECT s_suppkey AS page_id, 0 AS item, 'Firm ' || translate(s_suppkey::VARCHAR, '0123456789', 'abcdefghij') AS company_name,
+    'https://www.firm' || s_suppkey || '.in/a' AS website FROM supplier
+    UNION ALL SELECT s_suppkey, 1, 'Other house', 'http://other' || s_suppkey || '.in' FROM supplier"""
 ORACLES["site_search_leads"] = """SELECT 'https://www.justdial.com/one' || s_suppkey AS url, 0 AS task, s_name AS company_name,
     '9' || lpad(s_suppkey::VARCHAR, 9, '0') AS phone, 'https://www.justdial.com/one' || s_suppkey AS website, 'justdial' AS source FROM supplier"""
 ORACLES["sorted_cities"] = _with(f"""SELECT city, {sql_map(fv.CITIES)}[city] AS region, n AS listings FROM

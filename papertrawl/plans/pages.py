@@ -58,14 +58,18 @@ def sql_elements(spark, sf):
     register(spark)
     spread(table(spark, sf, "pages")).createOrReplaceTempView("papertrawl_pages")
     return spark.sql("""
-        SELECT page_id, e.tag, count(*) AS elements, max(length(e.text)) AS longest
+        SELECT page_id, e.tag, count(*) AS elements
         FROM papertrawl_pages p, LATERAL html_elements(p.html) e GROUP BY page_id, e.tag""")
 
 
 QUERIES = {f.__name__: f for f in (html_elements, page_titles, page_links, sql_functions, sql_chunks, sql_elements)}
 
 _TITLE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<{0}>(.*?)</{0}>', 1), '&amp;', '&', 'g'), '&lt;', '<', 'g'), '&gt;', '>', 'g'))"
+_TAGS = """SELECT page_id, tag, count(*) AS elements FROM (
+    SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY ALL"""
 ORACLES = {
+    "html_elements": _TAGS,
+    "sql_elements": _TAGS,
     "page_titles": f"SELECT page_id, {_TITLE.format('title')} AS title, {_TITLE.format('h1')} AS heading FROM pages",
     "page_links": r"""SELECT page_id, i - 1 AS pos, regexp_extract(l[i], 'href="([^"]*)"', 1) AS href, regexp_extract(l[i], '">([^<]*)<', 1) AS label
       FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="/[^"]*">[^<]*</a>', 0) AS l FROM pages), range(1, 2000) r(i) WHERE i <= len(l)""",

@@ -143,7 +143,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _chunk_sql(size: int, back: int) -> str:
+def chunk_sql(size: int, back: int) -> str:
     blank = f"(off + {size} - strpos(reverse(text[off + 1:off + {size}]), ' '))"
     usable = f"strpos(reverse(text[off + 1:off + {size}]), ' ') > 0 AND {blank} - {back} > off"
     strip = r"regexp_replace(text[off + 1:stop], '^[\s\x{85}\x{a0}]+|[\s\x{85}\x{a0}]+$', '', 'g')"
@@ -158,14 +158,16 @@ def _chunk_sql(size: int, back: int) -> str:
     kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS chunk_index FROM parts WHERE length(piece) > 20)"""
 
 
-_BIG = _chunk_sql(2048, 512)
+_BIG = chunk_sql(2048, 512)
 _CENTROIDS = """v AS (SELECT vec_id AS chunk_id, label::BIGINT AS document_id, embedding::DOUBLE[] AS e FROM embeddings),
   q AS (SELECT document_id AS qid, list(mean ORDER BY pos) AS vector FROM (
     SELECT document_id, pos, avg(e[pos]) AS mean FROM v, range(1, 65) r(pos) GROUP BY ALL) GROUP BY ALL)"""
 _SIM = "list_cosine_similarity(e, vector)"
 ORACLES = {
+    "chunk_index": f"""WITH {_BIG} SELECT doc_id, chunk_index, 256 AS dims,
+        CASE WHEN regexp_matches(left(piece, 8000), '[\\pL\\pN_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM kept""",
     "chunks": f"WITH {_BIG} SELECT doc_id, chunk_index, md5(piece) AS text_hash, length(piece) AS chars, inside AS is_contained FROM kept",
-    "small_chunks": f"WITH {_chunk_sql(256, 64)} SELECT doc_id, chunk_index, off AS start, length(piece) AS chars FROM kept",
+    "small_chunks": f"WITH {chunk_sql(256, 64)} SELECT doc_id, chunk_index, off AS start, length(piece) AS chars FROM kept",
     "chunk_stats": f"WITH {_BIG} SELECT doc_id, count(*) AS chunks, max(length(piece)) AS longest FROM kept GROUP BY doc_id",
     "vector_topk": f"""WITH {_CENTROIDS} SELECT qid, place, chunk_id, round(s, 6) AS similarity FROM (
         SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, chunk_id) AS place FROM (SELECT qid, chunk_id, {_SIM} AS s FROM q, v))

@@ -133,6 +133,32 @@ def serp_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def service_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page of service providers per supplier: two cards, the second without a name."""
+    k = F.col("s_suppkey")
+    html = F.concat(
+        F.lit('<html><body><div class="sp-card"><h2> '), F.col("s_name"), F.lit(' | Top Rated</h2><p>Dial +91 9'),
+        F.lpad(k.cast("string"), 9, "0"), F.lit(" or write to desk"), k, F.lit('@house.in</p><div class="address">Lane '), k,
+        F.lit('</div></div><div class="sp-card"><p>no name</p></div></body></html>'),
+    )
+    return spread(table(spark, sf, "supplier")).select(
+        k.alias("page_id"), html.alias("html"), F.lit("accounting").alias("category"), F.lit("Pune").alias("city")
+    )
+
+
+def link_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page of plain links per supplier: own site twice, a social network, a short label, another site."""
+    k = F.col("s_suppkey")
+    html = F.concat(
+        F.lit('<html><body><a href="https://www.firm'), k, F.lit('.in/a">Firm '), letters(k), F.lit('</a><a href="https://firm'), k,
+        F.lit('.in/b">Same firm</a><a href="https://www.facebook.com/x">Social page</a><a href="https://z'), k,
+        F.lit('.in">abc</a><a href="/local">Local page</a><a href="http://other'), k, F.lit('.in">Other house</a></body></html>'),
+    )
+    return spread(table(spark, sf, "supplier")).select(
+        k.alias("page_id"), html.alias("html"), F.lit("trader").alias("category"), F.lit("Pune").alias("city")
+    )
+
+
 def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The first page each search page links to."""
     k = F.col("s_suppkey")
