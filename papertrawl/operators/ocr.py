@@ -49,17 +49,21 @@ def drop_small_regions(regions: DataFrame, least: int = 10) -> DataFrame:
 
 
 def engine_regions(words: DataFrame) -> DataFrame:
-    """One row per region and engine: average confidence, words and text.
+    """One row per region with every engine's average confidence (c0, c1, …) and words (w0, w1, …).
 
-    The only gathering of words; everything later works on these rows.
+    The only shuffle of words: all engines' readings of a region meet once, on the region.
     """
-    return words.groupBy(*REGION, "engine").agg(
-        F.max("region_type").alias("region_type"),
-        (F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))).alias("confidence"),
-        F.array_sort(F.collect_list(F.struct(
-            "word_idx", "text", "confidence", "x", "y", "width", "height"
-        ))).alias("words"),
-    )
+    def of(engine: str, value: Column) -> Column:
+        return F.when(F.col("engine") == engine, value)
+
+    word = F.struct("word_idx", "text", "confidence", "x", "y", "width", "height")
+    exact = F.col("confidence").cast("decimal(18,6)")
+    sides = []
+    for i, engine in enumerate(fv.OCR_ENGINES):
+        # an engine without words for a region has no average
+        average = F.try_divide(F.sum(of(engine, exact)).cast("double"), F.count(of(engine, exact)).cast("double"))
+        sides += [average.alias(f"c{i}"), F.array_sort(F.collect_list(of(engine, word))).alias(f"w{i}")]
+    return words.groupBy(*REGION).agg(F.max("region_type").alias("region_type"), *sides)
 
 
 def word_confidence(words: DataFrame) -> DataFrame:
@@ -69,40 +73,25 @@ def word_confidence(words: DataFrame) -> DataFrame:
     )
 
 
-def _pick(engine: str) -> Column:
-    return F.max(F.when(F.col("engine") == engine, F.struct("confidence", "engine", "words")))
-
-
-def select_engine(by_engine: DataFrame, ensemble: bool = True) -> DataFrame:
+def select_engine(by_region: DataFrame, ensemble: bool = True) -> DataFrame:
     """The engine each region is read by: (doc_id, page, region, region_type, engine, confidence, words).
 
     Tables use the first engine. Other regions use the better of the first two, the first one on ties; below
-    0.75 the third engine is used when it is better still.
+    0.75 the third engine is used when it is better still. Regions without words drop out.
     """
-    first, second, third = fv.OCR_ENGINES
-    sides = by_engine.groupBy(*REGION).agg(
-        F.max("region_type").alias("region_type"),
-        *[_pick(e).alias(f"_{i}") for i, e in enumerate((first, second, third))],
-    )
-    empty = F.struct(
-        F.lit(0.0).alias("confidence"), F.lit(first).alias("engine"),
-        F.array().cast(by_engine.schema["words"].dataType).alias("words"),
-    )
-    a = F.coalesce("_0", empty)
-
-    def conf(c: str) -> Column:
-        return F.coalesce(F.col(f"{c}.confidence"), F.lit(0.0))
+    def side(i: int) -> Column:
+        return F.struct(F.lit(i).alias("no"), F.coalesce(f"c{i}", F.lit(0.0)).alias("confidence"))
 
     table = F.col("region_type") == "table"
-    both = F.lit(ensemble) & ~table & (conf("_1") > conf("_0"))
-    chosen = F.when(both, F.col("_1")).otherwise(a)
-    with_choice = sides.withColumn("_c", chosen)
-    retry = ~table & (F.col("_c.confidence") < fv.OCR_RETRY_BELOW) & (conf("_2") > F.col("_c.confidence"))
-    return (
-        with_choice.withColumn("_c", F.when(retry, F.col("_2")).otherwise(F.col("_c")))
-        .filter(F.size("_c.words") > 0)
-        .select(*REGION, "region_type", "_c.*")
-    )
+    better = F.lit(ensemble) & ~table & (F.coalesce("c1", F.lit(0.0)) > F.coalesce("c0", F.lit(0.0)))
+    first = by_region.withColumn("_c", F.when(better, side(1)).otherwise(side(0)))
+    weak = ~table & (F.col("_c.confidence") < fv.OCR_RETRY_BELOW) & (F.coalesce("c2", F.lit(0.0)) > F.col("_c.confidence"))
+    chosen = first.withColumn("_c", F.when(weak, side(2)).otherwise(F.col("_c")))
+    no = F.col("_c.no")
+    return chosen.select(
+        *REGION, "region_type", F.get(F.lit(fv.OCR_ENGINES), no).alias("engine"), F.col("_c.confidence").alias("confidence"),
+        F.when(no == 0, F.col("w0")).when(no == 1, F.col("w1")).otherwise(F.col("w2")).alias("words"),
+    ).filter(F.size("words") > 0)
 
 
 def region_rollup(chosen: DataFrame) -> DataFrame:

@@ -112,3 +112,16 @@ def test_submissions(spark):
     assert {r["submission_id"]: r["job_id"] for r in assigned.collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
     known = spark.createDataFrame([(8, "h1:fast")], "user_id bigint, idempotency_key string")
     assert sorted(r["submission_id"] for r in J.new_jobs(assigned, known).collect()) == [1, 4]
+
+
+def test_native_suppression_and_progress(spark, sf):
+    from papertrawl.session import observed
+
+    requests = S.read_stream(spark, sf, "events").select(
+        F.col("event_type").alias("cache_key"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    kept = S.run_to_table(S.distinct_within(requests), "native")
+    kinds = table(spark, sf, "events").select("event_type").distinct()
+    assert sorted(r["cache_key"] for r in kept.collect()) == sorted(r[0] for r in kinds.collect())
+    df, seen = observed(kinds, "kinds")
+    assert df.count() == 5 and seen.get["rows"] == 5
