@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from papertrawl import fixed_values as fv
+from papertrawl.fixed_values import CHARS_PER_TOKEN, MIN_CHUNK_CHARS
 from papertrawl.functions.dom import _Tree
 from papertrawl.session import ship_with_tasks
 
@@ -48,7 +48,7 @@ class ChunkText:
     """chunk_text(text, tokens, overlap): the chunks of one text."""
 
     def eval(self, text: str, tokens: int, overlap: int) -> Iterator[tuple]:
-        size, back = tokens * fv.CHARS_PER_TOKEN, overlap * fv.CHARS_PER_TOKEN
+        size, back = tokens * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
         at, index, n = 0, 0, len(text or "")
         while at < n:
             stop = at + size
@@ -56,7 +56,7 @@ class ChunkText:
             if stop < n and blank - back > at:
                 stop = blank
             piece = text[at:stop].strip()
-            if len(piece) > fv.MIN_CHUNK_CHARS:
+            if len(piece) > MIN_CHUNK_CHARS:
                 yield index, piece
                 index += 1
             at = stop - back

@@ -24,6 +24,9 @@ from papertrawl.sources.tables import SCHEMAS
 
 ship_with_tasks(__name__)
 
+# plain values travel with the handlers; the module they come from need not be on the executors
+TERMINAL = tuple(fv.TERMINAL_EVENTS)
+
 EVENT = "job_id bigint, event_id bigint, ts timestamp, event string, progress int"
 
 
@@ -109,7 +112,7 @@ class JobState(StatefulProcessor):
         last, progress, end = old[:2], old[2], old[3:]
         for pdf in rows:
             for ts, eid, event, pct in zip(_times(pdf), pdf["event_id"].tolist(), pdf["event"], pdf["progress"].tolist()):
-                if event in fv.TERMINAL_EVENTS:
+                if event in TERMINAL:
                     if end[0] is None or (ts, eid) < end[:2]:
                         end = (ts, eid, event)
                 elif last[0] is None or (ts, eid) > last:
