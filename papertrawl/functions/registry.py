@@ -49,17 +49,15 @@ class ChunkText:
 
     def eval(self, text: str, tokens: int, overlap: int) -> Iterator[tuple]:
         size, back = tokens * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
-        at, index, n = 0, 0, len(text or "")
-        while at < n:
-            stop = at + size
-            blank = text.rfind(" ", at, stop)
-            if stop < n and blank - back > at:
-                stop = blank
-            piece = text[at:stop].strip()
+        whole, at, index = text or "", 0, 0
+        while window := whole[at:at + size]:
+            head, gap, _ = window.rpartition(" ")
+            length = len(head) if gap and len(head) > back and at + size < len(whole) else size
+            piece = whole[at:at + length].strip()
             if len(piece) > MIN_CHUNK_CHARS:
                 yield index, piece
                 index += 1
-            at = stop - back
+            at += length - back
 
 
 def register(spark: SparkSession) -> None:

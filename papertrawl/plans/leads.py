@@ -192,8 +192,7 @@ def listing_cards(spark, sf):
 
 
 def heading_leads(spark, sf):
-    """Listing pages read by their headings only."""
-    return L.leads_from_headings(rendered.listing_pages(spark, sf).filter("page_id % 4 = 3")).select(
+    return L.leads_from_headings(rendered.heading_pages(spark, sf)).select(
         "page_id", "item", "company_name", "phone", "email"
     )
 
@@ -276,7 +275,7 @@ def _listing_sql(source, rank, key, name, nation, note, always, table_name, wher
 
 _BASE = f"""listings AS (
   {_listing_sql('indiamart', 0, 'c_custkey', 'c_name', 'c_nationkey', "c_mktsegment || ' trade'", 'false', 'customer')}
-  UNION ALL {_listing_sql('bing', 1, 'c_custkey', "upper(replace(c_name, '#', ' '))", 'c_nationkey', "c_mktsegment || ' trade'", 'true', 'customer', 'c_custkey % 3 = 0')}
+  UNION ALL {_listing_sql('bing', 1, 'c_custkey', "upper(replace(c_name, '#', ' '))", 'c_nationkey', "c_mktsegment || ' trade'", 'true', 'customer', "c_mktsegment IN ('MACHINERY', 'FURNITURE')")}
   UNION ALL {_listing_sql('sulekha', 2, 's_suppkey', 's_name', 's_nationkey', "'supplier'", 'false', 'supplier')}),
 keyed AS (SELECT *, md5(left(regexp_replace(lower(company_name), '[^\\pL\\pN_]+', '', 'g'), 40) || ':' || lower(city)) AS dedup_key
           FROM listings WHERE length(company_name) >= 3),
@@ -412,7 +411,10 @@ ORACLES = {
     "site_search_urls": """SELECT s_suppkey AS page_id, i AS item,
         'https://www.justdial.com/' || ['one', 'two'][i + 1] || s_suppkey AS url FROM supplier, range(2) r(i)""",
 }
-ORACLES["heading_leads"] = f"SELECT page_id, item, company_name, phone, email FROM ({ORACLES['listing_cards']}) WHERE page_id % 4 = 3"
+ORACLES["heading_leads"] = """
+  WITH c AS (SELECT c_custkey AS page_id, lpad(c_custkey::VARCHAR, 9, '0') AS d, translate(c_custkey::VARCHAR, '0123456789', 'abcdefghij') AS w FROM customer)
+  SELECT page_id, 0 AS item, 'Heading Firm ' || w AS company_name, '7' || d AS phone, '' AS email FROM c
+  UNION ALL SELECT page_id, 1, 'Second House ' || w, '', '' FROM c"""
 ORACLES["service_cards"] = """SELECT s_suppkey AS page_id, 0 AS item, s_name AS company_name, '9' || lpad(s_suppkey::VARCHAR, 9, '0') AS phone,
     'desk' || s_suppkey || '@house.in' AS email, 'Lane ' || s_suppkey AS address FROM supplier"""
 ORACLES["serp_links"] = """SELECT s_suppkey AS page_id, 0 AS item, 'Firm ' || translate(s_suppkey::VARCHAR, '0123456789', 'abcdefghij') AS company_name,

@@ -52,7 +52,7 @@ def lead_listings(spark: SparkSession, sf: str) -> DataFrame:
     customers, suppliers = table(spark, sf, "customer"), table(spark, sf, "supplier")
     note = F.concat(F.col("c_mktsegment"), F.lit(" trade"))
     once = customers.select(*listing("indiamart", 0, "c_custkey", F.col("c_name"), "c_nationkey", note, False))
-    again = customers.filter(F.col("c_custkey") % 3 == 0).select(
+    again = customers.filter(F.col("c_mktsegment").isin("MACHINERY", "FURNITURE")).select(
         *listing("bing", 1, "c_custkey", F.upper(F.replace("c_name", F.lit("#"), F.lit(" "))), "c_nationkey",
                  note, True)
     )
@@ -89,6 +89,24 @@ def contact_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _heading_body(k: Column) -> Column:
+    digits, spelled = F.lpad(k.cast("string"), 9, "0"), letters(k)
+    return F.concat(
+        F.lit("<div><h2>Heading Firm "), spelled, F.lit("</h2> call 7"), digits,
+        F.lit("</div><div><h2>Heading Firm "), spelled, F.lit("</h2> again</div><div><strong>Second House "),
+        spelled, F.lit("</strong> 8"), digits, F.lit("</div>"),
+    )
+
+
+def heading_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per customer without cards: three headings, two of one name."""
+    k = F.col("c_custkey")
+    return spread(table(spark, sf, "customer")).select(
+        k.alias("page_id"), F.concat(F.lit("<html><body>"), _heading_body(k), F.lit("</body></html>")).alias("html"),
+        F.lit("importer").alias("category"), F.lit("Mumbai").alias("city"),
+    )
+
+
 def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One listing page per customer: cards for most, only headings for every fourth."""
     k = F.col("c_custkey")
@@ -100,12 +118,7 @@ def listing_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.lit('<a href="https://firm'), k, F.lit('.in">site</a><i data-email="card'), k,
         F.lit('@firm.in">mail</i></div><div class="bx"><h3><a>No</a></h3></div>'),
     )
-    spelled = letters(k)
-    headings = F.concat(
-        F.lit("<div><h2>Heading Firm "), spelled, F.lit("</h2> call 7"), digits,
-        F.lit("</div><div><h2>Heading Firm "), spelled, F.lit("</h2> again</div><div><strong>Second House "),
-        spelled, F.lit("</strong> 8"), digits, F.lit("</div>"),
-    )
+    headings = _heading_body(k)
     body = F.when(k % 4 == 3, headings).otherwise(cards)
     return spread(table(spark, sf, "customer")).select(
         k.alias("page_id"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"),
@@ -358,15 +371,16 @@ def statement_rows(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.lit(0).alias("page"), F.lit(0).alias("tbl"), (k + 10).alias("row"),
         F.when(k % 3 == 2, F.slice(cells, 1, 4)).otherwise(cells).alias("cells"),
     )
-    first_lines = rows.filter(k % STATEMENT_LINES == 0)
     d = F.col("doc_id")
     headings = F.array(
         F.array(F.concat(F.lit("Customer Name: Firm "), letters(d))),
         F.array(F.concat(F.lit("1 Bank Asia statement Account No: "), F.lpad(d.cast("string"), 10, "0"))),
         F.array(F.lit("Trans Date"), F.lit("Narration"), F.lit("Debit"), F.lit("Credit"), F.lit("Balance")),
     )
-    head = first_lines.select(
-        "doc_id", F.lit(0).alias("page"), F.lit(0).alias("tbl"), F.posexplode(headings).alias("row", "cells")
+    # the first line of a statement brings the headings along
+    head = rows.select(
+        "doc_id", F.lit(0).alias("page"), F.lit(0).alias("tbl"),
+        F.posexplode(F.when(k % STATEMENT_LINES == 0, headings)).alias("row", "cells"),
     ).select("doc_id", "page", "tbl", F.col("row").cast("bigint").alias("row"), "cells")
     return head.unionByName(body)
 

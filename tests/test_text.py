@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from papertrawl import fixed_values as fv
 from papertrawl.functions import contacts as C
 from papertrawl.functions import text as T
 from papertrawl.sources.tables import table
@@ -16,29 +17,12 @@ def one(spark, column):
 
 
 def python_phones(text):
-    """Straight reading of the rules, one number at a time."""
-    found = {}
-
-    def note(digits, rank):
-        found[digits] = min(rank, found.get(digits, rank))
-
-    for m in re.finditer(r"(?:\+91|91|0)[\s\-.]*([6-9][\d\s\-.]{9,15})", text):
-        digits = re.sub(r"\D", "", m[1])[:10]
-        if len(digits) == 10:
-            note(digits, 0)
-    any_phone = (r"(?:\+91|91|0)[\s\-.]?[6-9]\d[\s\-.]?\d{4}[\s\-.]?\d{4}|(?<!\d)[6-9]\d{9}(?!\d)"
-                 r"|\(?\d{2,4}\)?[\s\-.]\d{3,4}[\s\-.]\d{3,4}")
-    for m in re.finditer(any_phone, text):
-        digits = re.sub(r"\D", "", m[0])
-        for prefix, length in (("91", 12), ("0", 11), ("091", 13)):
-            if len(digits) == length and digits.startswith(prefix):
-                digits = digits[len(prefix):]
-                break
-        if len(digits) == 10 and digits[0] in "6789":
-            note(digits, 0)
-        elif 8 <= len(digits) <= 10:
-            note(digits, 1)
-    return sorted(found, key=found.get)
+    """The same rules with lists: prefixed numbers, then all others, mobiles first."""
+    prefixed, anything = (p.removeprefix("(?U)") for p in (fv.PHONE_PREFIXED, fv.PHONE_ANY))
+    first = [re.sub(r"\D", "", m)[:10] for m in re.findall(prefixed, text)]
+    others = [re.sub(r"^(?:091|91|0)(?=\d{10}$)", "", re.sub(r"\D", "", m)) for m in re.findall(anything, text)]
+    kept = [d for d in first if len(d) == 10] + [d for d in others if 8 <= len(d) <= 10]
+    return sorted(dict.fromkeys(kept), key=lambda d: not re.fullmatch(r"[6-9]\d{9}", d))
 
 
 SAMPLES = [
