@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papertrawl.llm.common import bind, join_on, lines, normal_line, pack, text_key, whole, words
+from papertrawl.session import cut_lineage
 
 #: A line in more distinct texts of one host than this is boilerplate.
 MAX_DOCUMENTS = 50
@@ -84,7 +85,7 @@ def removed_lines(docs: DataFrame, host: Column, max_documents: int = MAX_DOCUME
 
     The list of hashes is bounded by the lines of one document.
     """
-    rows = line_rows(docs, host)
+    rows = cut_lineage(line_rows(docs, host), "lines")  # read twice; texts are read and normalised once
     frequent = frequent_lines(rows, max_documents).drop("n_documents")
     hits = join_on(rows, frequent, ["host", "line_hash"])
     return (hits.dropDuplicates([*_KEY, "pos"]).groupBy(*_KEY)

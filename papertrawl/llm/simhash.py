@@ -115,7 +115,7 @@ def join_subtries(fps: np.ndarray, split: int | None, depth: int, errors: int) -
     """
     n = len(fps)
     label, runs = np.arange(n), np.arange(1, n + 1)
-    if n < 2:
+    if n < 2 or split in (0, n):
         return label
     first = np.array([[0, n, 0, n, 0]] if split is None else [[0, split, split, n, errors]])
     stack = [(depth, first)]

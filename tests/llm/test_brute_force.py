@@ -1,0 +1,277 @@
+"""Operators without SQL against plain Python over the same rows, round trips and held-out accuracy."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from conftest import SF
+from pyspark.sql import functions as F
+
+from papertrawl.llm import anchors, chat, decontam, extract, mix, queries, secrets, shards, simhash
+from papertrawl.llm.components import components
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet").toPandas()
+
+
+def hamming_classes(fps: dict) -> dict:
+    """Smallest id reachable over distances of three bits or less; every pair is looked at."""
+    ids, values = list(fps), np.array(list(fps.values()), np.uint64)
+    label = {i: i for i in ids}
+    changed = True
+    near = [(i, j) for i in range(len(ids)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 3) if i < j]
+    while changed:
+        changed = False
+        for i, j in near:
+            least = min(label[ids[i]], label[ids[j]])
+            for k in (ids[i], ids[j]):
+                if label[k] != least:
+                    label[k], changed = least, True
+    return label
+
+
+def test_simhash_of_all_documents(spark, documents):
+    prints = {}
+    for d, text in zip(documents.doc_id, documents.text, strict=True):
+        ws = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        grams = [" ".join(ws[i:i + 3]) for i in range(max(1, len(ws) - 2))] if ws else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    want = hamming_classes(prints)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op6_simhash(spark, SF).collect()}
+    assert got == {d: (f"{prints[d]:016x}", want[d]) for d in prints}
+
+
+@pytest.mark.parametrize("subtrie", [8, 64, 100_000])
+def test_trie_join_loses_no_link(spark, subtrie):
+    draw = random.Random(subtrie)
+    fps = [draw.getrandbits(64) for _ in range(300)]
+    for _ in range(700):  # neighbours at one to six bits, chains and dense groups among them
+        f = draw.choice(fps[-150:])
+        for b in draw.sample(range(64), draw.randint(1, 6)):
+            f ^= 1 << b
+        fps.append(f)
+    fps = sorted(set(fps))
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    table = spark.createDataFrame([(f,) for f in signed], "fp long")
+    found = {r.node: r.root for r in components(simhash.trie_links(table, subtrie)).collect()}
+    want = hamming_classes(dict(zip(signed, fps, strict=True)))
+    groups = lambda m: sorted(sorted(v) for v in _inverse({f: m.get(f, f) for f in signed}).values())
+    assert groups(found) == groups(want)
+
+
+def _inverse(m: dict) -> dict:
+    out = defaultdict(list)
+    for k, v in m.items():
+        out[v].append(k)
+    return out
+
+
+def test_mix_meets_its_targets(spark, documents):
+    size = {d: len(WORD.findall(t or "")) for d, t in zip(documents.doc_id, documents.text, strict=True)}
+    per = Counter()
+    for d, s in zip(documents.doc_id, documents.source, strict=True):
+        per[s] += size[d]
+    order = sorted(per, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    target, fixed = {}, {}
+    while True:
+        left = sum(per.values()) - sum(fixed.values())
+        free = [s for s in order if s not in fixed]
+        target = fixed | {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
+        above = [s for s in free if target[s] > 3 * per[s]]
+        if not above:
+            break
+        fixed |= {s: 3.0 * per[s] for s in above}
+    rows = queries.op1_mix(spark, SF).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(documents.doc_id)
+    taken, longest = Counter(), Counter()
+    for r in rows:
+        assert r.size == size[r.doc_id] and r.source_size == per[r.source] and r.taken <= 3 * r.size
+        assert r.target == pytest.approx(target[r.source]) and r.taken == r.size * r.copies
+        taken[r.source] += r.taken
+        longest[r.source] = max(longest[r.source], r.size)
+    assert all(abs(taken[s] - target[s]) <= longest[s] for s in order)
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op1_mix(spark, SF).collect()))
+
+
+def test_mix_keeps_expectations(spark):
+    """Over many seeds each document of a tree of several levels is taken as often as its rate says."""
+    docs = spark.createDataFrame([(k, "w " * (1 + k % 7), "en", "a" if k < 90 else "b", 0) for k in range(100)], DOCS)
+    total, runs = Counter(), 12
+    for seed in range(runs):
+        rows = mix.decide(docs, mix.word_count(docs["text"]), weights=(1, 3), seed=seed, leaf=8).collect()
+        rate = {r.doc_id: r.target / r.source_size for r in rows}
+        for source in "ab":
+            some = [r for r in rows if r.source == source]
+            assert abs(sum(r.copies * r.size for r in some) - some[0].target) <= 7
+        for r in rows:
+            assert int(rate[r.doc_id]) <= r.copies <= int(rate[r.doc_id]) + 1
+            total[r.doc_id] += r.copies
+    assert abs(sum(total[k] / runs - rate[k] for k in range(90))) < 6
+
+
+def test_shards_are_even_whole_and_numbered(spark, documents):
+    rows = queries.op2_shards(spark, SF).collect()
+    text = dict(zip(documents.doc_id, documents.text, strict=True))
+    assert len(rows) == len(text)
+    size, places, where = Counter(), defaultdict(list), defaultdict(set)
+    for r in rows:
+        raw = text[r.doc_id].encode()
+        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
+        size[r.shard] += r.size
+        places[r.shard].append(r.slot)
+        where[raw].add(r.shard)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len(places) == 8
+    assert all(len(s) == 1 for s in where.values())
+    assert max(size.values()) - min(size.values()) <= 0.02 * sum(size.values())
+
+
+def test_a_group_larger_than_a_shard_is_split(spark):
+    rows = [(k, "same old text" if k % 3 else f"text number {k}", "en", "a", 0) for k in range(3000)]
+    found = shards.assign(spark.createDataFrame(rows, DOCS), 8).toPandas()
+    by = found.groupby("shard")["size"].agg(["sum", "count"])
+    assert by["sum"].max() < 1.05 * by["sum"].mean() and by["count"].max() < 1.1 * by["count"].mean()
+    assert all(sorted(p["slot"]) == list(range(len(p))) for _, p in found.groupby("shard"))
+
+
+@pytest.mark.parametrize("length", [5, 13, 27, 50])
+def test_repeats_at_any_offset(spark, length):
+    draw = random.Random(length)
+    base = [f"v{draw.randrange(60)}" for _ in range(400)]
+    rows = []
+    for k in range(60):
+        ws = [f"u{draw.randrange(9)}" for _ in range(draw.randrange(40))]
+        for _ in range(draw.randrange(4)):
+            a = draw.randrange(len(base))
+            ws += base[a:a + draw.randrange(2 * length)] + [f"z{draw.randrange(9)}"] * draw.randrange(3)
+        rows.append((draw.randrange(50), " ".join(ws), "en", "s", 0))
+    first = {}
+    split = [(d, t.split()) for d, t, *_ in rows]
+    for d, ws in split:
+        for i in range(len(ws) - length + 1):
+            key = tuple(ws[i:i + length])
+            first[key] = min(first.get(key, d), d)
+    want = []
+    for d, ws in split:
+        gone = {p for i in range(len(ws) - length + 1) if first[tuple(ws[i:i + length])] < d for p in range(i, i + length)}
+        want.append((d, len(ws), len(gone), " ".join(w for p, w in enumerate(ws) if p not in gone)))
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    got = [tuple(r) for r in anchors.remove_repeats(docs, length).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_covers_are_difference_covers():
+    for period, places in anchors.COVERS.items():
+        assert {(a - b) % period for a in places for b in places} == set(range(period))
+
+
+def test_leaks_survive_replaced_words(spark):
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choices("abcdefghij", k=5))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(30)]
+    rows, want = [], set()
+    for d in range(300):
+        ws = [word() for _ in range(80)]
+        if d % 3 == 0:
+            k, part = draw.randrange(30), items[d % 30][1].split()
+            k = d % 30
+            a = draw.randrange(14)
+            part = part[a:a + 26]
+            part[12] = "other"  # and another eight words on
+            part[20] = "other"
+            ws[30:30] = [w.upper() if i % 2 else w + "," for i, w in enumerate(part)]
+            want.add((d, k))
+        rows.append((d, " ".join(ws), "en", "s", 0))
+    docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, block=500).collect()} == want  # several blocks
+
+
+def test_secrets_of_all_documents(spark, documents):
+    got = {r.doc_id: r for r in queries.op10_secrets(spark, SF).collect()}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    for d, text in zip(documents.doc_id, documents.text, strict=True):
+        a = [m.span() for m in assign.finditer(text) if len(m[2]) >= 6]
+        k = [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        h = [m.span() for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        spans = sorted((s, n, e) for n, part in enumerate((a, k, h)) for s, e in part)
+        said = ",".join(f"{('assign', 'access', 'hex')[n]}:{s}:{e}" for s, n, e in spans)
+        r = got[d]
+        assert (r.n_assign, r.n_access, r.n_hex) == (len(a), len(k), len(h))
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert set(filter(None, said.split(","))) <= set(filter(None, r.spans.split(",")))
+
+
+def test_random_strings_stand_out(spark):
+    rows = [(1, "key q8Zp3LrT9vXw2NcYb7KdM5hJ end"), (2, "see internationalization-and-localization guidelines"),
+            (3, "id 123e4567-e89b-12d3-a456-426614174000"), (4, "D41D8CD98F00B204E9800998ECF8427E"), (5, "=" * 60)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in found} == {
+        1: [("random", 4, 28)], 2: [], 3: [], 4: [], 5: []}
+
+
+def test_parts_become_placeholders(spark):
+    part = lambda kind, **k: {"kind": kind} | k
+    rows = [(1, 0, "user", [part("text", text="look: "), part("image", ref="a.png", width=100, height=28), part("text", text="<image 1>")]),
+            (1, 1, "assistant", [part("text", text="a <b>"), part("audio", ref="s.wav", seconds=2.0), part("text", text="\\l c")]),
+            (1, 2, "user", [part("document", ref="d.pdf", pages=3), part("text", text=None), part("odd", ref="x")])]
+    fields = ("kind", "text", "ref", "width", "height", "seconds", "pages")
+    rows = [(*r[:3], [tuple(p.get(f) for f in fields) for p in r[3]]) for r in rows]
+    turns = spark.createDataFrame(rows, f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    made = chat.format_chats(turns)
+    one = made.collect()[0]
+    assert one.text == ("<turn user>look: <image 1>\\limage 1\\g</turn>\n<turn assistant>a \\lb\\g<audio 2>\\bl c</turn>\n"
+                        "<turn user><document 3><odd 4></turn>\n")
+    assert [(a.number, a.kind, a.ref, a.tokens) for a in one.attachments] == [
+        (1, "image", "a.png", 4), (2, "audio", "s.wav", 50), (3, "document", "d.pdf", 3072), (4, "odd", "x", 0)]
+    assert [one.text[s.start:s.start + s.chars] for s in one.loss_spans] == ["a \\lb\\g", "\\bl c"]
+    assert chat.read_back(made).collect()[0].loss_text == "a <b>\\l c"
+
+
+def test_chats_come_back(spark):
+    draw = random.Random(5)
+    bits = ["<", ">", "\\", "\\b", "\\l", "<turn user>", "</turn>", "\n", "é", "a", "<|im_end|>", ""]
+    want = {c: [(draw.choice(("user", "assistant", "a<b")), "".join(draw.choices(bits, k=draw.randrange(9))))
+                for _ in range(draw.randrange(1, 6))] for c in range(200)}
+    rows = [(c, k, r, t) for c, turns in want.items() for k, (r, t) in enumerate(turns)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.format_chats(turns.select("*", chat.text_part(F.col("text")).alias("content")))).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in back} == want
+    assert {r.conv_id: r.loss_text for r in back} == {
+        c: "".join(t for r, t in turns if r == "assistant") for c, turns in want.items()}
+
+
+def test_extraction_on_held_out_pages():
+    chain, wrong, total = extract.trained(), 0, 0
+    for blocks, labels in extract.labelled_pages(200, 12345):
+        total += len(labels)
+        wrong += sum(a != b for a, b in zip(chain.decode(extract.features(blocks)), labels, strict=True))
+    assert wrong / total < 0.01
+
+
+def test_extraction_reads_what_browsers_read(spark):
+    page = """<html><head><title>No</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav>
+      <div class="cookie-notice"><p>We use cookies. Accept all of them, please.</p></div>
+      <article><h1>A  Title&nbsp;here</h1><p>One &amp; two,<br>three &lt;four&gt;. <b>Bold<p>Unclosed &eacute; paragraph, long
+      enough to stay.</b><script>var t = "</p>";</script><!-- <p>gone</p> --><blockquote><p>Quoted, and kept here.</p></blockquote>
+      </article><section id="comments"><div class="comment"><p>First! I read this article, and I like it.</p></div></section>
+      <aside class="sidebar"><p>Related things, over there.</p></aside><form><p>Your mail</p></form><footer>&copy; 2024</footer>"""
+    want = "A Title here\n\nOne & two, three <four>. Bold\n\nUnclosed é paragraph, long enough to stay.\n\nQuoted, and kept here."
+    assert extract.main_text(page, extract.trained()) == want
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    for r in extract.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        body = re.search("<article>(.*?)(</article>|$)", r.html, re.S)[1]
+        plain = re.sub(r"<(?!/?(p|h1)\b)[^>]*(>|$)", " ", body)
+        parts = [" ".join(p.replace("&amp;", "&").replace("&quot;", '"').split()) for p in re.split("</?(?:p|h1)>", plain)]
+        assert r.text == "\n\n".join(p for p in parts if p)
