@@ -40,7 +40,7 @@ LENGTH = 13
 #: Perfect difference sets: period to the places hashed. Every difference modulo the period occurs in the set.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
 #: Bytes of text of a batch, of text per table bucket, and of text per hash range.
-BATCH_BYTES, BUCKET_BYTES, RANGE_BYTES = 4 << 20, 24 << 20, 64 << 20
+BATCH_BYTES, BUCKET_BYTES, RANGE_BYTES = 4 << 20, 16 << 20, 16 << 20
 _NO_ID = np.iinfo(np.int64).max
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -66,7 +66,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _M1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_CHUNK = 1 << 21
+_CHUNK = 1 << 19
 _POWERS = np.multiply.accumulate(np.full(_CHUNK, _M1))  # M1 to the powers 1, 2, ...
 
 
@@ -326,7 +326,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of every document."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets, ranges = max(1, math.ceil(size / BUCKET_BYTES)), max(12, math.ceil(size / RANGE_BYTES))
+    # as many buckets as Spark would shuffle to, so that answers come to the batches and not the other way round
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+    ranges = max(12, math.ceil(size / RANGE_BYTES))
     batches = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
                           ).mapInArrow(_batches, "batch string, blob binary")
     path, name = scratch_path(spark, "batches"), f"batches_{uuid.uuid4().hex}"
