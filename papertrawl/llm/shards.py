@@ -26,7 +26,7 @@ from papertrawl.session import cut_lineage
 #: Hash bundles of small groups; a group above 1/LARGE of the bytes, tokens or rows is an item of its own.
 BUNDLES, LARGE = 4096, 512
 #: Rows of a cell on average.
-CELL = 4096
+CELL = 512
 MEASURES = ("bytes", "tokens", "rows")
 
 
