@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papertrawl.llm.common import join_on, lines, normal_line, text_key, whole
+from papertrawl.session import cut_lineage
 
 MAX_RATIO, MIN_PAGES = 0.02, 3
 _KEY = ["doc_id", "host", "text_hash"]
@@ -30,11 +31,11 @@ def _page_lines(docs: DataFrame, host: str) -> DataFrame:
     return keyed.select(*_KEY, F.explode(hashes).alias("line_hash"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
-                ) -> DataFrame:
+def boilerplate(docs: DataFrame, page_lines: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO,
+                min_pages: int = MIN_PAGES) -> DataFrame:
     """host, line_hash, pages, host_pages of the lines above the ratio."""
     totals = docs.groupBy(docs[host].alias("host")).agg(F.count("*").alias("host_pages"))
-    counted = _page_lines(docs, host).groupBy("host", "line_hash").agg(F.count("*").alias("pages")).filter(
+    counted = page_lines.groupBy("host", "line_hash").agg(F.count("*").alias("pages")).filter(
         F.col("pages") >= min_pages)
     return join_on(counted, totals, ["host"]).filter(F.col("pages") > max_ratio * F.col("host_pages"))
 
@@ -42,8 +43,8 @@ def boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RA
 def drop_boilerplate(docs: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO,
                      min_pages: int = MIN_PAGES) -> DataFrame:
     """doc_id, n_lines, n_dropped, text without the boilerplate lines, of every page."""
-    found = boilerplate(docs, host, max_ratio, min_pages).select("host", "line_hash")
-    rows = _page_lines(docs, host)
+    rows = cut_lineage(_page_lines(docs, host), "page-lines")  # read twice; texts are normalised once
+    found = boilerplate(docs, rows, host, max_ratio, min_pages).select("host", "line_hash")
     lost = (join_on(rows, found, ["host", "line_hash"]).groupBy(*_KEY).agg(F.collect_set("line_hash").alias("lost")))
     own = docs.select("doc_id", docs[host].alias("host"), text_key().alias("text_hash"), "text")
     both = join_on(own, lost, _KEY, "left").select("doc_id", "text", "lost")
