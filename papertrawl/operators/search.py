@@ -16,8 +16,11 @@ from papertrawl.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-# queries travel to the tasks in slices of at most this many bytes of vectors
-SLICE_BYTES = 32 * 1024 * 1024
+# queries travel to the tasks in slices of at most this many bytes of vectors; in a search with restricted views a
+# slice also has at most so many queries, which bounds the list of queries that may see a document
+SLICE_BYTES, SLICE_VIEWERS = 32 * 1024 * 1024, 4096
+# scores a task computes at once
+BLOCK_SCORES = 1 << 22
 
 
 def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -26,50 +29,64 @@ def _unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / np.where(usable, lengths, 1.0)[:, None], usable
 
 
-def _best_of_batches(ids: list, queries: np.ndarray, k: int, restricted: bool):
-    """Per batch of chunks: the k best of every query, by similarity and then id.
+class _Best:
+    """The k best chunks of every query of a slice so far, by similarity and then id."""
+
+    def __init__(self, queries: int, k: int):
+        self.ids = [np.zeros(0, np.int64)] * queries
+        self.scores = [np.zeros(0)] * queries
+        self.edge = np.full(queries, -np.inf)  # what a chunk must reach
+        self.k = k
+
+    def add(self, chunk_ids: np.ndarray, scores: np.ndarray) -> None:
+        open_ = (scores >= self.edge[:, None]) & (scores > -np.inf)
+        for q in np.flatnonzero(open_.any(axis=1)):
+            near = np.flatnonzero(open_[q])
+            ids, found = np.append(self.ids[q], chunk_ids[near]), np.append(self.scores[q], scores[q, near])
+            top = np.lexsort((ids, -found))[:self.k]
+            self.ids[q], self.scores[q] = ids[top], found[top]
+            if len(top) == self.k:
+                self.edge[q] = found[top[-1]]
+
+
+def _best_of_task(sent, k: int, restricted: bool):
+    """The k best chunks of every query among all batches of a task.
 
     When restricted, each chunk names the queries that may see it.
     """
-    unit_queries, asked = _unit_rows(queries)
-    sorted_ids = np.array(ids, dtype=np.int64)
-
-    def visible(rows: pa.RecordBatch) -> np.ndarray:
-        """Which query may see which chunk of a batch."""
-        lists = rows.column("qids")
-        owners = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
-        wanted = lists.flatten().to_numpy(zero_copy_only=False)
-        slot = np.minimum(np.searchsorted(sorted_ids, wanted), len(sorted_ids) - 1)
-        known = sorted_ids[slot] == wanted
-        seen = np.zeros((len(sorted_ids), rows.num_rows), dtype=bool)
-        seen[slot[known], owners[known]] = True
-        return seen
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, queries = sent.value
+        unit_queries, asked = _unit_rows(queries)
+        best, step = _Best(len(ids), k), max(1, BLOCK_SCORES // max(1, len(ids)))
+
+        def visible(rows: pa.RecordBatch) -> np.ndarray:
+            """Which query may see which chunk."""
+            lists = rows.column("qids")
+            owners = np.repeat(np.arange(rows.num_rows), np.asarray(lists.value_lengths()))
+            wanted = lists.flatten().to_numpy(zero_copy_only=False)
+            slot = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+            known = ids[slot] == wanted
+            seen = np.zeros((len(ids), rows.num_rows), dtype=bool)
+            seen[slot[known], owners[known]] = True
+            return seen
+
         for batch in batches:
-            rows = batch.filter(batch.column("embedding").is_valid())
-            if not rows.num_rows:
-                continue
-            flat = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            unit, usable = _unit_rows(flat.reshape(rows.num_rows, -1))
-            chunk_ids = rows.column("chunk_id").to_numpy(zero_copy_only=False)
-            scores = unit_queries @ unit.T
-            allowed = np.broadcast_to(usable, scores.shape) & asked[:, None]
-            if restricted:
-                allowed = allowed & visible(rows)
-            scores = np.where(allowed, scores, -np.inf)
-            qids, found, similarity = [], [], []
-            for qid, row in zip(ids, scores):
-                # everything at or above the k-th best, so that ties are settled by id
-                edge = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                near = np.flatnonzero((row >= edge) & (row > -np.inf))
-                top = near[np.lexsort((chunk_ids[near], -row[near]))][:k]
-                qids += [qid] * len(top)
-                found.append(chunk_ids[top])
-                similarity.append(row[top])
+            valid = batch.filter(batch.column("embedding").is_valid())
+            for at in range(0, valid.num_rows, step):
+                rows = valid.slice(at, step)
+                flat = rows.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                unit, usable = _unit_rows(flat.reshape(rows.num_rows, -1))
+                scores = unit_queries @ unit.T
+                scores[:, ~usable] = -np.inf
+                scores[~asked] = -np.inf
+                if restricted:
+                    scores[~visible(rows)] = -np.inf
+                best.add(rows.column("chunk_id").to_numpy(zero_copy_only=False), scores)
+        counts = [len(x) for x in best.ids]
+        if sum(counts):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qids, pa.int64()), pa.array(np.concatenate(found), pa.int64()),
-                 pa.array(np.concatenate(similarity), pa.float64())], ["qid", "chunk_id", "similarity"])
+                [pa.array(np.repeat(ids, counts), pa.int64()), pa.array(np.concatenate(best.ids), pa.int64()),
+                 pa.array(np.concatenate(best.scores), pa.float64())], ["qid", "chunk_id", "similarity"])
 
     return run
 
@@ -83,14 +100,16 @@ def vector_topk(
     queries: qid bigint, vector. chunks: chunk_id bigint, embedding, and document_id when allowed is given.
     allowed: (qid, document_id), the documents each query may see. Zero vectors match nothing.
 
-    Every task multiplies its batches with the query matrix and forwards only k rows per query and batch, so
-    no table of pairs is made. The queries are cut into slices of bounded size; many slices mean several
-    passes over the chunks.
+    Every task multiplies its batches with the query matrix, a bounded block of scores at a time, and forwards
+    k rows per query once, so no table of pairs is made. The queries are cut into slices of bounded size, each
+    sent as a broadcast of its own, one at a time in the driver's Python; many slices mean several passes over
+    the chunks.
     """
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("d")).first()
     if not size["n"]:
         return chunks.sparkSession.createDataFrame([], "qid bigint, chunk_id bigint, similarity double, place int")
     per_slice = max(1, slice_bytes // (8 * max(1, size["d"])))
+    per_slice = per_slice if allowed is None else min(per_slice, SLICE_VIEWERS)
     slices = -(-size["n"] // per_slice)
 
     def in_slice(df: DataFrame, i: int) -> DataFrame:
@@ -105,11 +124,10 @@ def vector_topk(
         if allowed is not None:
             seen_by = in_slice(allowed, i).groupBy("document_id").agg(F.collect_set("qid").alias("qids"))
             vectors = chunks.join(seen_by, "document_id").select("chunk_id", "embedding", "qids")
-        matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
+        ids, matrix = np.array([r["qid"] for r in rows], np.int64), np.array([r["vector"] for r in rows], np.float64)
+        sent = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
         parts.append(vectors.mapInArrow(
-            _best_of_batches([r["qid"] for r in rows], matrix, k, allowed is not None),
-            "qid bigint, chunk_id bigint, similarity double",
-        ))
+            _best_of_task(sent, k, allowed is not None), "qid bigint, chunk_id bigint, similarity double"))
     return _top(reduce(DataFrame.unionByName, parts), k)
 
 
