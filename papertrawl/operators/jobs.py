@@ -50,11 +50,14 @@ def timeouts(events: DataFrame, seconds: int = fv.JOB_TIMEOUT_SECONDS) -> DataFr
 
 
 def replay_after(events: DataFrame, cursors: DataFrame, states: DataFrame) -> DataFrame:
-    """Per reader (job_id, last_id): the state at connection, then every later event."""
+    """Per reader (job_id, last_id): the state at connection, then every later event up to the one that ends the job."""
     snapshot = cursors.join(states, "job_id").select(
         "job_id", F.lit(None).cast("bigint").alias("event_id"), F.lit("job_update").alias("event"), "status"
     )
-    later = events.join(cursors, "job_id").filter(F.col("event_id") > F.col("last_id")).select(
+    unread = events.join(cursors, "job_id").filter(F.col("event_id") > F.col("last_id"))
+    ends = unread.filter(F.col("event").isin(fv.TERMINAL_EVENTS)).groupBy("job_id").agg(F.min("event_id").alias("end_id"))
+    unread = unread.join(ends, "job_id", "left").filter(F.col("end_id").isNull() | (F.col("event_id") <= F.col("end_id")))
+    later = unread.select(
         "job_id", "event_id", "event", F.lit(None).cast("string").alias("status")
     )
     return snapshot.unionByName(later)

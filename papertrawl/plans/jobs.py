@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papertrawl import fixed_values as fv
 from papertrawl.functions import text as T
 from papertrawl.operators import jobs as J
 from papertrawl.operators import products as P
@@ -75,16 +76,20 @@ def new_jobs(spark, sf):
 
 
 def owned_documents(spark, sf):
-    """Labelled documents with their labels, and how many labels have no document."""
+    """Labelled documents and good labels of every source."""
     docs, labels = table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels")
     joined = J.attach_owner(labels, docs, "doc_id")
     return joined.groupBy("source").agg(F.count(F.lit(1)).alias("labelled"), F.sum("quality").cast("bigint").alias("good"))
 
 
+def labelled_documents(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    return J.without_orphans(docs, labels, "doc_id").select("doc_id", "n_chars")
+
+
 def unlabelled_documents(spark, sf):
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
-    kept = J.without_orphans(docs, labels, "doc_id")
-    return kept.select("doc_id", "n_chars")
+    return docs.join(labels, "doc_id", "left_anti").select("doc_id", "n_chars")
 
 
 def file_screening(spark, sf):
@@ -125,15 +130,17 @@ def stored_products(spark, sf):
 
 
 def replaced_index(spark, sf):
-    """Chunks of all documents indexed; the English ones indexed again with other chunks."""
+    """Chunks of all documents indexed; the English ones indexed again with other chunks, those of src1 with none."""
     from papertrawl.operators.chunks import chunk_documents
 
     path = scratch_path(spark, "index")
     docs = table(spark, sf, "documents")
     chunks = chunk_documents(docs).select("doc_id", "chunk_index", F.length("text").alias("chars"))
     sinks.replace_index_partition(chunks, path, buckets=8)
-    again = chunk_documents(docs.filter("lang = 'en'"), tokens=256, overlap=64)
-    index = sinks.replace_index_partition(again.select("doc_id", "chunk_index", F.length("text").alias("chars")), path, buckets=8)
+    english = docs.filter("lang = 'en'")
+    again = chunk_documents(english.filter("source <> 'src1'"), tokens=256, overlap=64)
+    index = sinks.replace_index_partition(
+        again.select("doc_id", "chunk_index", F.length("text").alias("chars")), path, buckets=8, documents=english)
     marked = sinks.mark_indexed(docs.select("doc_id"), index)
     counts = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
     return marked.join(counts, "doc_id", "left").select("doc_id", "is_indexed", "chunks", "chars")
@@ -199,7 +206,7 @@ def stream_contacts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     job_latest_state, last_n_events, job_timeouts, replay_from_cursor, job_counts, job_history, owned_jobs,
-    job_submissions, new_jobs, owned_documents, unlabelled_documents, file_screening, file_keys, unpivoted_suppliers,
+    job_submissions, new_jobs, owned_documents, labelled_documents, unlabelled_documents, file_screening, file_keys, unpivoted_suppliers,
     exported_segments, stored_products, replaced_index, downloaded_leads, stream_last_events, stream_job_state,
     stream_throttle, stream_first_fetches, stream_leads, stream_contacts,
 )}
@@ -234,12 +241,14 @@ def _spaced_sql(key: str, interval: str) -> str:
 
 _P, _E = phone_rows_sql("documents", "doc_id", "text"), email_rows_sql("documents", "doc_id", "text")
 def _chunk_rows(tokens: int, overlap: int) -> str:
-    return f"SELECT * FROM (WITH {chunk_sql(tokens * 4, overlap * 4)} SELECT doc_id, length(piece) AS n FROM kept) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)"
+    return f"SELECT * FROM (WITH {chunk_sql(tokens * 4, overlap * 4)} SELECT doc_id, length(piece) AS n FROM kept) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)"
+
 
+_TERMINAL = ", ".join(f"'{e}'" for e in fv.TERMINAL_EVENTS)
 
 ORACLES = {
     "replaced_index": f"""WITH k AS (SELECT doc_id, n FROM ({_chunk_rows(512, 128)}) WHERE lang <> 'en'
-        UNION ALL SELECT doc_id, n FROM ({_chunk_rows(256, 64)}) WHERE lang = 'en'),
+        UNION ALL SELECT doc_id, n FROM ({_chunk_rows(256, 64)}) WHERE lang = 'en' AND source <> 'src1'),
         g AS (SELECT doc_id, count(*) AS chunks, sum(n)::BIGINT AS chars FROM k GROUP BY doc_id)
       SELECT d.doc_id, g.doc_id IS NOT NULL AS is_indexed, chunks, chars FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
     "job_latest_state": f"WITH {_EV} SELECT job_id, status, progress, {_SEC.format('updated_at')} AS updated_at, events FROM states",
@@ -249,7 +258,9 @@ ORACLES = {
       SELECT job_id, {_SEC.format('ts')} AS timed_out_at FROM late LEFT JOIN ends USING (job_id) WHERE end_ts IS NULL OR ts < end_ts OR (ts = end_ts AND event_id < end_id)""",
     "replay_from_cursor": f"""WITH {_EV}, cur AS (SELECT job_id, floor((min(event_id) + max(event_id)) / 2)::BIGINT AS last_id FROM ev GROUP BY job_id)
       SELECT job_id, NULL::BIGINT AS event_id, 'job_update' AS event, status FROM states
-      UNION ALL SELECT job_id, event_id, event, NULL FROM ev JOIN cur USING (job_id) WHERE event_id > last_id""",
+      UNION ALL SELECT job_id, event_id, event, NULL FROM (SELECT *, min(CASE WHEN event IN ({_TERMINAL}) THEN event_id END)
+        OVER (PARTITION BY job_id) AS end_id FROM ev JOIN cur USING (job_id) WHERE event_id > last_id)
+      WHERE end_id IS NULL OR event_id <= end_id""",
     "job_counts": f"WITH {_EV} SELECT user_id, job_type, status, count(*) AS jobs FROM states GROUP BY ALL",
     "job_history": f"WITH {_EV} SELECT job_id, {_SEC.format('created_at')} AS created_at, status FROM states ORDER BY states.created_at DESC, job_id LIMIT 20 OFFSET 20",
     "owned_jobs": f"WITH {_EV} SELECT job_id, status, progress FROM states WHERE user_id = 3 AND status = 'failed'",
@@ -258,7 +269,8 @@ ORACLES = {
       SELECT submission_id, user_id, idempotency_key FROM assigned a WHERE submission_id = job_id
         AND NOT EXISTS (SELECT 1 FROM known k WHERE k.user_id = a.user_id AND k.idempotency_key = a.idempotency_key)""",
     "owned_documents": "SELECT source, count(*) AS labelled, sum(quality)::BIGINT AS good FROM labels JOIN documents USING (doc_id) GROUP BY source",
-    "unlabelled_documents": "SELECT doc_id, n_chars FROM documents SEMI JOIN labels USING (doc_id)",
+    "labelled_documents": "SELECT doc_id, n_chars FROM documents SEMI JOIN labels USING (doc_id)",
+    "unlabelled_documents": "SELECT doc_id, n_chars FROM documents ANTI JOIN labels USING (doc_id)",
     "file_screening": f"""WITH {_SUB} SELECT submission_id, CASE WHEN mime = 'text/html' THEN 'unsupported type' WHEN size <= 0 THEN 'empty file'
         WHEN size > 20000 THEN 'too large' WHEN mode = 'best' THEN 'full' ELSE mode END AS outcome FROM sub""",
     "file_keys": f"""WITH {_SUB} SELECT submission_id, file_hash || '.' || ['pdf', 'png', 'html', 'bin'][submission_id % 4 + 1] AS storage_key,

@@ -26,26 +26,34 @@ def write_leads(leads: DataFrame, path: str) -> None:
     leads.write.mode("append").partitionBy("job_id").parquet(path)
 
 
-def replace_index_partition(chunks: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS) -> DataFrame:
+def replace_index_partition(chunks: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS,
+                            documents: DataFrame | None = None) -> DataFrame:
     """Replace all chunks of the given documents, leaving other documents as they are.
 
-    Documents live in hash buckets. The buckets touched are read, stripped of the given documents, merged with
+    documents: the ids indexed again (column `key`), so that one without chunks loses its old ones; by default the
+    documents that have chunks. buckets is a property of the stored index: choose it for its size, keep it for its
+    life. Documents live in hash buckets. The buckets touched are read, stripped of the given documents, merged with
     the new chunks, staged, and swapped in by a dynamic partition overwrite, so a repeated run changes nothing.
     """
     from papertrawl.session import cut_lineage
 
     spark = chunks.sparkSession
-    bucketed = chunks.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    fresh = cut_lineage(bucketed, "index-new")
-    touched = fresh.select("bucket").distinct()
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    fresh = cut_lineage(chunks.withColumn("bucket", bucket), "index-new")
+    again = fresh.select(key) if documents is None else documents.select(key).union(fresh.select(key))
+    again = cut_lineage(again.distinct().withColumn("bucket", bucket), "index-documents")
+    touched = again.select("bucket").distinct()  # at most `buckets` rows
     merged = fresh
     if _exists(spark, path):
         kept = (
             spark.read.schema(fresh.schema).parquet(path)
             .join(F.broadcast(touched), "bucket", "left_semi")
-            .join(fresh.select(key).distinct(), key, "left_anti")
+            .join(again.select(key), key, "left_anti")
         )
         merged = cut_lineage(fresh.unionByName(kept), "index-merged")
+        # an overwrite by partition leaves a bucket alone that has no rows left, so it is emptied by name
+        for row in touched.join(merged.select("bucket").distinct(), "bucket", "left_anti").collect():
+            _delete(spark, f"{path.rstrip('/')}/bucket={row['bucket']}")
     merged.repartition("bucket", F.pmod(F.xxhash64(key, "chunk_index"), F.lit(8))).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("bucket").parquet(path)
@@ -57,6 +65,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def mark_indexed(documents: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     indexed = chunks.select(key).distinct().withColumn("is_indexed", F.lit(True))
     return documents.join(indexed, key, "left").withColumn("is_indexed", F.coalesce("is_indexed", F.lit(False)))

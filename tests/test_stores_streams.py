@@ -125,3 +125,23 @@ def test_native_suppression_and_progress(spark, sf):
     assert sorted(r["cache_key"] for r in kept.collect()) == sorted(r[0] for r in kinds.collect())
     df, seen = observed(kinds, "kinds")
     assert df.count() == 5 and seen.get["rows"] == 5
+
+
+def test_a_document_without_chunks_leaves_the_index(spark, tmp_path):
+    path = str(tmp_path / "index")
+    chunk = "doc_id long, chunk_index int, text string"
+    sinks.replace_index_partition(spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")], chunk), path, buckets=3)
+    again = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    index = sinks.replace_index_partition(spark.createDataFrame([(2, 0, "c2")], chunk), path, buckets=3, documents=again)
+    assert [(r.doc_id, r.text) for r in index.collect()] == [(2, "c2")]
+
+
+def test_replay_stops_at_the_event_that_ends_a_job(spark):
+    from papertrawl.operators import jobs
+
+    events = spark.createDataFrame([(1, 1, "progress"), (1, 2, "progress"), (1, 3, "complete"), (1, 4, "progress"), (2, 5, "progress")],
+                                   "job_id long, event_id long, event string")
+    cursors = spark.createDataFrame([(1, 1), (2, 0)], "job_id long, last_id long")
+    states = spark.createDataFrame([(1, "done"), (2, "running")], "job_id long, status string")
+    rows = jobs.replay_after(events, cursors, states).filter("event_id is not null").collect()
+    assert sorted(r.event_id for r in rows) == [2, 3, 5]
