@@ -108,8 +108,8 @@ def _zepto_row(text: Column) -> Column:
     return bind(numbers, lambda x: F.when((x["cgst"] != 0) & (x["sgst"] != 0), x))
 
 
-def _line_items(text: Column, brand: Column) -> Column:
-    """At most thirty items: the marketplace table when it matches, else lines with two amounts."""
+def _line_items(text: Column, brand: Column, most: int | None) -> Column:
+    """The marketplace table when it matches, else lines with two amounts, each description once; all, or the first few."""
     def item(match: Column, pattern: str, at: dict[str, int], sure: dict[str, float]) -> Column:
         return F.struct(
             T.strip(F.regexp_extract(match, pattern, 1)).alias("description"),
@@ -146,13 +146,15 @@ def _line_items(text: Column, brand: Column) -> Column:
 
     generic = bind(lines, first_by_description)
     special = F.when(brand == "amazon", table)
-    return F.slice(
-        bind(special, lambda s: F.when(F.size(s) > 0, s).otherwise(generic)), 1, fv.MAX_LINE_ITEMS
-    )
+    items = bind(special, lambda s: F.when(F.size(s) > 0, s).otherwise(generic))
+    return items if most is None else F.slice(items, 1, most)
+
 
+def read_invoices(docs: DataFrame, most_items: int | None = None) -> DataFrame:
+    """(doc_id, text) to raw readings: one row per document, values not yet formatted.
 
-def read_invoices(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) to raw readings: one row per document, values not yet formatted."""
+    most_items: keep only the first items of an invoice (fv.MAX_LINE_ITEMS for parity); all by default.
+    """
     text, brand = F.col("text"), F.col("brand")
     amazon, zepto = brand == "amazon", brand.isin("zepto", "blinkit")
 
@@ -186,7 +188,7 @@ def read_invoices(docs: DataFrame) -> DataFrame:
             known(amount(_brand_hit("total"))), *totals,
         ),
         "zepto_row": F.when(zepto, _zepto_row(text)),
-        "items": _line_items(text, brand),
+        "items": _line_items(text, brand, most_items),
     })
     gst, row = F.col("gst"), F.col("zepto_row")
     second = first.withColumns({
@@ -232,7 +234,7 @@ def tax_display(tax: Column, rate: Column, gst: Column) -> Column:
     )
 
 
-def extract_invoices(docs: DataFrame) -> DataFrame:
+def extract_invoices(docs: DataFrame, most_items: int | None = None) -> DataFrame:
     """(doc_id, text) to one row per invoice with fields, items and review flag."""
     def shown(hit: str, value: Column, present: Column) -> Column:
         return T.field(value, F.when(present, F.col(hit)["confidence"]).otherwise(F.lit(fv.NOT_FOUND)), ENGINE)
@@ -254,11 +256,11 @@ def extract_invoices(docs: DataFrame) -> DataFrame:
         T.field(T.number_text(i["total"]), F.when(i["from_table"], 0.93).otherwise(0.85), ENGINE).alias("total"),
     ))
     review = F.col("number.value").isNull() | F.col("date.value").isNull() | F.col("total.value").isNull()
-    return read_invoices(docs).select(
+    return read_invoices(docs, most_items).select(
         "doc_id", "brand", "order_number",
         text_field("number", F.coalesce("order_number", unknown)).alias("invoice_number"),
         text_field("date", F.lit("")).alias("invoice_date"),
-        T.field(F.lit(""), F.lit(fv.NOT_FOUND), ENGINE).alias("due_date"),
+        T.field(F.lit(""), F.lit(fv.NOT_FOUND), ENGINE).withField("value", F.lit(None).cast("string")).alias("due_date"),
         text_field("vendor", F.when(F.col("brand") == "amazon", "Amazon.in").otherwise("Unknown")).alias("vendor"),
         text_field("buyer", unknown).alias("buyer"),
         money_field("subtotal").alias("subtotal"),
@@ -292,7 +294,7 @@ def normalize_invoices(invoices: DataFrame, filename: Column | None = None) -> D
         "source_file": F.lit("") if filename is None else filename,
         "invoice_number": F.col("invoice_number.value"), "invoice_confidence": percent_of("invoice_number"),
         "invoice_engine": F.col("invoice_number.engine"), "invoice_date": F.col("invoice_date.value"),
-        "due_date": F.col("due_date.value"), "vendor": F.col("vendor.value"), "vendor_confidence": percent_of("vendor"),
+        "due_date": T.or_blank(F.col("due_date.value")), "vendor": F.col("vendor.value"), "vendor_confidence": percent_of("vendor"),
         "buyer": F.col("buyer.value"), "subtotal": F.col("subtotal.value"),
         "tax_amount": T.strip(F.regexp_replace(F.regexp_replace(tax, r"\s*\(.*?\)", ""), r"\s*\[.*?\]", "")),
         "tax_percent": F.regexp_extract(tax, r"\((\d+(?:\.\d+)?%)\)", 1),

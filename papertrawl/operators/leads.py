@@ -154,12 +154,12 @@ def _listing_lead(tree: Column) -> Column:
 def _heading_leads(dom: Column) -> Column:
     """Leads from headings: contacts come from the surrounding two levels, each phone is used once.
 
-    The fold walks the at most 80 headings of one page in order, carrying the phones already taken.
+    The fold walks the headings of one page in order, carrying the phones already taken.
     """
-    wanted = F.slice(D.select(dom, ", ".join(fv.HEADINGS)), 1, fv.HEADING_LIMIT)
+    wanted = D.select(dom, ", ".join(fv.HEADINGS))
 
     def parent(el: Column) -> Column:
-        return F.get(F.filter(dom["elements"], lambda e: e["idx"] == el["parent"]), 0)
+        return F.get(dom["elements"], el["parent"].cast("int"))
 
     def read(h: Column) -> Column:
         name = C.clean_name(D.text_of(dom, h, ""))
@@ -236,8 +236,8 @@ def leads_from_services(pages: DataFrame) -> DataFrame:
     return _explode_leads(pages.withColumn("dom", D.parse_dom("html")), leads)
 
 
-def _raw_link_leads(dom: Column, n: int = 8) -> Column:
-    """Links to distinct outside hosts, at most n per page."""
+def _raw_link_leads(dom: Column, n: int | None = None) -> Column:
+    """Links to distinct outside hosts; the first n of a page where n is given (8 for parity)."""
     links = F.transform(
         D.select(dom, "a[href^='http']"),
         lambda a: F.struct(D.attr(a, "href").alias("href"), D.text_of(dom, a, "").alias("label"),
@@ -251,7 +251,8 @@ def _raw_link_leads(dom: Column, n: int = 8) -> Column:
         ))
 
     firsts = D.bind(outside, first_by_host)
-    named = F.slice(F.filter(firsts, lambda x: F.length(x["label"]) >= 4), 1, n)
+    named = F.filter(firsts, lambda x: F.length(x["label"]) >= 4)
+    named = named if n is None else F.slice(named, 1, n)
     return F.transform(
         named,
         lambda x: _lead(company_name=C.clean_name(x["label"]), website=x["href"], source=F.lit("bing"),
@@ -292,11 +293,12 @@ def leads_from_serp(pages: DataFrame) -> DataFrame:
     return _explode_leads(parsed, leads).drop("_items")
 
 
-def search_result_urls(pages: DataFrame, site: str = fv.SITE_SEARCH_HOST, n: int = 6) -> DataFrame:
-    """Distinct links of a site on each search page, the first n in order."""
+def search_result_urls(pages: DataFrame, site: str = fv.SITE_SEARCH_HOST, n: int | None = None) -> DataFrame:
+    """Distinct links of a site on each search page, in order; the first n where n is given (6 for parity)."""
     dom = F.col("dom")
     links = F.transform(D.select(dom, "a[href^='http']"), lambda a: D.attr(a, "href"))
-    urls = F.slice(F.array_distinct(F.filter(links, lambda h: F.contains(h, F.lit(site)))), 1, n)
+    urls = F.array_distinct(F.filter(links, lambda h: F.contains(h, F.lit(site))))
+    urls = urls if n is None else F.slice(urls, 1, n)
     keep = [c for c in pages.columns if c not in ("html", "url")]
     return (
         pages.withColumn("dom", D.parse_dom("html"))

@@ -77,7 +77,7 @@ def from_jsonld(html: T.ColumnOrName, url: T.ColumnOrName) -> Column:
                 F.try_variant_get(v, "$.aggregateRating.ratingCount", "int"),
             ),
             availability=T.availability_from_schema(text(offer, "$.availability")),
-            brand=T.or_blank(text(v, "$.brand.name")), images=F.slice(images, 1, 3),
+            brand=T.or_blank(text(v, "$.brand.name")), images=images,
             extra_meta=_meta(source=F.lit("json_ld"), asin=asin),
         )
 
@@ -246,7 +246,7 @@ def from_restaurant_page(dom: Column, platform: str) -> Column:
         named = F.coalesce(T.blank_to_null(title), F.lit("Unknown"))
         return D.bind(named, lambda name: _product(name, brand=name, **rest))
     number = F.get(F.filter(_texts(dom, "span"), lambda t: t.rlike(r"^[\d.]+$")), 0)
-    cuisines = F.slice(_texts(dom, fv.RESTAURANT_CUISINE), 1, 3)
+    cuisines = _texts(dom, fv.RESTAURANT_CUISINE)
     return D.bind(title, lambda name: _product(
         name, brand=name, rating=number.try_cast("double"),
         extra_meta=_meta(cuisines=F.array_join(cuisines, ", ")), **rest,
@@ -307,16 +307,20 @@ def drop_untitled(items: DataFrame) -> DataFrame:
     return items.filter(T.is_filled("title"))
 
 
-def assign_urls_to_brands(requests: DataFrame, most_brands: int = 9) -> DataFrame:
+def assign_urls_to_brands(requests: DataFrame, most_brands: int | None = None) -> DataFrame:
     """(job_id, urls, brands) to (job_id, brand, url): each brand takes a contiguous slice of the addresses.
 
-    A brand whose slice is empty takes all of them. Row-local: a request holds at most fifty addresses.
+    The last brand also takes what is left over; a brand whose slice is empty takes all addresses. most_brands
+    (9 for parity) leaves later brands out. Row-local.
     """
     n, b = F.size("urls"), F.size("brands")
     per = F.greatest(F.lit(1), F.floor(n / b).cast("int"))
-    rows = requests.withColumn("brands", F.slice("brands", 1, most_brands)).withColumn("_per", per)
-    by_brand = rows.select("job_id", "urls", "_per", F.posexplode("brands").alias("_no", "brand"))
-    part = F.slice("urls", F.col("_no") * F.col("_per") + 1, F.col("_per"))
+    if most_brands is not None:
+        requests = requests.withColumn("brands", F.slice("brands", 1, most_brands))
+    rows = requests.withColumn("_per", per).withColumn("_last", b - 1)
+    by_brand = rows.select("job_id", "urls", "_per", "_last", F.posexplode("brands").alias("_no", "brand"))
+    taken = F.when(F.col("_no") == F.col("_last"), F.size("urls")).otherwise(F.col("_per"))
+    part = F.slice("urls", F.col("_no") * F.col("_per") + 1, taken)
     return by_brand.select("job_id", "brand", F.explode(C.prefer(part, F.col("urls"))).alias("url"))
 
 

@@ -111,7 +111,7 @@ _BASE = f"""prod AS (SELECT {_K} AS item, k8, ['amazon','flipkart','amazon','fli
     CASE k8 WHEN 2 THEN 'out_of_stock' ELSE 'in_stock' END AS availability,
     CASE WHEN k8 < 4 OR k8 = 5 THEN p_brand WHEN k8 = 4 THEN 'myntra' ELSE p_name || ' ' || {_K} END AS brand,
     CASE WHEN k8 IN (2, 3) THEN 'Home > Tools' WHEN k8 > 5 THEN 'Restaurant' END AS category,
-    CASE k8 WHEN 0 THEN 'a.jpg|b.jpg|c.jpg' WHEN 2 THEN 'h' || {_K} || '.jpg' WHEN 4 THEN 'm' || {_K} || '.jpg'
+    CASE k8 WHEN 0 THEN 'a.jpg|b.jpg|c.jpg|d.jpg' WHEN 2 THEN 'h' || {_K} || '.jpg' WHEN 4 THEN 'm' || {_K} || '.jpg'
          WHEN 6 THEN 'img' || {_K} ELSE '' END AS images,
     'https://shop.example' || CASE WHEN k8 IN (0, 2) THEN '/dp/B' || lpad({_K}::VARCHAR, 9, '0') ELSE '/p/ITM' || {_K} END AS url
   FROM (SELECT *, {_K} % 8 AS k8, round(p_retailprice * 1.25, 2) AS was, (p_size % 5 + 1)::DOUBLE AS stars FROM part))"""
@@ -152,9 +152,9 @@ ORACLES = {
         ['in_stock', 'out_of_stock', 'limited'][{_K} % 3 + 1] AS by_link, p_brand AS brand,
         CASE WHEN p_size + 0.5 <= 5 THEN (p_size + 0.5)::DOUBLE END AS rating, ({_K} * 10)::INT AS reviews,
         p_size::DOUBLE AS percent FROM part""",
-    "brand_assignment": f"""WITH j AS (SELECT {_K} AS job_id, p_size AS n, least({_K} % 11 + 1, 9) AS b,
-        ['nykaa','meesho','myntra','snapdeal','ajio','bigbasket','jiomart','croma','reliance_digital'] AS names FROM part),
-        s AS (SELECT job_id, n, names[i + 1] AS brand, i, greatest(1, n // b) AS per FROM j, range(9) r(i) WHERE i < b)
+    "brand_assignment": f"""WITH j AS (SELECT {_K} AS job_id, p_size AS n, {_K} % 11 + 1 AS b,
+        ['nykaa','meesho','myntra','snapdeal','ajio','bigbasket','jiomart','croma','reliance_digital','tenth','eleventh'] AS names FROM part),
+        s AS (SELECT job_id, n, names[i + 1] AS brand, i, greatest(1, n // b) AS per, b FROM j, range(11) r(i) WHERE i < b)
       SELECT job_id, brand, 'u' || u AS url FROM s, range(1, 51) v(u)
-      WHERE u <= n AND ((u > i * per AND u <= (i + 1) * per) OR i * per >= n)""",
+      WHERE u <= n AND ((u > i * per AND (u <= (i + 1) * per OR i = b - 1)) OR i * per >= n)""",
 }

@@ -34,13 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a scan that has fewer splits than the session has cores, dealt out evenly.
+    """Rows dealt out evenly over as many tasks as papertrawl.deal.tasks says; where it is unset, as they were read.
 
-    For work that is heavy per row. Scans of large tables have splits enough and are left alone: their
-    texts are never shuffled.
+    For one-file inputs on one machine, whose single split would keep one core busy. Clusters leave it unset:
+    texts then stay where they are read, and spark.sql.files.maxPartitionBytes sets the size of a task.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    tasks = df.sparkSession.conf.get("papertrawl.deal.tasks", None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def categories(spark: SparkSession) -> DataFrame:
