@@ -28,19 +28,26 @@ ELEMENT = (
     .add("idx", T.IntegerType()).add("last", T.IntegerType()).add("parent", T.IntegerType())
     .add("tag", T.StringType()).add("keys", T.ArrayType(T.StringType()))
     .add("attrs", T.MapType(T.StringType(), T.StringType()))
+    # places of its strings and scripts, those of its descendants included: first, and past the last
+    .add("strings_from", T.IntegerType()).add("strings_to", T.IntegerType())
+    .add("scripts_from", T.IntegerType()).add("scripts_to", T.IntegerType())
 )
 ELEMENTS = T.ArrayType(ELEMENT)
 STRINGS = T.ArrayType(T.StructType().add("el", T.IntegerType()).add("text", T.StringType()))
-DOM = T.StructType().add("elements", ELEMENTS).add("strings", STRINGS).add("scripts", STRINGS)
+# strings_at, scripts_at: how many of the page's strings and scripts come before those of this tree
+DOM = (T.StructType().add("elements", ELEMENTS).add("strings", STRINGS).add("scripts", STRINGS)
+       .add("strings_at", T.IntegerType()).add("scripts_at", T.IntegerType()))
 
 _STRING_TYPE = pa.list_(pa.struct([("el", pa.int32()), ("text", pa.string())]))
 _DOM_TYPE = pa.struct([
     ("elements", pa.list_(pa.struct([
         ("idx", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("tag", pa.string()),
         ("keys", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
+        *[(f"{part}_{end}", pa.int32()) for part in ("strings", "scripts") for end in ("from", "to")],
     ]))),
     ("strings", _STRING_TYPE),
     ("scripts", _STRING_TYPE),
+    ("strings_at", pa.int32()), ("scripts_at", pa.int32()),
 ])
 # HTML's elements without content, and those whose content is not text
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -52,7 +59,8 @@ class _Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements = [{"idx": 0, "last": 0, "parent": -1, "tag": "[document]", "keys": [], "attrs": []}]
+        self.elements = [{"idx": 0, "last": 0, "parent": -1, "tag": "[document]", "keys": [], "attrs": [],
+                          "strings_from": 0, "strings_to": 0, "scripts_from": 0, "scripts_to": 0}]
         self.strings: list[dict] = []
         self.scripts: list[dict] = []
         self.open = [0]
@@ -62,7 +70,9 @@ class _Tree(HTMLParser):
         values = {name: value or "" for name, value in attrs}
         keys = [tag, *("." + c for c in values.get("class", "").split()), "#" + values.get("id", "")]
         self.elements.append({"idx": idx, "last": idx, "parent": self.open[-1], "tag": tag, "keys": keys,
-                              "attrs": list(values.items())})
+                              "attrs": list(values.items()),
+                              "strings_from": len(self.strings), "strings_to": len(self.strings),
+                              "scripts_from": len(self.scripts), "scripts_to": len(self.scripts)})
         if tag not in _VOID:
             self.open.append(idx)
 
@@ -82,14 +92,14 @@ class _Tree(HTMLParser):
     def _close(self, depth: int) -> None:
         newest = len(self.elements) - 1
         for idx in self.open[depth:]:
-            self.elements[idx]["last"] = newest
+            self.elements[idx] |= {"last": newest, "strings_to": len(self.strings), "scripts_to": len(self.scripts)}
         del self.open[depth:]
 
     def tree(self, html: str) -> dict:
         self.feed(html)
         self.close()
         self._close(0)
-        return {"elements": self.elements, "strings": self.strings, "scripts": self.scripts}
+        return {"elements": self.elements, "strings": self.strings, "scripts": self.scripts, "strings_at": 0, "scripts_at": 0}
 
 
 @F.arrow_udf(DOM)
@@ -106,8 +116,9 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def inside(dom: Column, part: str, el: Column) -> Column:
-    """Strings or scripts of an element and its descendants."""
-    return F.filter(dom[part], lambda s: s["el"].between(el["idx"], el["last"]))
+    """Strings or scripts of an element and its descendants: a slice, as they stand in document order."""
+    first = el[f"{part}_from"]
+    return F.slice(dom[part], first - dom[f"{part}_at"] + 1, el[f"{part}_to"] - first)
 
 
 def text_of(dom: Column, el: Column, separator: str = " ") -> Column:
@@ -131,6 +142,7 @@ def subtree(dom: Column, el: Column) -> Column:
         F.filter(dom["elements"], lambda e: (e["idx"] > el["idx"]) & (e["idx"] <= el["last"])).alias("elements"),
         inside(dom, "strings", el).alias("strings"),
         inside(dom, "scripts", el).alias("scripts"),
+        el["strings_from"].alias("strings_at"), el["scripts_from"].alias("scripts_at"),
     )
 
 

@@ -39,7 +39,7 @@ class HtmlElements:
     def eval(self, html: str) -> Iterator[tuple]:
         tree = _Tree().tree(html or "")
         for el in tree["elements"][1:]:
-            text = " ".join(s["text"] for s in tree["strings"] if el["idx"] <= s["el"] <= el["last"])
+            text = " ".join(s["text"] for s in tree["strings"][el["strings_from"]:el["strings_to"]])
             attrs = dict(el["attrs"])
             yield el["idx"], el["parent"], el["tag"], attrs.get("id"), attrs.get("class"), attrs, text
 
