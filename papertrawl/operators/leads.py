@@ -260,8 +260,8 @@ def _raw_link_leads(dom: Column, n: int | None = None) -> Column:
     )
 
 
-def leads_from_serp(pages: DataFrame) -> DataFrame:
-    """Search result pages to leads; pages without result items fall back to their outside links."""
+def leads_from_serp(pages: DataFrame, most_links: int | None = None) -> DataFrame:
+    """Search result pages to leads; pages without result items fall back to their outside links, all or the first few."""
     dom = F.col("dom")
 
     def read(tree: Column) -> Column:
@@ -289,7 +289,7 @@ def leads_from_serp(pages: DataFrame) -> DataFrame:
     found = F.filter(
         F.transform("_items", lambda item: D.bind(D.subtree(dom, item), read)), lambda x: x["company_name"] != ""
     )
-    leads = F.when(F.size("_items") > 0, found).otherwise(_raw_link_leads(dom))
+    leads = F.when(F.size("_items") > 0, found).otherwise(_raw_link_leads(dom, most_links))
     return _explode_leads(parsed, leads).drop("_items")
 
 

@@ -80,8 +80,10 @@ def test_links_when_a_result_page_has_no_items(spark):
     html = "".join(f'<a href="https://www.host{i % 10}.in/p{i}">Label {i}</a>' for i in range(30))
     html += '<a href="https://www.facebook.com/x">Social</a><a href="/local">Local</a>'
     pages = spark.createDataFrame([(1, html, "c", "d")], "page_id int, html string, category string, city string")
-    got = [r["website"] for r in L.leads_from_serp(pages).orderBy("item").collect()]
-    assert got == [f"https://www.host{i}.in/p{i}" for i in range(8)]
+    # every outside host once, or as many as asked for
+    for most, hosts in ((None, 10), (8, 8)):
+        got = [r["website"] for r in L.leads_from_serp(pages, most).orderBy("item").collect()]
+        assert got == [f"https://www.host{i}.in/p{i}" for i in range(hosts)]
 
 
 def test_unknown_categories_mean_all(spark):
