@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
@@ -49,8 +48,8 @@ _IDENTIFIER = re.compile(r"(?:urn:)?(?:uuid:)?[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){
 _PIECE = 4096
 
 
-@lru_cache(2)
 def encoder(vocabulary: bytes) -> tiktoken.Encoding:
+    """Built once a task, in about a tenth of a second; a cached function would not travel with the task's code."""
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("given", pat_str=CUT, mergeable_ranks=ranks, special_tokens={})
 
