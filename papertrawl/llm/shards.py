@@ -6,8 +6,8 @@ the dot product of their vector with the residual capacity is highest. The numbe
 depend on the data (BUNDLES plus three times LARGE), so they are packed on the driver; the rows never leave their
 tasks. A group above half a shard is cut into pieces by doc_id, since no packing could balance it whole.
 
-Slots number the rows of a shard without gaps: bundles are cut into cells of some thousand rows by hash (a large
-group's by doc_id), cells are numbered on their own, and running sums give each cell its first slot.
+Slots number the rows of a shard without gaps: bundles are cut into cells of some thousand rows by doc_id, so that a
+group is many cells, cells are numbered on their own, and running sums give each cell its first slot.
 
 Defined results: a null text has no bytes and counts as size 1 without a checksum; null texts form one group; rows
 that agree in text and doc_id are interchangeable and get neighbouring slots; an empty table gives an empty result;
@@ -59,7 +59,7 @@ def assign(docs: DataFrame, shards: int = 8, payload: bool = False) -> DataFrame
         [(r["grp"], k, p, max(1, -(-r["rows"] // p // CELL))) for k, (r, p) in enumerate(zip(big, pieces, strict=True))],
         "grp long, big_no long, pieces long, big_cells long"))
     cells = max(1, -(-n // (BUNDLES * CELL)))
-    salt = lambda k: F.xxhash64("doc_id", F.lit(k))
+    salt = lambda k: F.xxhash64("doc_id", "grp", F.lit(k))
     is_big = F.col("big_no").isNotNull()
 
     def placed(df: DataFrame) -> DataFrame:
@@ -67,8 +67,7 @@ def assign(docs: DataFrame, shards: int = 8, payload: bool = False) -> DataFrame
             *df.columns,
             F.when(is_big, BUNDLES + F.col("big_no")).otherwise(F.pmod("grp", F.lit(BUNDLES))).alias("bundle"),
             F.when(is_big, F.pmod(salt(1), "pieces")).otherwise(0).alias("piece"),
-            F.when(is_big, F.pmod(salt(2), "big_cells")).otherwise(
-                F.pmod(F.shiftrightunsigned("grp", 20), F.lit(cells))).alias("cell"))
+            F.pmod(salt(2), F.coalesce("big_cells", F.lit(cells))).alias("cell"))
 
     units = cut_lineage(placed(narrow).groupBy("bundle", "piece", "cell").agg(*sums), "cells")
     items = units.groupBy("bundle", "piece").agg(*[F.sum(m).alias(m) for m in MEASURES]).orderBy(
