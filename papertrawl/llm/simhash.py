@@ -5,7 +5,9 @@ pairs of nodes together from the top, adds up the bits in which the two paths di
 its budget is used up. Two fingerprints at distance 3 or less differ by at most one bit in one of their halves, so
 two tries are walked, one starting at either half, with a budget of one bit for the first 32 levels and of three
 for the rest: nothing is lost and few pairs survive the top. The first levels are dealt out by Spark: a task holds
-one pair of subtries. A task returns only a spanning forest of its links, so dense groups never become pairs.
+one pair of subtries. Pairs that are still large, where many fingerprints share their first bits, go down further
+levels the same way before a task takes them, so no task's share grows with a group of near copies. A task returns
+only a spanning forest of its links, so dense groups never become pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id takes part and
 gets its component's smallest doc_id; repeated rows give repeated rows; an empty table gives an empty result; other
@@ -16,12 +18,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from papertrawl.llm.common import pack
@@ -33,6 +36,8 @@ ship_with_tasks(__name__)
 BITS, BUDGET, FIRST_HALF_BUDGET = 64, 3, 1
 #: Fingerprints of a subtrie that a task joins, on average; the number of top levels dealt out follows from it.
 SUBTRIE = 16_384
+#: A pair of subtries with more than HOT times as many goes down STEP more levels; prefixes stay within a long.
+HOT, STEP, DEEPEST = 8, 4, 60
 #: Node pairs, and candidate pairs of fingerprints, looked at in one go: bounds a task's memory.
 NODE_BLOCK, PAIR_BLOCK = 1 << 16, 1 << 20
 
@@ -165,7 +170,7 @@ def join_subtries(fps: np.ndarray, split: int | None, depth: int, errors: int) -
 
 
 def _links(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    _, top_a, top_b, depth = key
+    trie, top_a, top_b, depth, errors = key
     fps = part["path"].to_numpy().astype(np.int64).view(np.uint64)
     if top_a == top_b:
         fps, split = np.sort(fps), None
@@ -173,13 +178,40 @@ def _links(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         second = (part["side"] == 1).to_numpy()
         split = int((~second).sum())
         fps = np.concatenate([np.sort(fps[~second]), np.sort(fps[second])])
-    label = join_subtries(fps, split, int(depth), 0 if top_a == top_b else 1)
+    label = join_subtries(fps, split, int(depth), int(errors))
     linked = np.flatnonzero(label != np.arange(len(label)))
-    turned = int(key[0]) * (BITS // 2)
+    turned = int(trie) * (BITS // 2)
     back = (fps << np.uint64(turned)) | (fps >> np.uint64(BITS - turned)) if turned else fps
     return pd.DataFrame({"u": back[linked].view(np.int64), "v": back[label[linked]].view(np.int64)})
 
 
+_PAIR = ["trie", "a", "b", "depth", "errors"]
+
+
+def _meet(paths: DataFrame, own: Column, other: Column, flips: list[int], budget: int, depth: int) -> DataFrame:
+    """Every path in the pairs of nodes that it is in: its own node with all within the budget of its other node."""
+    met = paths.withColumn("flip", F.explode(F.array(*[F.lit(x).cast("bigint") for x in flips]))).select(
+        "trie", own.alias("own"), other.bitwiseXOR(F.col("flip")).alias("other"),
+        (F.col("errors") + F.bit_count("flip")).cast("int").alias("errors"), "path")
+    return met.filter(F.col("errors") <= budget).select(
+        "trie", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), F.lit(depth).alias("depth"),
+        "errors", (F.col("own") > F.col("other")).cast("int").alias("side"), "path")
+
+
+def _down(hot: DataFrame, depth: int) -> DataFrame:
+    """The pairs of nodes STEP levels below the given ones of one depth, where both nodes have fingerprints."""
+    below = depth + STEP
+    bits = F.shiftrightunsigned("path", BITS - below).bitwiseAND(F.lit((1 << STEP) - 1))
+    node = lambda c: F.shiftleft(c, STEP).bitwiseOR(bits)
+    first = F.col("side") == 0
+    own, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    budget = FIRST_HALF_BUDGET if below <= BITS // 2 else BUDGET
+    flips = [x for x in range(1 << STEP) if x.bit_count() <= budget]
+    met = cut_lineage(_meet(hot, node(own), node(other), flips, budget, below), "subtries")
+    two_sided = met.groupBy(*_PAIR).agg(F.min("side").alias("x"), F.max("side").alias("y")).filter("a = b or x < y")
+    return met.join(two_sided.select(*_PAIR), _PAIR, "left_semi")
+
+
 def trie_links(distinct: DataFrame, subtrie: int = SUBTRIE) -> DataFrame:
     """Links u-v between distinct fingerprints (column fp) that connect all within three bits."""
     rows = distinct.count()
@@ -187,15 +219,18 @@ def trie_links(distinct: DataFrame, subtrie: int = SUBTRIE) -> DataFrame:
     turned = F.shiftleft("fp", 32).bitwiseOR(F.shiftrightunsigned("fp", 32))
     paths = distinct.select(F.inline(F.array(
         F.struct(F.lit(0).alias("trie"), F.col("fp").alias("path")),
-        F.struct(F.lit(1).alias("trie"), turned.alias("path")))))
+        F.struct(F.lit(1).alias("trie"), turned.alias("path"))))).withColumn("errors", F.lit(0))
     top = F.shiftrightunsigned("path", BITS - depth) if depth else F.lit(0).cast("bigint")
     # a subtrie meets itself and those whose top differs in one bit
-    others = [F.lit(0).cast("bigint")] + [F.lit(1 << k).cast("bigint") for k in range(depth)]
-    dealt = (paths.withColumn("top", top).withColumn("flip", F.explode(F.array(*others)))
-             .withColumn("other", F.col("top").bitwiseXOR(F.col("flip")))
-             .select("trie", F.least("top", "other").alias("a"), F.greatest("top", "other").alias("b"),
-                     F.lit(depth).alias("depth"), (F.col("top") > F.col("other")).cast("int").alias("side"), "path"))
-    return dealt.groupBy("trie", "a", "b", "depth").applyInPandas(_links, "u bigint, v bigint")
+    pairs = _meet(paths, top, top, [0, *[1 << k for k in range(depth)]], FIRST_HALF_BUDGET, depth)
+    ready = []
+    while depth + STEP <= DEEPEST:
+        hot = cut_lineage(pairs.groupBy(*_PAIR).count().filter(F.col("count") > HOT * subtrie).select(*_PAIR), "hot")
+        if hot.isEmpty():
+            break
+        ready.append(pairs.join(hot, _PAIR, "left_anti"))
+        pairs, depth = _down(pairs.join(hot, _PAIR, "left_semi"), depth), depth + STEP
+    return reduce(DataFrame.union, ready, pairs).groupBy(*_PAIR).applyInPandas(_links, "u bigint, v bigint")
 
 
 # ---- classes ----------------------------------------------------------------------------------------

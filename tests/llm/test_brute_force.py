@@ -70,6 +70,29 @@ def test_trie_join_loses_no_link(spark, subtrie):
     assert groups(found) == groups(want)
 
 
+@pytest.mark.parametrize("shared", [48, 20])
+def test_hot_subtries_go_down_and_lose_no_link(spark, shared):
+    """Fingerprints that share their first or last bits: one node holds most of them for many levels."""
+    draw, deepest = random.Random(shared), []
+    base, mask = draw.getrandbits(64), (1 << (64 - shared)) - 1
+    fps = {(base & ~mask) | (draw.getrandbits(64) & mask) for _ in range(150)} | {draw.getrandbits(64) for _ in range(100)}
+    for f in draw.choices(sorted(fps), k=350):
+        for b in draw.sample(range(64), draw.randint(1, 4)):
+            f ^= 1 << b
+        fps.add(f)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    down = simhash._down
+    try:
+        simhash._down = lambda hot, depth: deepest.append(depth) or down(hot, depth)
+        links = simhash.trie_links(spark.createDataFrame([(f,) for f in signed], "fp long"), 8)
+    finally:
+        simhash._down = down
+    found = {r.node: r.root for r in components(links).collect()}
+    want = hamming_classes(dict(zip(signed, fps, strict=True)))
+    groups = lambda m: sorted(sorted(v) for v in _inverse({f: m.get(f, f) for f in signed}).values())
+    assert deepest and groups(found) == groups(want)
+
+
 def _inverse(m: dict) -> dict:
     out = defaultdict(list)
     for k, v in m.items():
@@ -121,6 +144,15 @@ def test_mix_keeps_expectations(spark):
     assert abs(sum(total[k] / runs - rate[k] for k in range(90))) < 6
 
 
+def test_cells_of_a_common_text_are_many(spark):
+    """A group too small to be an item of its own is still numbered in cells, not as a whole."""
+    rows = [(k, "common" if k % 600 == 0 else f"text number {k}", "en", "a", 0) for k in range(6000)]
+    rows += [(None, None, None, None, None), (7, "text number 7", "en", "a", 0)]
+    found = shards.assign(spark.createDataFrame(rows, DOCS), 4).toPandas()
+    assert len(found) == len(rows)
+    assert all(sorted(p["slot"]) == list(range(len(p))) for _, p in found.groupby("shard"))
+
+
 def test_shards_are_even_whole_and_numbered(spark, documents):
     rows = queries.op2_shards(spark, SF).collect()
     text = dict(zip(documents.doc_id, documents.text, strict=True))
