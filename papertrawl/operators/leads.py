@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from papertrawl import fixed_values as fv
 from papertrawl.functions import contacts as C
 from papertrawl.functions import dom as D
 from papertrawl.functions import text as T
-from papertrawl.operators.ranking import first_per_key
+from papertrawl.operators.ranking import first_per_key, number_rows
 from papertrawl.sources import tables
 
 LEAD_FIELDS = ["company_name", "category", "city", "phone", "mobile", "email", "website", "address",
@@ -339,17 +341,24 @@ def union_sources(*parts: DataFrame) -> DataFrame:
     return result
 
 
-def dedup_leads(leads: DataFrame) -> DataFrame:
-    """First lead per normalised name and city, in order of phase, task and position."""
+def dedup_leads(leads: DataFrame, per: Sequence[str] = ()) -> DataFrame:
+    """First lead per normalised name and city, in order of phase, task and position. per: columns of the job."""
     keyed = leads.filter(F.length("company_name") >= 3).withColumn(
         "dedup_key", C.dedup_key("company_name", "city")
     )
-    return first_per_key(keyed, ["dedup_key"], [F.col(c) for c in ARRIVAL])
+    return first_per_key(keyed, [*per, "dedup_key"], [F.col(c) for c in ARRIVAL])
+
 
+def cap_leads(leads: DataFrame, most: int | str = 500, per: Sequence[str] = ()) -> DataFrame:
+    """The first leads to arrive (a top-n plan), or the first of every job.
 
-def cap_leads(leads: DataFrame, most: int = 500) -> DataFrame:
-    """The first leads to arrive (a top-n plan)."""
-    return leads.orderBy(*ARRIVAL).limit(most)
+    most: a number, or with `per` also the name of a column with the request's own limit. Jobs are numbered by
+    ranges of the arrival order, so a job of any size is many tasks; job ids are not null.
+    """
+    if not per:
+        return leads.orderBy(*ARRIVAL).limit(most)
+    limit = F.col(most) if isinstance(most, str) else F.lit(most)
+    return number_rows(leads, list(per), ARRIVAL, "_arrived").filter(F.col("_arrived") <= limit).drop("_arrived")
 
 
 def site_contacts(pages: DataFrame, known_paths: DataFrame) -> DataFrame:
@@ -385,19 +394,24 @@ def site_contacts(pages: DataFrame, known_paths: DataFrame) -> DataFrame:
     )
 
 
-def enrich_leads(leads: DataFrame, contacts: DataFrame, most: int | None = None) -> DataFrame:
+def enrich_leads(leads: DataFrame, contacts: DataFrame, most: int | None = None, per: Sequence[str] = ()) -> DataFrame:
     """Fill phone, e-mail and address of leads that have a web site and no contact.
 
     Contacts hold one row per site, so a site shared by many leads only skews the lead side, which the
-    adaptive skew join splits. `most` limits how many leads are looked up, in order of arrival.
+    adaptive skew join splits; leads that need nothing are dealt by a hash, not all to one task.
+    `most` limits how many leads are looked up, in order of arrival, for every job if `per` names its columns.
     """
     needy = T.is_filled("website") & ~C.has_contact()
     leads = leads.withColumn("_site", F.when(needy, T.site_base("website")))
     if most is not None:
-        chosen = leads.filter(needy).orderBy(*ARRIVAL).limit(most).select(*ARRIVAL, F.lit(True).alias("_chosen"))
-        leads = leads.join(chosen, ARRIVAL, "left").withColumn(
+        keys = [*per, *ARRIVAL]
+        chosen = cap_leads(leads.filter(needy), most, per).select(*keys, F.lit(True).alias("_chosen"))
+        leads = leads.join(chosen, keys, "left").withColumn(
             "_site", F.when(F.col("_chosen"), F.col("_site"))
         ).drop("_chosen")
+    # no address of a site starts like this
+    nowhere = F.concat(F.lit("none:"), F.xxhash64(*ARRIVAL).cast("string"))
+    leads = leads.withColumn("_site", F.coalesce("_site", nowhere))
 
     def fill(c: str) -> Column:
         return T.or_blank(F.coalesce(T.blank_to_null(c), F.col(f"site_{c}"))).alias(c)
@@ -425,12 +439,13 @@ def score_leads(leads: DataFrame) -> DataFrame:
     )
 
 
-def lead_directory(listings: DataFrame, contacts: DataFrame, most: int | None = None) -> DataFrame:
-    """Deduplicated, optionally capped, enriched and scored leads."""
-    leads = dedup_leads(listings)
+def lead_directory(listings: DataFrame, contacts: DataFrame, most: int | str | None = None,
+                   per: Sequence[str] = ()) -> DataFrame:
+    """Deduplicated, optionally capped, enriched and scored leads; of every job on its own if `per` names its columns."""
+    leads = dedup_leads(listings, per)
     if most is not None:
-        leads = cap_leads(leads, most)
-    return score_leads(enrich_leads(leads, contacts))
+        leads = cap_leads(leads, most, per)
+    return score_leads(enrich_leads(leads, contacts, per=per))
 
 
 def lookup_dims(leads: DataFrame) -> DataFrame:

@@ -170,8 +170,7 @@ def stream_last_events(spark, sf):
 
 def stream_job_state(spark, sf):
     rows = S.run_to_table(S.job_states(_event_stream(spark, sf)), "job-state", "update")
-    settled = rows.filter("status <> 'timeout'")
-    last = settled.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "updated_at"), "batch").alias("s"))
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "updated_at"), "batch").alias("s"))
     return last.select("job_id", "s.status", "s.progress", _seconds("s.updated_at").alias("updated_at"))
 
 
@@ -284,7 +283,9 @@ ORACLES = {
     "downloaded_leads": """SELECT c_custkey::VARCHAR AS id, c_name AS company_name, CASE WHEN c_custkey % 2 = 0 THEN '9' ELSE '8' END || lpad(c_custkey::VARCHAR, 9, '0') AS phone,
         least(round((c_custkey % 11) / 8.0, 3), 1.0)::DOUBLE AS confidence_score FROM customer""",
     "stream_last_events": _LAST,
-    "stream_job_state": f"""WITH {_EV} SELECT job_id, status, progress, {_SEC.format('coalesce(end_ts, last_ts)')} AS updated_at
+    "stream_job_state": f"""WITH {_EV} SELECT job_id, progress, {_SEC.format('coalesce(end_ts, last_ts)')} AS updated_at,
+        CASE WHEN end_ts IS NULL AND last_ts + INTERVAL {fv.JOB_TIMEOUT_SECONDS} SECOND < (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE
+          THEN 'timeout' ELSE status END AS status
       FROM states LEFT JOIN ends USING (job_id) LEFT JOIN lastp USING (job_id)""",
     "stream_throttle": f"WITH {_spaced_sql('user_id', '600 SECOND')}".replace("SELECT r.key,", "SELECT r.key AS job_id,").replace("AS row_id", "AS event_id").replace("SELECT r.key AS job_id, (SELECT min(e.ts)", "SELECT r.key, (SELECT min(e.ts)"),
     "stream_first_fetches": f"WITH {_spaced_sql(chr(39).join(['event_type || ', ':', ' || user_id']), '3600 SECOND')}".replace("AS row_id", "AS request_id"),

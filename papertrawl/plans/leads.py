@@ -14,6 +14,8 @@ from papertrawl.sources import rendered, tables
 from papertrawl.sources.tables import spread, table
 
 KEY = ["source", "item"]
+#: Limits of the three requests of lead_jobs.
+JOB_LIMITS = (40, 300, 5000)
 
 
 def _leads(spark, sf):
@@ -53,6 +55,14 @@ def lead_directory(spark, sf):
     return leads.select(*KEY, "company_name", "phone", "email", "quality_score", "confidence_score")
 
 
+def lead_jobs(spark, sf):
+    """Three jobs over the sources, each with its own limit; a firm listed in two jobs is a lead of both."""
+    listings = rendered.lead_listings(spark, sf).withColumn("job_id", (F.col("task") + F.col("source_rank")) % 3)
+    limits = F.get(F.array(*[F.lit(n) for n in JOB_LIMITS]), F.col("job_id"))
+    leads = L.lead_directory(listings.withColumn("max_leads", limits), _contacts(spark, sf), "max_leads", ["job_id"])
+    return leads.select("job_id", *KEY, "company_name", "phone", "email", "was_enriched", "quality_score")
+
+
 def enrichment_stats(spark, sf):
     return L.enrichment_stats(
         L.enrich_leads(L.dedup_leads(rendered.lead_listings(spark, sf)), _contacts(spark, sf))
@@ -238,7 +248,7 @@ def business_page_leads(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    lead_dedup, lead_cap, lead_quality, site_contacts, lead_enrich, lead_directory, enrichment_stats, lead_coverage,
+    lead_dedup, lead_cap, lead_quality, site_contacts, lead_enrich, lead_directory, lead_jobs, enrichment_stats, lead_coverage,
     lead_counts, lead_sorted_counts, lead_dims, segment_summary, segment_keys, high_priority,
     high_priority_fallback, lead_filters, lead_page, lead_page_envelope, lead_report, lead_numbers,
     lead_storage_rows, lead_view, lead_export, clean_requests, request_grid, known_categories, gated_sources,
@@ -324,6 +334,16 @@ ORACLES = {
         least(round(q / 8.0, 3), 1.0)::DOUBLE AS confidence_score FROM (
         SELECT *, CASE WHEN phone <> '' OR mobile <> '' THEN 3 ELSE 0 END + CASE WHEN email <> '' THEN 3 ELSE 0 END
           + CASE WHEN website <> '' THEN 1 ELSE 0 END + CASE WHEN address <> '' THEN 1 ELSE 0 END AS q FROM enriched)"""),
+    "lead_jobs": _with(f"""SELECT job_id, source, item, company_name, p AS phone, e AS email, was_enriched,
+        CASE WHEN p <> '' OR mobile <> '' THEN 3 ELSE 0 END + CASE WHEN e <> '' THEN 3 ELSE 0 END
+          + CASE WHEN website <> '' THEN 1 ELSE 0 END + CASE WHEN a <> '' THEN 1 ELSE 0 END AS quality_score
+      FROM (SELECT *, coalesce(nullif(phone, ''), site_phone, '') AS p, coalesce(nullif(email, ''), site_email, '') AS e,
+          coalesce(nullif(address, ''), site_address, '') AS a, site IS NOT NULL AS was_enriched
+        FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY source_rank, task, item) AS place FROM (
+          SELECT *, (task + source_rank) % 3 AS job_id FROM keyed
+          QUALIFY row_number() OVER (PARTITION BY (task + source_rank) % 3, dedup_key ORDER BY source_rank, task, item) = 1)) d
+        LEFT JOIN sites ON website <> '' AND phone = '' AND mobile = '' AND email = '' AND site = replace(website, '/home', '')
+        WHERE place <= [{', '.join(map(str, JOB_LIMITS))}][job_id + 1])"""),
     "enrichment_stats": _with("""SELECT source, count(*) AS leads,
         count(*) FILTER (was_enriched AND phone <> '') AS enriched_phone,
         count(*) FILTER (was_enriched AND email <> '') AS enriched_email FROM enriched GROUP BY source"""),

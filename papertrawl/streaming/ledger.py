@@ -1,6 +1,6 @@
 """Streaming jobs: event states, buffers, throttling, cache windows, continuous ingestion.
 
-State per key is a handful of values. A trigger's rows of one key reach its handler together; the size of a
+State per key is a handful of values; that of a job is dropped KEEP_SECONDS of event time after its end. A trigger's rows of one key reach its handler together; the size of a
 trigger is set at the source (maxFilesPerTrigger, maxOffsetsPerTrigger). Handlers that depend on order keep only
 the sorted times of those rows; the others fold row by row and take the rows in any order.
 """
@@ -8,7 +8,7 @@ the sorted times of those rows; the others fold row by row and take the rows in
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +27,9 @@ ship_with_tasks(__name__)
 # plain values travel with the handlers; the module they come from need not be on the executors
 TERMINAL = tuple(fv.TERMINAL_EVENTS)
 
+#: How long the state of a settled job stays.
+KEEP_SECONDS = 86_400
+
 EVENT = "job_id bigint, event_id bigint, ts timestamp, event string, progress int"
 
 
@@ -96,10 +99,13 @@ class Spaced(StatefulProcessor):
 
 
 class JobState(StatefulProcessor):
-    """Status of a job; the first terminal event latches it. Jobs silent for too long time out."""
+    """Status of a job; the first terminal event or time-out latches it. Jobs silent for too long time out.
+
+    A settled job's state is cleared `keep` seconds of event time after its last event.
+    """
 
-    def __init__(self, seconds: int) -> None:
-        self.seconds = seconds
+    def __init__(self, seconds: int, keep: int) -> None:
+        self.seconds, self.keep = seconds, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -109,6 +115,8 @@ class JobState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         old = tuple(self.seen.get()) if self.seen.exists() else (None, None, 0, None, None, None)
+        if old[5] == "timeout":
+            return
         last, progress, end = old[:2], old[2], old[3:]
         for pdf in rows:
             for ts, eid, event, pct in zip(_times(pdf), pdf["event_id"].tolist(), pdf["event"], pdf["progress"].tolist()):
@@ -118,18 +126,27 @@ class JobState(StatefulProcessor):
                 elif last[0] is None or (ts, eid) > last:
                     last, progress = (ts, eid), pct
         self.seen.update((*last, progress, *end))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if end[0] is None and timerValues.getCurrentWatermarkInMs() >= 0:
-            silent = int(pd.Timestamp(last[0]).timestamp() * 1000) + self.seconds * 1000
-            self.handle.registerTimer(max(silent, timerValues.getCurrentWatermarkInMs() + 1))
+        self._wake(max(t for t in (last[0], end[0]) if t), self.keep if end[0] else self.seconds, timerValues)
         status = {"complete": "success", "error": "failed", None: "processing"}[end[2]]
         yield self._row(key, status, 100 if status == "success" else progress, end[0] or last[0])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         old = tuple(self.seen.get())
+        if old[5]:  # settled long ago
+            self.seen.clear()
+            return
+        self.seen.update((*old[:3], old[0], old[1], "timeout"))
+        self._wake(old[0], self.keep, timerValues)
         yield self._row(key, "timeout", old[2], old[0])
 
+    def _wake(self, since, seconds: int, timerValues) -> None:
+        """The job's one timer, at so many seconds after the given time."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        now = timerValues.getCurrentWatermarkInMs()
+        if now >= 0:
+            self.handle.registerTimer(max(int(pd.Timestamp(since).timestamp() * 1000) + seconds * 1000, now + 1))
+
     @staticmethod
     def _row(key, status, progress, ts) -> pd.DataFrame:
         return pd.DataFrame({"job_id": [key[0]], "status": [status], "progress": [int(progress)], "updated_at": [ts]})
@@ -144,10 +161,11 @@ def last_events(events: DataFrame, n: int = fv.EVENTS_KEPT) -> DataFrame:
     )
 
 
-def job_states(events: DataFrame, seconds: int = fv.JOB_TIMEOUT_SECONDS, delay: str = "10 minutes") -> DataFrame:
+def job_states(events: DataFrame, seconds: int = fv.JOB_TIMEOUT_SECONDS, delay: str = "10 minutes",
+               keep: int = KEEP_SECONDS) -> DataFrame:
     """Status changes per job, with time-outs driven by event time."""
     return events.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(
-        JobState(seconds), "job_id bigint, status string, progress int, updated_at timestamp", "Update", "EventTime"
+        JobState(seconds, keep), "job_id bigint, status string, progress int, updated_at timestamp", "Update", "EventTime"
     )
 
 
@@ -170,9 +188,13 @@ def distinct_within(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
     return requests.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["cache_key"])
 
 
-def distinct_leads(leads: DataFrame) -> DataFrame:
-    """First arrival per name and city."""
-    return leads.withColumn("dedup_key", C.dedup_key("company_name", "city")).dropDuplicates(["dedup_key"])
+def distinct_leads(leads: DataFrame, per: Sequence[str] = (), delay: str | None = None) -> DataFrame:
+    """First arrival per name and city, of every job if `per` names its columns.
+
+    With a delay, leads carry `ts`, and a key is forgotten once the watermark is that far past it; without, it stays.
+    """
+    keyed, keys = leads.withColumn("dedup_key", C.dedup_key("company_name", "city")), [*per, "dedup_key"]
+    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys) if delay else keyed.dropDuplicates(keys)
 
 
 def ingest_contacts(documents: DataFrame) -> DataFrame:

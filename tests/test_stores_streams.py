@@ -95,6 +95,44 @@ def test_silent_jobs_time_out(spark, tmp_path):
     assert (2, "timeout") not in seen
 
 
+def _events_file(spark, folder, name, rows):
+    df = spark.createDataFrame(rows, "event_id bigint, t string, user_id bigint, event_type string, value double")
+    df.select("event_id", F.col("t").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value",
+              F.lit("{}").alias("props")).coalesce(1).write.parquet(str(folder / f"w-{name}"))
+    (folder / "in").mkdir(exist_ok=True)
+    (folder / "in" / f"events-{name}.parquet").write_bytes(next((folder / f"w-{name}").glob("part-*.parquet")).read_bytes())
+
+
+def test_time_outs_latch_and_settled_jobs_are_forgotten(spark, tmp_path):
+    state, out = str(tmp_path / "state"), str(tmp_path / "out")
+
+    def run(name, rows):
+        _events_file(spark, tmp_path, name, rows)
+        stream = _as_jobs(S.read_stream(spark, str(tmp_path / "in"), "events"))
+        got = S.run_to_table(S.job_states(stream, keep=7200), "t", "update", state, out).collect()
+        return {(r["batch"], r["job_id"], r["status"]) for r in got}
+
+    first = run("1", [(1, "2024-01-01 00:00:00", 1, "click", 5.0), (2, "2024-01-01 01:30:00", 2, "purchase", 5.0)])
+    assert {s for _, j, s in first if j == 1} == {"processing", "timeout"}
+    # a job that timed out stays so while its state is kept, late for its own time but within the watermark
+    second = run("2", [(3, "2024-01-01 01:25:00", 1, "click", 6.0), (4, "2024-01-01 09:00:00", 3, "click", 5.0)])
+    assert {x for x in second - first if x[1] == 1} == set()
+    # two hours after its last event its state is gone: the same job number is a new job
+    third = run("3", [(5, "2024-01-01 09:05:00", 1, "click", 7.0)])
+    assert {s for _, j, s in third - second if j == 1} == {"processing"}
+
+
+@pytest.mark.parametrize("per, want", [([], ["a0", "a2"]), (["job_id"], ["a0", "a2", "b1"])])
+def test_a_job_has_leads_of_its_own(spark, per, want):
+    from papertrawl.operators import leads as L
+
+    rows = [("a", 0, 0, 0, "Acme Works", "Pune"), ("b", 1, 0, 1, "ACME works", "Pune"), ("a", 0, 0, 2, "Bolt Ltd", "Pune"),
+            ("a", 0, 0, 3, "Core Ltd", "Pune")]
+    leads = spark.createDataFrame(rows, "job_id string, source_rank int, task int, item int, company_name string, city string")
+    kept = L.cap_leads(L.dedup_leads(leads, per), 2, per)
+    assert sorted(f"{r.job_id}{r.item}" for r in kept.collect()) == want
+
+
 @pytest.mark.parametrize("seconds, want", [(2, [0, 2, 4]), (3, [0, 3])])
 def test_throttle_spacing(spark, tmp_path, seconds, want):
     rows = [(i, f"2024-01-01 00:00:0{i}", 1, "click", 5.0) for i in range(6)]
