@@ -1,6 +1,8 @@
 """Operators without SQL against plain Python over the same rows, round trips and held-out accuracy."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -230,6 +232,43 @@ def test_leaks_survive_replaced_words(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, block=500).collect()} == want  # several blocks
 
 
+def test_masks_cover_every_allowed_replacement():
+    for n in range(decontam.MIN_ITEM, decontam.OVERLAP + 1):
+        gone = n - math.ceil(decontam.SIMILARITY * n)
+        masks = [m for m, of in decontam._masks([k for k in range(5, 10)]).items() if min(n, decontam._SPAN) in of]
+        taken = [{a + k for k, bit in enumerate(m) if bit == "1"} for m in masks for a in range(n - len(m) + 1)]
+        for replaced in itertools.combinations(range(n), gone):
+            assert any(not t & set(replaced) for t in taken), (n, replaced)
+
+
+def test_leaks_are_all_aligned_stretches(spark):
+    """Every allowed replacement (and one too many) of items of all lengths, against a comparison without masks."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    items = {n: [word() for _ in range(n)] for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 20)}
+    texts = []
+    for n, ws in items.items():
+        part = ws[3:16] if n == 20 else ws
+        gone = len(part) - math.ceil(decontam.SIMILARITY * len(part))
+        tries = list(itertools.combinations(range(len(part)), gone))
+        tries += draw.sample(list(itertools.combinations(range(len(part)), gone + 1)), 5)
+        for replaced in tries:
+            leak = [word() if k in replaced else w for k, w in enumerate(part)]
+            texts.append([word() for _ in range(draw.randrange(3))] + leak + [word() for _ in range(draw.randrange(3))])
+    want = {}
+    for d, ws in enumerate(texts):
+        for n, item in items.items():
+            length = min(n, decontam.OVERLAP)
+            best = max(sum(0 <= i + k < len(ws) and ws[i + k] == item[q + k] for k in range(length))
+                       for q in range(n - length + 1) for i in range(1 - length, len(ws)))
+            if best >= math.ceil(decontam.SIMILARITY * length):
+                want[d, n] = best
+    docs = spark.createDataFrame([(d, " ".join(ws), "en", "s", 0) for d, ws in enumerate(texts)], DOCS)
+    bench = spark.createDataFrame([(n, " ".join(ws)) for n, ws in items.items()], "item_id long, text string")
+    assert len(want) > 300
+    assert {(r.doc_id, r.item_id): r.agreeing for r in decontam.leaks(docs, bench).collect()} == want
+
+
 def test_secrets_of_all_documents(spark, documents):
     got = {r.doc_id: r for r in queries.op10_secrets(spark, SF).collect()}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
