@@ -2,6 +2,14 @@
 
 Lines are normalised and hashed, distinct texts of a host that hold a line are counted, lines held by more than a
 limit are removed, and a document that loses too much of its words is rejected. On top come the base rules on words.
+
+judge() has a fixed limit, as its SQL says. clean(), which texts go through, must not lose what is no boilerplate: its
+limit grows with the distinct texts of a host, and texts that share their body count once for its lines, so a large
+group of near copies keeps its text and is left to near-duplicate removal. A text shares its body when lines above the
+limit hold so much of it that it would be rejected; its body is told by the rarest of these lines. Near copies with up
+to e edited lines have at most e + 1 such lines between them. A line that more texts than the limit hold otherwise
+goes as before, so pages that are mostly such lines are still rejected.
+
 All of it is DataFrame functions: texts stay where they are read, only (host, line hash, text hash) rows are shuffled.
 
 Defined results: a null text has no words, so it fails the base rules; null hosts form one host; exact copies of a
@@ -19,6 +27,8 @@ from papertrawl.session import cut_lineage
 
 #: A line in more distinct texts of one host than this is boilerplate.
 MAX_DOCUMENTS = 50
+#: In clean() the limit is this percentage of the distinct texts of a host, if that is more.
+MAX_HOST_PERCENT = 1
 #: A document must keep at least this percentage of its words.
 MIN_KEPT_PERCENT = 50
 #: Base rules: least number of words, largest percentage of words in repeated windows, words of a window.
@@ -80,6 +90,31 @@ def frequent_lines(line_table: DataFrame, max_documents: int = MAX_DOCUMENTS) ->
             .filter(F.col("n_documents") > max_documents))
 
 
+def boilerplate(docs: DataFrame, host: Column, max_documents: int = MAX_DOCUMENTS,
+                host_percent: float = MAX_HOST_PERCENT) -> DataFrame:
+    """As removed_lines, with a limit that follows the host and bodies of near copies counted once."""
+    texts = docs.select("doc_id", host.alias("host"), text_key().alias("text_hash"),
+                        F.size(words(whole(F.col("text")))).alias("text_words"))
+    rows = cut_lineage(line_rows(docs, host), "lines")
+    limits = texts.groupBy("host").agg(F.greatest(F.lit(max_documents), F.floor(
+        F.countDistinct("text_hash") * F.lit(host_percent / 100))).alias("most"))
+    frequent = join_on(frequent_lines(rows, max_documents), limits, ["host"]).filter("n_documents > most")
+    # a set: repeated rows are judged as one; bounded by the lines of one document
+    held = join_on(rows, frequent, ["host", "line_hash"]).groupBy(*_KEY, "most").agg(
+        F.collect_set(F.struct("n_documents", "line_hash", "pos", "line_words")).alias("held"))
+    held = join_on(held, texts.dropDuplicates(_KEY), _KEY)
+    left = 100 * (F.col("text_words") - F.aggregate("held", F.lit(0), lambda n, x: n + x["line_words"]))
+    body = F.when(left < MIN_KEPT_PERCENT * F.col("text_words"), F.xxhash64(F.lit("body"), F.array_min("held")["line_hash"])
+                  ).otherwise(F.col("text_hash"))
+    held = cut_lineage(held.select(*_KEY, "most", "held", body.alias("body")), "held-lines")  # read twice
+    each = held.select(*_KEY, "most", "body", F.explode("held").alias("x")).select(
+        *_KEY, "most", "body", "x.line_hash", "x.line_words")
+    often = each.groupBy("host", "line_hash").agg(F.countDistinct("body").alias("bodies"), F.max("most").alias("most"))
+    often = often.filter("bodies > most").select("host", "line_hash")
+    return join_on(each, often, ["host", "line_hash"]).groupBy(*_KEY).agg(
+        F.sum("line_words").alias("removed_words"), F.collect_set("line_hash").alias("removed"))
+
+
 def removed_lines(docs: DataFrame, host: Column, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """Per document with lines above the limit: how many words they hold and their hashes.
 
@@ -112,7 +147,7 @@ def clean(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUME
     own = pack(docs, doc_id=docs["doc_id"], host=docs[host], text_hash=F.xxhash64(docs["text"]),
                m=measures(whole(docs["text"])))
     own = own.filter(~F.col("m.base_failed")).withColumn("n_words", F.col("m.n_words")).drop("m")
-    found = removed_lines(docs, docs[host], max_documents)
+    found = boilerplate(docs, docs[host], max_documents)
     left = 100 * (F.col("n_words") - F.coalesce("removed_words", F.lit(0)))
     both = join_on(own, found, _KEY, "left").filter(left >= MIN_KEPT_PERCENT * F.col("n_words"))
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(

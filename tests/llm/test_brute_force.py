@@ -8,13 +8,14 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
-from papertrawl.llm import anchors, chat, decontam, extract, mix, queries, secrets, shards, simhash
+from papertrawl.llm import anchors, chat, decontam, extract, mix, quality, queries, secrets, shards, simhash
 from papertrawl.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -232,6 +233,45 @@ def test_leaks_survive_replaced_words(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, block=500).collect()} == want  # several blocks
 
 
+def test_a_group_of_near_copies_keeps_one(spark, tmp_path):
+    """Near copies of one host, each with one line of its own, a host-wide footer below, and other pages."""
+    word = lambda draw: "".join(draw.choices("abcdefghij", k=5))
+    draw, footer = random.Random(4), "read more pages of this house"
+    body = [" ".join(word(draw) for _ in range(20)) for _ in range(80)]
+    rows = []
+    for k in range(300):
+        own = list(body)
+        at = draw.randrange(len(own))
+        own[at] = " ".join(["other" + word(draw), *own[at].split()[1:]])
+        rows.append((k, "\n".join([*own, footer]), "en", "a", 0))
+    rows += [(1000 + k, "\n".join([" ".join(word(draw) for _ in range(40)), footer]), "en", "a", 0) for k in range(70)]
+    rows += [(2000 + k, "\n".join([f"{word(draw)} {word(draw)}", footer, "the menu has these places " * 3]), "en", "a", 0)
+             for k in range(70)]
+    rows += [(3000 + k, "\n".join([" ".join(word(draw) for _ in range(40)), "the menu has these places " * 3]), "en", "a", 0)
+             for k in range(70)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(word(draw) for _ in range(30)))], "item_id long, text string").write.parquet(
+        f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert sum(d < 1000 for d in left) == 1
+    assert sum(1000 <= d < 2000 for d in left) == sum(d >= 3000 for d in left) == 70
+    assert not any(2000 <= d < 3000 for d in left)  # mostly boilerplate, as before
+    assert not any(footer in t or "menu" in t for t in left.values())
+
+
+def test_the_line_limit_follows_the_host(spark):
+    draw = random.Random(6)
+    own = lambda: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(40))
+    rows = [(k, own() + "\nseen on few pages" * (k < 8) + "\non all pages here", "en", "a", 0) for k in range(1000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    left = {r.doc_id: r.text for r in quality.clean(docs, max_documents=5).collect()}
+    assert len(left) == 1000 and not any("on all pages" in t for t in left.values())
+    assert sum("seen on few" in t for t in left.values()) == 8
+
+
 def test_masks_cover_every_allowed_replacement():
     for n in range(decontam.MIN_ITEM, decontam.OVERLAP + 1):
         gone = n - math.ceil(decontam.SIMILARITY * n)
