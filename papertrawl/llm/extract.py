@@ -9,7 +9,8 @@ known article blocks; fitting takes seconds on the driver, and 2 x features weig
 Pages are read, decoded and written one by one where they lie; there is no shuffle.
 
 Defined results: a null or empty html gives an empty text; broken or unclosed markup is read as browsers do as far
-as blocks are concerned, a tag cut off at the end is dropped; repeated rows give repeated rows; an empty table gives
+as blocks are concerned, a tag cut off at the end is dropped, and of unclosed elements only those of _TO_END hide the
+rest of the page; repeated rows give repeated rows; an empty table gives
 an empty result; other columns are not read.
 """
 
@@ -38,7 +39,11 @@ _BLOCK = frozenset("""address article aside blockquote body center dd details di
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section
 select summary table tbody td tfoot th thead tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title noscript template iframe svg math object textarea canvas noframes xmp".split())
+_RAW = frozenset("script style title noscript template iframe svg textarea noframes xmp".split())
+#: Of these, the ones that run to the end of the page where they are not closed; others are read on behind their tag.
+_TO_END = frozenset("script style title textarea".split())
+#: A slash at the end of a tag belongs to an unquoted value, if there is one.
+_UNQUOTED = re.compile(r"=\s*[^\s\"']+\Z")
 #: An opening tag closes an open element of these kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
@@ -151,7 +156,7 @@ class _Reader:
 
 def blocks_of(page: str) -> list[Block]:
     """Leaf blocks in page order."""
-    reader, at = _Reader(), 0
+    reader, at, unclosed = _Reader(), 0, set()
     while (m := _TAG.search(page, at)) is not None:
         reader.text(page[at:m.start()])
         at = m.end()
@@ -161,9 +166,18 @@ def blocks_of(page: str) -> list[Block]:
         tag = name.lower()
         if m[1] or m[4]:
             reader.end(tag)
-        elif tag in _RAW:
+        elif tag == "svg" and (m[3] or m[6] or "").endswith("/") and not _UNQUOTED.search(m[3] or m[6]):
+            continue
+        elif tag in _RAW and tag not in unclosed:
             stop = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.IGNORECASE).search(page, at)
-            at = stop.end() if stop else len(page)
+            if stop:
+                at = stop.end()
+            elif tag in _TO_END:
+                at = len(page)
+            else:
+                unclosed.add(tag)  # looked for once a page
+        elif tag in _RAW:
+            continue
         else:
             reader.start(tag, m[3] or m[6] or "")
     reader.text(page[at:])

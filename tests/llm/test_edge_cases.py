@@ -119,3 +119,22 @@ def test_extract(spark):
     assert len(found) == 8 and all(r.text == "" for r in found if r.page_id in (1, 2, None, 7))
     assert [r.text.count("\n\n") for r in found if r.page_id == 4] == [19_999] * 2
     assert extract.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("odd", ["<svg width='9'/>", '<svg class="icon" />', "<svg/>", "<math/>", "<object data=x>", "<canvas id=c>", "<svg>",
+                                 "<iframe src=x>", "<noscript>", "<svg a=b/><path></svg>", "<svg><text>no</text></svg>"])
+def test_text_behind_odd_elements_is_read(odd):
+    page = f"<article><p>This is the first paragraph, and it is long enough.</p>{odd}<p>Here is the second one, which stays too.</p></article>"
+    assert [b.text for b in extract.blocks_of(page)] == ["This is the first paragraph, and it is long enough.",
+                                                         "Here is the second one, which stays too."]
+
+
+@pytest.mark.parametrize("tag", ["math", "object", "canvas"])
+def test_text_inside_ordinary_elements_is_read(tag):
+    page = f"<article><p>We know that <{tag} class=x>all of <b>this</b></{tag}> holds here.</p><p>More of it, below.</p></article>"
+    assert [b.text for b in extract.blocks_of(page)] == ["We know that all of this holds here.", "More of it, below."]
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "title", "textarea"])
+def test_raw_text_runs_to_the_end(tag):
+    assert [b.text for b in extract.blocks_of(f"<p>Before.</p><{tag}>never closed <p>text")] == ["Before."]
