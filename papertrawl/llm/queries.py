@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrawl.llm import anchors, chat, decontam, extract, lines, mix, quality, secrets, shards, simhash
+from papertrawl.llm import anchors, chat, decontam, extract, lines, mix, quality, secrets, shards, simhash, trie
 from papertrawl.sources.tables import table
 
 
@@ -78,8 +78,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(F.col("spans"), secrets.KINDS).alias("spans"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {q.__name__: q for q in (op1_mix, op2_shards, op3_quality, op4_decontamination, op5_repeats, op6_simhash, op7_chat,
-                                   op8_lines, op9_extract, op10_secrets)}
+                                   op8_lines, op9_extract, op10_secrets, op13_trie)}
 
 _FOLD = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')"
 _NORMAL = rf"array_to_string(regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+'), ' ')"
@@ -144,6 +148,31 @@ SELECT doc_id, count(*) AS n_lines, count(often.line) AS n_dropped,
 FROM n LEFT JOIN often ON n.line = often.line AND n.source IS NOT DISTINCT FROM often.source GROUP BY doc_id""",
 }
 
+ORACLES["op13_trie"] = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, list(struct_pack(role, text) ORDER BY p) AS own FROM t GROUP BY 1),
+k AS (SELECT *, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda v, i: xor(v >> 1, 3988292384 * (v & 1))))) % {trie.MAX_OPENING} AS h FROM l),
+r AS (SELECT k.conv_id, list_concat(CASE WHEN h > 0 THEN coalesce(b.own, [])[1:h] ELSE [] END, k.own[h + 1:]) AS q
+  FROM k LEFT JOIN l b ON b.conv_id = k.conv_id - k.conv_id % {trie.FAMILY}),
+p AS (SELECT conv_id, d, len(q) = d AS here, CASE WHEN d > 0 THEN q[1:d] ELSE [] END AS s,
+    CASE WHEN d > 0 THEN strlen(q[d].text) ELSE 0 END AS bytes
+  FROM (SELECT *, unnest(range(0, len(q) + 1)) AS d FROM r)),
+g AS (SELECT s, d, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (here), '')) AS ends_sha256
+  FROM p GROUP BY s, d),
+c AS (SELECT CASE WHEN d > 1 THEN s[1:d - 1] ELSE [] END AS s, count(*) AS n FROM g WHERE d > 0 GROUP BY 1),
+n AS (SELECT g.*, coalesce(c.n, 0) AS n_children FROM g LEFT JOIN c USING (s)),
+u AS (SELECT CASE WHEN e > 0 THEN s[1:e] ELSE [] END AS s, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS e FROM n) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, parent.conv_id AS parent_conv_id, n.n_convs, n.n_children, u.n_leaves, u.saved_tokens,
+  n.ends_sha256
+FROM n JOIN u USING (s) LEFT JOIN n parent ON n.d > 0 AND parent.s = CASE WHEN n.d > 1 THEN n.s[1:n.d - 1] ELSE [] END"""
+
 
 def _leak_sql() -> str:
     """The same hits by joining windows on the words that a mask takes, then comparing aligned stretches."""
