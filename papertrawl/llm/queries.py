@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papertrawl.llm import anchors, chat, decontam, extract, lines, mix, quality, secrets, shards, simhash, trie
+from papertrawl.llm import anchors, chat, decontam, extract, lexical, lines, mix, pieces, quality, secrets, shards, simhash, trie
 from papertrawl.sources.tables import table
 
 
@@ -78,12 +78,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(F.col("spans"), secrets.KINDS).alias("spans"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded with an end id, and decoded from the ids alone."""
+    read = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return read.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+        .alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES = {q.__name__: q for q in (op1_mix, op2_shards, op3_quality, op4_decontamination, op5_repeats, op6_simhash, op7_chat,
-                                   op8_lines, op9_extract, op10_secrets, op13_trie)}
+                                   op8_lines, op9_extract, op10_secrets, op11_pieces, op12_search, op13_trie)}
 
 _FOLD = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')"
 _NORMAL = rf"array_to_string(regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+'), ' ')"
@@ -148,6 +160,21 @@ SELECT doc_id, count(*) AS n_lines, count(often.line) AS n_dropped,
 FROM n LEFT JOIN often ON n.line = often.line AND n.source IS NOT DISTINCT FROM often.source GROUP BY doc_id""",
 }
 
+ORACLES["op12_search"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+c AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM b) GROUP BY ALL),
+wt AS (SELECT t, floor(1000 * ln((2 * any_value(c.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * tf.n * c.n) // c.l))))::BIGINT AS score
+  FROM b JOIN tf USING (t) JOIN wt USING (t), c GROUP BY 1, 2)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= {lexical.K}"""
+
 ORACLES["op13_trie"] = rf"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
