@@ -30,15 +30,28 @@ def _first(values: Column) -> Column:
 # ---- search requests ------------------------------------------------------------------------------
 
 
+def request_rejection(requests: DataFrame) -> Column:
+    """Why a request is refused; null when it is accepted. A request may name 1 to 50 urls, if it names any."""
+    reason = F.when(~F.coalesce(F.col("max_leads").between(1, 5000), F.lit(False)), "lead limit out of range")
+    if "urls" in requests.columns:
+        return reason.when(F.size("urls") == 0, "no urls").when(F.size("urls") > 50, "too many urls")
+    return reason
+
+
+def rejected_requests(requests: DataFrame) -> DataFrame:
+    """The requests that clean_requests leaves out, with the reason."""
+    return requests.withColumn("reason", request_rejection(requests)).filter("reason is not null")
+
+
 def clean_requests(requests: DataFrame) -> DataFrame:
-    """Trim queries and places, drop blank ones, title-case places, keep lead limits within 1 to 5000.
+    """Accepted requests: queries and places trimmed, blank ones dropped, places in title case.
 
-    Columns: request_id, search_queries array, locations array, max_leads int.
+    Columns: request_id, search_queries array, locations array, max_leads int, urls array (optional).
     """
     def tidy(c: str) -> Column:
         return F.filter(F.transform(F.col(c), T.strip), lambda x: x != "")
 
-    return requests.filter(F.col("max_leads").between(1, 5000)).withColumns({
+    return requests.filter(request_rejection(requests).isNull()).withColumns({
         "search_queries": tidy("search_queries"),
         "locations": F.transform(tidy("locations"), T.title_case),
     })
@@ -59,18 +72,21 @@ def request_grid(requests: DataFrame) -> DataFrame:
 
     Columns: request_id, categories, locations, search_queries, sources (arrays). Requests without known
     categories use all of them; requests without locations use the default cities. Expansion is row-local.
+    task numbers the searches of a request and source in the order in which they run.
     """
     known_ids = [c[0] for c in fv.CATEGORIES]
     known = F.filter("categories", lambda c: c.isin(known_ids))
+    places = C.prefer(F.col("locations"), F.lit(fv.DEFAULT_CITIES))
     base = requests.select(
         "request_id", "sources", "search_queries",
         C.prefer(known, F.lit(known_ids)).alias("categories"),
-        F.explode(C.prefer(F.col("locations"), F.lit(fv.DEFAULT_CITIES))).alias("city"),
+        F.size(places).alias("cities"), F.posexplode(places).alias("city_at", "city"),
     )
     dim = F.broadcast(tables.categories(requests.sparkSession))
-    grid = base.select("request_id", "sources", "city", F.explode("categories").alias("category")).join(
-        dim, "category"
-    )
+    # searches of a source run category by category, custom queries last, each city by city
+    grid = base.select(
+        "request_id", "sources", "city", "city_at", "cities", F.posexplode("categories").alias("at", "category")
+    ).withColumn("task", F.col("at") * F.col("cities") + F.col("city_at")).join(dim, "category")
     slug = F.create_map(*[F.lit(x) for kv in fv.SERVICES_CITY_SLUGS.items() for x in kv])
 
     def search(source: str, text: Column, url: Column) -> Column:
@@ -91,12 +107,13 @@ def request_grid(requests: DataFrame) -> DataFrame:
         F.when(F.col("services_slug").isNotNull(), search("sulekha", F.col("services_slug"), services_url)),
         search("justdial", site_text, encoded(fv.SITE_SEARCH_URL, site_text)),
     )
-    by_category = grid.select("request_id", "sources", "category", "city", F.inline(searches))
+    by_category = grid.select("request_id", "sources", "category", "city", "task", F.inline(searches))
     query = F.concat_ws(" ", F.col("query"), F.col("city"), F.lit("India"))
     custom = base.select(
-        "request_id", "sources", "city", F.explode("search_queries").alias("query")
+        "request_id", "sources", "city", "city_at", "cities", "categories", F.posexplode("search_queries").alias("at", "query")
     ).select(
         "request_id", "sources", F.lit("Custom").alias("category"), "city",
+        ((F.size("categories") + F.col("at")) * F.col("cities") + F.col("city_at")).alias("task"),
         F.inline(F.array(search("bing", query, encoded(fv.SERP_URL, query)))),
     )
     return (
@@ -109,8 +126,19 @@ def request_grid(requests: DataFrame) -> DataFrame:
 # ---- pages to leads -------------------------------------------------------------------------------
 
 
+def blocked_reason(least: int = 5000, marker: str = "b_results") -> Column:
+    """Why a search result page is none: bots get short pages, or pages without a result list."""
+    html = T.or_blank("html")
+    return F.when(F.length(html) < least, "short page").when(~F.contains(html, F.lit(marker)), "no result list")
+
+
 def reject_bot_pages(pages: DataFrame, least: int = 5000, marker: str = "b_results") -> DataFrame:
-    return pages.filter((F.length("html") >= least) & F.contains("html", F.lit(marker)))
+    return pages.filter(blocked_reason(least, marker).isNull())
+
+
+def blocked_pages(pages: DataFrame, least: int = 5000, marker: str = "b_results") -> DataFrame:
+    """The pages that reject_bot_pages leaves out, with the reason: what has to be fetched again."""
+    return pages.withColumn("reason", blocked_reason(least, marker)).filter("reason is not null")
 
 
 def _explode_leads(df: DataFrame, leads: Column) -> DataFrame:
@@ -207,22 +235,21 @@ def leads_from_headings(pages: DataFrame) -> DataFrame:
     return _explode_leads(parsed, _heading_leads(F.col("dom")))
 
 
-def leads_from_cards(pages: DataFrame) -> DataFrame:
-    """Listing pages (html, category, city, …) to leads; pages without any card lead use their headings."""
-    dom = F.col("dom")
+def _card_leads(dom: Column) -> Column:
     cards = D.select_cascade(dom, fv.LISTING_CARDS)
     from_cards = F.filter(
         F.transform(cards, lambda c: D.bind(D.subtree(dom, c), _listing_lead)),
         lambda x: F.length(x["company_name"]) >= 3,
     )
-    parsed = pages.withColumn("dom", D.parse_dom("html")).withColumn("_leads", from_cards)
-    leads = F.when(F.size("_leads") > 0, F.col("_leads")).otherwise(_heading_leads(dom))
-    return _explode_leads(parsed, leads).drop("_leads")
+    return D.bind(from_cards, lambda found: F.when(F.size(found) > 0, found).otherwise(_heading_leads(dom)))
 
 
-def leads_from_services(pages: DataFrame) -> DataFrame:
-    dom = F.col("dom")
+def leads_from_cards(pages: DataFrame) -> DataFrame:
+    """Listing pages (html, category, city, …) to leads; pages without any card lead use their headings."""
+    return _explode_leads(pages.withColumn("dom", D.parse_dom("html")), _card_leads(F.col("dom")))
+
 
+def _service_leads(dom: Column) -> Column:
     def read(tree: Column) -> Column:
         return D.bind(D.page_text(tree), lambda text: _lead(
             company_name=C.clean_name(D.first_filled_text(tree, fv.SERVICE_NAME)),
@@ -234,8 +261,11 @@ def leads_from_services(pages: DataFrame) -> DataFrame:
     found = F.transform(
         D.select_cascade(dom, fv.SERVICE_CARDS), lambda card: D.bind(D.subtree(dom, card), read)
     )
-    leads = F.filter(found, lambda x: F.length(x["company_name"]) >= 3)
-    return _explode_leads(pages.withColumn("dom", D.parse_dom("html")), leads)
+    return F.filter(found, lambda x: F.length(x["company_name"]) >= 3)
+
+
+def leads_from_services(pages: DataFrame) -> DataFrame:
+    return _explode_leads(pages.withColumn("dom", D.parse_dom("html")), _service_leads(F.col("dom")))
 
 
 def _raw_link_leads(dom: Column, n: int | None = None) -> Column:
@@ -262,10 +292,7 @@ def _raw_link_leads(dom: Column, n: int | None = None) -> Column:
     )
 
 
-def leads_from_serp(pages: DataFrame, most_links: int | None = None) -> DataFrame:
-    """Search result pages to leads; pages without result items fall back to their outside links, all or the first few."""
-    dom = F.col("dom")
-
+def _serp_leads(dom: Column, most_links: int | None = None) -> Column:
     def read(tree: Column) -> Column:
         # the link goes before the heading around it, which carries no address
         title_el = F.coalesce(*[D.select_one(tree, s) for s in fv.SERP_TITLE])
@@ -285,21 +312,28 @@ def leads_from_serp(pages: DataFrame, most_links: int | None = None) -> DataFram
 
         return D.bind(seen, lead)
 
-    parsed = pages.withColumn("dom", D.parse_dom("html")).withColumn(
-        "_items", D.select_cascade(dom, fv.SERP_ITEMS)
-    )
-    found = F.filter(
-        F.transform("_items", lambda item: D.bind(D.subtree(dom, item), read)), lambda x: x["company_name"] != ""
-    )
-    leads = F.when(F.size("_items") > 0, found).otherwise(_raw_link_leads(dom, most_links))
-    return _explode_leads(parsed, leads).drop("_items")
+    def of_items(items: Column) -> Column:
+        found = F.filter(
+            F.transform(items, lambda item: D.bind(D.subtree(dom, item), read)), lambda x: x["company_name"] != ""
+        )
+        return F.when(F.size(items) > 0, found).otherwise(_raw_link_leads(dom, most_links))
+
+    return D.bind(D.select_cascade(dom, fv.SERP_ITEMS), of_items)
+
+
+def leads_from_serp(pages: DataFrame, most_links: int | None = None) -> DataFrame:
+    """Search result pages to leads; pages without result items fall back to their outside links, all or the first few."""
+    return _explode_leads(pages.withColumn("dom", D.parse_dom("html")), _serp_leads(F.col("dom"), most_links))
+
+
+def _site_links(dom: Column, site: str = fv.SITE_SEARCH_HOST) -> Column:
+    links = F.transform(D.select(dom, "a[href^='http']"), lambda a: D.attr(a, "href"))
+    return F.array_distinct(F.filter(links, lambda h: F.contains(h, F.lit(site))))
 
 
 def search_result_urls(pages: DataFrame, site: str = fv.SITE_SEARCH_HOST, n: int | None = None) -> DataFrame:
     """Distinct links of a site on each search page, in order; the first n where n is given (6 for parity)."""
-    dom = F.col("dom")
-    links = F.transform(D.select(dom, "a[href^='http']"), lambda a: D.attr(a, "href"))
-    urls = F.array_distinct(F.filter(links, lambda h: F.contains(h, F.lit(site))))
+    urls = _site_links(F.col("dom"), site)
     urls = urls if n is None else F.slice(urls, 1, n)
     keep = [c for c in pages.columns if c not in ("html", "url")]
     return (
@@ -341,6 +375,61 @@ def union_sources(*parts: DataFrame) -> DataFrame:
     return result
 
 
+def leads_on_pages(pages: DataFrame, most_links: int | None = None) -> DataFrame:
+    """Fetched pages (source, url, page_no, html) of the three sources whose pages hold leads, read in one pass.
+
+    A page is parsed once, whatever the number of jobs that asked for it, and read by its source's reader. item is
+    the place among all leads of the url's pages, as far as their order goes.
+    """
+    dom, source = F.col("dom"), F.col("source")
+    read = (F.when(source == "indiamart", _card_leads(dom)).when(source == "sulekha", _service_leads(dom))
+            .when(blocked_reason().isNull(), _serp_leads(dom, most_links)))
+    known = pages.filter(source.isin("indiamart", "bing", "sulekha")).withColumns(
+        {"category": F.lit(""), "city": F.lit("")})
+    found = known.withColumn("dom", D.parse_dom("html")).select(
+        F.col("source").alias("_source"), "url", "page_no", F.posexplode(read).alias("_at", "_lead"))
+    return found.select("url", "_source", _place("page_no", "_at"), "_lead.*").drop("category", "city")
+
+
+def _place(page_no: str, at: str) -> Column:
+    return (F.col(page_no).cast("bigint") * (1 << 20) + F.col(at)).alias("item")
+
+
+def leads_behind_searches(pages: DataFrame, linked: DataFrame, source: str = "justdial") -> DataFrame:
+    """Leads of the pages that a site search links to: url (of the search), item, lead fields.
+
+    linked: url, html. Links and leads are short rows; no page travels to another.
+    """
+    searches = pages.filter(F.col("source") == source).select("url", "page_no", "html")
+    links = searches.withColumn("dom", D.parse_dom("html")).select(
+        "url", "page_no", F.posexplode(_site_links(F.col("dom"))).alias("_at", "link")
+    ).select("url", "link", _place("page_no", "_at"))
+    read = lead_from_page(linked.select("url", "html", F.lit("").alias("category"), F.lit("").alias("city")), source)
+    return links.join(read.withColumnRenamed("url", "link").drop("item", "category", "city"), "link").drop("link").withColumn(
+        "_source", F.lit(source))
+
+
+def collect_leads(requests: DataFrame, pages: DataFrame, linked: DataFrame) -> DataFrame:
+    """Leads of every request from fetched pages: the searches of its grid, each with what its pages say.
+
+    requests: see request_grid, with max_leads. Columns added to a lead: job_id, max_leads and its place in the order
+    of arrival (phase, search, position).
+    """
+    phase = F.create_map(*[F.lit(x) for i, s in enumerate(fv.SOURCE_PHASES) for x in (s, i)])
+    grid = request_grid(requests).select(
+        F.col("request_id").alias("job_id"), F.col("source").alias("_source"), "category", "city", "task", "url")
+    found = union_sources(leads_on_pages(pages), leads_behind_searches(pages, linked))
+    leads = grid.join(found, ["_source", "url"]).withColumn("source_rank", phase[F.col("_source")])
+    return leads.drop("_source", "url").join(
+        requests.select(F.col("request_id").alias("job_id"), "max_leads"), "job_id")
+
+
+def lead_pipeline(requests: DataFrame, pages: DataFrame, linked: DataFrame, contacts: DataFrame) -> DataFrame:
+    """Requests and fetched pages to the scored leads of every job, each within its own limit."""
+    leads = collect_leads(clean_requests(requests), pages, linked)
+    return lead_directory(leads, contacts, "max_leads", ["job_id"]).drop("max_leads")
+
+
 def dedup_leads(leads: DataFrame, per: Sequence[str] = ()) -> DataFrame:
     """First lead per normalised name and city, in order of phase, task and position. per: columns of the job."""
     keyed = leads.filter(F.length("company_name") >= 3).withColumn(

@@ -10,7 +10,8 @@ from papertrawl.functions import text as T
 from papertrawl.operators import lead_reports as R
 from papertrawl.operators import leads as L
 from papertrawl.operators import ranking
-from papertrawl.sources import rendered, tables
+from papertrawl.session import cut_lineage, scratch_path
+from papertrawl.sources import rendered, sinks, tables
 from papertrawl.sources.tables import spread, table
 
 KEY = ["source", "item"]
@@ -63,6 +64,41 @@ def lead_jobs(spark, sf):
     return leads.select("job_id", *KEY, "company_name", "phone", "email", "was_enriched", "quality_score")
 
 
+#: Three jobs: categories, places, queries, sources, lead limit.
+LEAD_JOBS = [
+    (1, [], [], [], ["indiamart", "bing", "sulekha", "justdial"], 5000),
+    (2, ["trader", "ca_firm", "logistics"], [" pune", "KOLKATA ", "Mumbai"], ["MACHINERY", " "], ["bing", "sulekha"], 40),
+    (3, ["unknown"], ["mumbai", "Surat"], [], ["indiamart", "justdial"], 300),
+]
+
+
+def lead_pipeline(spark, sf):
+    """Three jobs from their requests and the fetched pages to stored leads, the third one run twice."""
+    requests = spark.createDataFrame(LEAD_JOBS, "request_id bigint, categories array<string>, locations array<string>, "
+                                     "search_queries array<string>, sources array<string>, max_leads int")
+    path = scratch_path(spark, "leads")
+    pages = rendered.fetched_pages(spark, sf)
+    leads = cut_lineage(L.lead_pipeline(requests, pages, rendered.linked_firm_pages(spark, sf), _contacts(spark, sf)), "job-leads")
+    sinks.write_leads(leads, path, requests.select(F.col("request_id").alias("job_id")))
+    sinks.write_leads(leads.filter("job_id = 3"), path)
+    stored = spark.read.schema(leads.schema).parquet(path)
+    return stored.select("job_id", "source", "company_name", "category", "city", "phone", "email", "website", "address",
+                         "was_enriched", "quality_score")
+
+
+def blocked_pages(spark, sf):
+    """Result pages to fetch again, by reason."""
+    pages = rendered.fetched_pages(spark, sf).filter("source = 'bing'").select("url", "html")
+    short = rendered.serp_pages(spark, sf).select(F.col("page_id").cast("string").alias("url"), "html")
+    return L.blocked_pages(pages.unionByName(short)).select("url", "reason")
+
+
+def rejected_requests(spark, sf):
+    requests = _requests(spark, sf).withColumn("urls", F.when(F.col("request_id") % 2 == 0, F.sequence(
+        F.lit(1), F.pmod("request_id", F.lit(60)))))
+    return L.rejected_requests(requests).select("request_id", "reason")
+
+
 def enrichment_stats(spark, sf):
     return L.enrichment_stats(
         L.enrich_leads(L.dedup_leads(rendered.lead_listings(spark, sf)), _contacts(spark, sf))
@@ -180,7 +216,7 @@ def clean_requests(spark, sf):
 
 
 def request_grid(spark, sf):
-    return L.request_grid(L.clean_requests(_requests(spark, sf)))
+    return L.request_grid(L.clean_requests(_requests(spark, sf))).drop("task")
 
 
 def known_categories(spark, sf):
@@ -248,7 +284,8 @@ def business_page_leads(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    lead_dedup, lead_cap, lead_quality, site_contacts, lead_enrich, lead_directory, lead_jobs, enrichment_stats, lead_coverage,
+    lead_dedup, lead_cap, lead_quality, site_contacts, lead_enrich, lead_directory, lead_jobs, lead_pipeline, blocked_pages,
+    rejected_requests, enrichment_stats, lead_coverage,
     lead_counts, lead_sorted_counts, lead_dims, segment_summary, segment_keys, high_priority,
     high_priority_fallback, lead_filters, lead_page, lead_page_envelope, lead_report, lead_numbers,
     lead_storage_rows, lead_view, lead_export, clean_requests, request_grid, known_categories, gated_sources,
@@ -445,3 +482,59 @@ ORACLES["site_search_leads"] = """SELECT 'https://www.justdial.com/one' || s_sup
 ORACLES["sorted_cities"] = _with(f"""SELECT city, {sql_map(fv.CITIES)}[city] AS region, n AS listings FROM
     (SELECT unnest({_CITIES}) AS city) LEFT JOIN (SELECT city, count(*) AS n FROM listings GROUP BY city) USING (city)""")
 ORACLES["lead_sorted_counts"] = ORACLES["lead_counts"]
+
+
+def _jobs_sql() -> str:
+    """The searches of LEAD_JOBS: job, source, rank, task, category and its number, city and its number, limit."""
+    cats, cities = [c[0] for c in fv.CATEGORIES], [c[0] for c in fv.CITIES]
+    rows = []
+    for job, wanted, places, queries, sources, most in LEAD_JOBS:
+        own = [c for c in wanted if c in cats] or cats
+        near = [p.strip().title() for p in places if p.strip()] or fv.DEFAULT_CITIES
+        asked = [q.strip() for q in queries if q.strip()]
+        for source in sources:
+            rank = fv.SOURCE_PHASES.index(source)
+            searches = [(c, cats.index(c), "") for c in own] + ([("Custom", -1, q) for q in asked] if source == "bing" else [])
+            rows += [f"({job}, '{source}', {rank}, {i * len(near) + j}, '{c}', {n}, '{q}', '{city}', {cities.index(city)}, {most})"
+                     for i, (c, n, q) in enumerate(searches) for j, city in enumerate(near)]
+    return "jobs(job_id, source, rank, task, category, cat_no, query, city, city_no, most) AS (VALUES " + ", ".join(rows) + ")"
+
+
+_HAS_SLUG = ", ".join(str(i) for i, c in enumerate(fv.CATEGORIES) if c[4])
+ORACLES["lead_pipeline"] = f"""
+WITH {_BASE}, {_jobs_sql()},
+f AS (SELECT c_custkey AS k, c_custkey % 17 AS cat_no, c_nationkey % 15 AS city_no, lpad(c_custkey::VARCHAR, 9, '0') AS digits, * FROM customer),
+found AS (
+  SELECT j.*, k, c_name AS company_name, CASE WHEN k % 2 = 0 THEN '9' || digits ELSE '' END AS phone,
+    CASE WHEN k % 3 = 1 THEN 'sales' || k || '@firm.in' ELSE '' END AS email,
+    CASE WHEN k % 4 <> 3 THEN 'https://www.firm' || k || '.in/home' ELSE '' END AS website,
+    CASE WHEN k % 7 = 0 THEN 'Plot ' || k ELSE '' END AS address
+  FROM jobs j JOIN f USING (cat_no, city_no) WHERE source = 'indiamart'
+  UNION ALL SELECT j.*, k, upper(replace(c_name, '#', ' ')), '9' || digits, '', 'https://www.firm' || k || '.in/home', ''
+  FROM jobs j JOIN f ON f.city_no = j.city_no AND (f.cat_no = j.cat_no AND c_mktsegment IN ('MACHINERY', 'FURNITURE') OR c_mktsegment = query)
+  WHERE source = 'bing' AND (greatest(j.cat_no, 0) + j.city_no) % 11 <> 10
+  UNION ALL SELECT j.*, s_suppkey, s_name, '9' || lpad(s_suppkey::VARCHAR, 9, '0'), '', '', CASE WHEN s_suppkey % 2 = 0 THEN 'Lane ' || s_suppkey ELSE '' END
+  FROM jobs j JOIN supplier ON s_suppkey % 17 = cat_no AND s_nationkey % 15 = city_no WHERE source = 'sulekha' AND cat_no IN ({_HAS_SLUG})
+  UNION ALL SELECT j.*, k, c_name, '6' || digits, '', 'https://www.justdial.com/firm' || k, ''
+  FROM jobs j JOIN f USING (cat_no, city_no) WHERE source = 'justdial' AND k % 10 = 0 AND k % 30 <> 0),
+firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY job_id,
+  left(regexp_replace(lower(company_name), '[^\pL\pN_]+', '', 'g'), 40), city ORDER BY rank, task, k) = 1),
+capped AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rank, task, k) <= most),
+filled AS (SELECT c.* EXCLUDE (phone, email, address), coalesce(nullif(phone, ''), site_phone, '') AS phone,
+    coalesce(nullif(email, ''), site_email, '') AS email, coalesce(nullif(address, ''), site_address, '') AS address, site IS NOT NULL AS was_enriched
+  FROM capped c LEFT JOIN sites ON website <> '' AND phone = '' AND email = '' AND site = replace(website, '/home', ''))
+SELECT job_id::BIGINT AS job_id, source, company_name, category, city, phone, email, website, address, was_enriched,
+  CASE WHEN phone <> '' THEN 3 ELSE 0 END + CASE WHEN email <> '' THEN 3 ELSE 0 END + CASE WHEN website <> '' THEN 1 ELSE 0 END
+    + CASE WHEN address <> '' THEN 1 ELSE 0 END AS quality_score FROM filled"""
+_ENCODED = "replace(url_encode({}), '%20', '+')"
+ORACLES["blocked_pages"] = f"""
+WITH c AS (SELECT c_custkey AS k, c_custkey % 17 AS cat_no, c_nationkey % 15 AS city_no, c_custkey // 5100 AS page_no, c_mktsegment,
+    ({_CITIES})[c_nationkey % 15 + 1] AS city FROM customer),
+q AS (SELECT DISTINCT page_no, ({sql_list([c[2][0] for c in fv.CATEGORIES])})[cat_no + 1] || ' ' || city || ' India contact phone' AS t
+  FROM c WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE') AND (cat_no + city_no) % 11 = 10
+  UNION ALL SELECT DISTINCT page_no, c_mktsegment || ' ' || city || ' India' FROM c WHERE city_no % 11 = 10)
+SELECT 'https://www.bing.com/search?q=' || {_ENCODED.format('t')} || '&count=10&mkt=en-IN&setlang=en-IN&cc=IN' AS url, 'no result list' AS reason FROM q
+UNION ALL SELECT s_suppkey::VARCHAR, 'short page' FROM supplier WHERE s_suppkey % 3 = 2"""
+ORACLES["rejected_requests"] = """SELECT c_custkey AS request_id, CASE WHEN (c_custkey * 7) % 6000 NOT BETWEEN 1 AND 5000 THEN 'lead limit out of range'
+    ELSE 'too many urls' END AS reason FROM customer
+  WHERE (c_custkey * 7) % 6000 NOT BETWEEN 1 AND 5000 OR (c_custkey % 2 = 0 AND c_custkey % 60 > 50)"""

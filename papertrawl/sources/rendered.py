@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papertrawl import fixed_values as fv
+from papertrawl.sources import tables
 from papertrawl.sources.tables import spread, table
 
 STATEMENT_LINES = 20
@@ -184,6 +185,98 @@ def linked_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+#: Customers whose listings share one page of a search: so many neighbouring keys, so pages never grow.
+KEYS_PER_PAGE = 5100
+#: Element and class of a listing card in each of the seven layouts.
+CARD_LAYOUTS = [("div", "bx"), ("div", "lst-bx"), ("div", "card"), ("li", "bx"), ("section", "top-supplier"),
+                ("section", "one-company"), ("article", "")]
+
+
+def fetched_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages that searches for a category and city return, in numbered pages: source, url, page_no, html.
+
+    Listings of all customers in seven card layouts, result lists of some of them (one in eleven blocked), cards of
+    suppliers by service, and site searches that link to pages of linked_firm_pages.
+    """
+    dim = tables.categories(spark)
+    slug = F.create_map(*[F.lit(x) for kv in fv.SERVICES_CITY_SLUGS.items() for x in kv])
+
+    def firms(name: str, key: str, nation: str, extra: list[str]) -> DataFrame:
+        k = F.col(key)
+        return table(spark, sf, name).select(
+            k.alias("k"), F.pmod(k, F.lit(len(fv.CATEGORIES))).cast("int").alias("category_no"),
+            F.pmod(F.col(nation), F.lit(len(fv.CITIES))).cast("int").alias("city_no"),
+            F.floor(k / KEYS_PER_PAGE).cast("int").alias("page_no"), F.lpad(k.cast("string"), 9, "0").alias("digits"), *extra,
+        ).join(F.broadcast(dim), "category_no").withColumn("city", _pick([c[0] for c in fv.CITIES], F.col("city_no")))
+
+    def pages(source: str, rows: DataFrame, url: Column, cards, around) -> DataFrame:
+        """cards: html of a firm, which may depend on the page; around: the page around the joined cards."""
+        layout = F.pmod(F.col("category_no") + F.col("city_no") + F.col("page_no"), F.lit(len(CARD_LAYOUTS)))
+        grouped = rows.withColumn("layout", layout).withColumn("card", cards).groupBy(
+            url.alias("url"), "page_no", "category_no", "city_no").agg(F.sort_array(F.collect_list(F.struct("k", "card"))).alias("rows"))
+        body = F.array_join(F.transform("rows", lambda r: r["card"]), "\n")
+        return grouped.select(F.lit(source).alias("source"), "url", "page_no",
+                              F.concat(F.lit("<html><body>"), around(body), F.lit("</body></html>")).alias("html"))
+
+    def encoded(template: str, *parts: Column) -> Column:
+        return F.format_string(template, *[F.url_encode(p) for p in parts])
+
+    k, digits = F.col("k"), F.col("digits")
+    customers = firms("customer", "c_custkey", "c_nationkey", ["c_name", "c_mktsegment"])
+    tag = _pick([t for t, _ in CARD_LAYOUTS], F.col("layout"))
+    card = F.concat(
+        F.lit("<"), tag, F.lit(' class="'), _pick([c for _, c in CARD_LAYOUTS], F.col("layout")), F.lit('"><h3><a href="/x">'),
+        F.col("c_name"), F.lit(" | Best Prices</a></h3>"),
+        _when(k % 2 == 0, F.concat(F.lit('<span class="phn">+91 9'), digits, F.lit("</span>"))),
+        _when(k % 7 == 0, F.concat(F.lit('<span class="addrs">Plot '), k, F.lit("</span>"))),
+        _when(k % 4 != 3, F.concat(F.lit('<a href="https://www.firm'), k, F.lit('.in/home">site</a>'))),
+        _when(k % 3 == 1, F.concat(F.lit('<i data-email="sales'), k, F.lit('@firm.in">mail</i>'))), F.lit("</"), tag, F.lit(">"),
+    )
+    listing = pages("indiamart", customers, encoded(fv.LISTING_URL, F.col("listing_term"), F.col("city")), card, lambda b: b)
+
+    item = F.concat(
+        F.lit('<li class="b_algo"><h2><a href="https://www.firm'), k, F.lit('.in/home">'),
+        F.upper(F.replace("c_name", F.lit("#"), F.lit(" "))), F.lit(" - Official</a></h2><p>Call 9"), digits, F.lit("</p></li>"))
+    phrase = F.concat_ws(" ", F.get("keywords", 0), F.col("city"), F.lit("India contact phone"))
+    custom = F.concat_ws(" ", F.col("c_mktsegment"), F.col("city"), F.lit("India"))
+    blocked = F.pmod(F.col("category_no") + F.col("city_no"), F.lit(11)) == 10
+    filler = F.repeat(F.lit("<!-- filler -->"), 400)
+
+    def result_list(body: Column) -> Column:
+        return F.when(blocked, F.concat(F.lit("<p>Are you a robot?</p>"), filler)).otherwise(
+            F.concat(F.lit('<ol id="b_results">'), body, F.lit("</ol>"), filler))
+
+    some = customers.filter(F.col("c_mktsegment").isin("MACHINERY", "FURNITURE"))
+    results = pages("bing", some, encoded(fv.SERP_URL, phrase), item, result_list)
+    # a custom query has no category of its own
+    by_query = pages("bing", customers.withColumn("category_no", F.lit(0)), encoded(fv.SERP_URL, custom), item, result_list)
+
+    service = F.concat(
+        F.lit('<div class="sp-card"><h2> '), F.col("s_name"), F.lit(" | Top Rated</h2><p>Dial +91 9"), digits,
+        F.lit("</p>"), _when(k % 2 == 0, F.concat(F.lit('<div class="address">Lane '), k, F.lit("</div>"))), F.lit("</div>"))
+    services_url = F.format_string(fv.SERVICES_URL, F.col("services_slug"), F.coalesce(slug[F.col("city")], F.lower("city")))
+    suppliers = firms("supplier", "s_suppkey", "s_nationkey", ["s_name"]).filter("services_slug is not null")
+    services = pages("sulekha", suppliers, services_url, service, lambda b: b)
+
+    link = F.concat(F.lit('<a href="https://www.justdial.com/firm'), k, F.lit('">one</a><a href="https://elsewhere.in/'), k,
+                    F.lit('">other</a>'))
+    three_words = F.array_join(F.slice(F.split(F.get("keywords", 0), " "), 1, 3), " ")
+    site_text = F.concat_ws(" ", F.lit("site:" + fv.SITE_SEARCH_HOST), three_words, F.col("city"))
+    searches = pages("justdial", customers.filter("k % 10 = 0"), encoded(fv.SITE_SEARCH_URL, site_text), link, lambda b: b)
+    return listing.unionByName(results).unionByName(by_query).unionByName(services).unionByName(searches)
+
+
+def linked_firm_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The pages site searches link to, but for some that are gone."""
+    k = F.col("c_custkey")
+    html = F.concat(
+        F.lit("<html><head><title>T</title></head><body><h1> "), F.col("c_name"), F.lit(" | Directory</h1><p>Phone +91 6"),
+        F.lpad(k.cast("string"), 9, "0"), F.lit("</p></body></html>"),
+    )
+    return table(spark, sf, "customer").filter((k % 10 == 0) & (k % 30 != 0)).select(
+        F.concat(F.lit("https://www.justdial.com/firm"), k).alias("url"), html.alias("html"))
+
+
 PART_PLATFORMS = ["amazon", "flipkart", "amazon", "flipkart", "manual", "flipkart", "swiggy", "zomato"]
 PART_LAYOUTS = ["jsonld", "state", "page", "page", "page", "api", "payload", "page"]
 

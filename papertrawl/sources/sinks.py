@@ -21,9 +21,29 @@ def write_products(products: DataFrame, path: str) -> None:
     P.drop_untitled(products).write.mode("append").partitionBy("job_id").parquet(path)
 
 
-def write_leads(leads: DataFrame, path: str) -> None:
-    """One distributed append; also the body of a foreachBatch."""
-    leads.write.mode("append").partitionBy("job_id").parquet(path)
+#: Files a job's leads are written to, at most.
+LEAD_FILES = 8
+
+
+def write_leads(leads: DataFrame, path: str, jobs: DataFrame | None = None) -> None:
+    """The leads of some jobs, one folder per job. A job run again replaces its own folder, and no other.
+
+    jobs: the ids (column job_id) of all jobs that ran; one that has no leads now loses those it had. By default the
+    jobs that have leads.
+    """
+    spark = leads.sparkSession
+    dealt = leads.repartition("job_id", F.pmod(F.xxhash64(*leads.columns), F.lit(LEAD_FILES)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+    if jobs is not None:
+        empty = jobs.select("job_id").distinct().join(leads.select("job_id").distinct(), "job_id", "left_anti")
+        for row in empty.toLocalIterator():  # one row a job without leads
+            _delete(spark, f"{path.rstrip('/')}/job_id={row['job_id']}")
+
+
+def write_lead_batch(leads: DataFrame, batch_id: int, path: str) -> None:
+    """The body of a foreachBatch: a job's folder has one folder per batch, which a repeated batch replaces."""
+    leads.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("job_id", "batch").parquet(path)
 
 
 def replace_index_partition(chunks: DataFrame, path: str, key: str = "doc_id", buckets: int = BUCKETS,

@@ -98,3 +98,62 @@ def test_segments_add_up(spark, sf):
     rows = {r["segment"]: r["leads"] for r in R.segment_summary(leads).collect()}
     total = rows.pop("TOTAL")
     assert total == sum(rows.values()) == leads.count()
+
+
+def _page(source, url, html, page_no=0):
+    return (source, url, page_no, html)
+
+
+def test_two_jobs_that_ask_for_one_page_read_it_once_and_each_keep_its_leads(spark):
+    from papertrawl import fixed_values as fv
+    from papertrawl.operators import leads as L
+
+    requests = spark.createDataFrame(
+        [(1, ["trader"], ["Pune"], [], ["indiamart"], 1), (2, ["trader"], ["Pune"], [], ["indiamart", "justdial"], 10)],
+        "request_id bigint, categories array<string>, locations array<string>, search_queries array<string>, sources array<string>, max_leads int")
+    urls = {r["source"]: r["url"] for r in L.request_grid(requests).collect()}
+    cards = "".join(f'<div class="bx"><h3><a>{n}</a></h3><span class="phn">98765432{i:02d}</span></div>' for i, n in enumerate(
+        ["Acme Works", "ACME works", "Bolt Ltd"]))
+    pages = spark.createDataFrame(
+        [_page("indiamart", urls["indiamart"], cards), _page("indiamart", urls["indiamart"], '<div class="bx"><h3><a>Late Firm</a></h3></div>', 1),
+         _page("justdial", urls["justdial"], f'<a href="https://www.{fv.SITE_SEARCH_HOST}/a">x</a><a href="https://www.{fv.SITE_SEARCH_HOST}/gone">y</a>'),
+         _page("indiamart", "https://nobody.asked", cards), _page("other", "https://x", cards)],
+        "source string, url string, page_no int, html string")
+    linked = spark.createDataFrame([(f"https://www.{fv.SITE_SEARCH_HOST}/a", "<h1>Dial Shop</h1>")], "url string, html string")
+    contacts = spark.createDataFrame([], "site string, site_phone string, site_email string, site_address string")
+    found = L.lead_pipeline(requests, pages, linked, contacts).collect()
+    assert sorted((r.job_id, r.company_name, r.category, r.city) for r in found) == [
+        (1, "Acme Works", "trader", "Pune"), (2, "Acme Works", "trader", "Pune"), (2, "Bolt Ltd", "trader", "Pune"),
+        (2, "Dial Shop", "trader", "Pune"), (2, "Late Firm", "trader", "Pune")]
+    assert "max_leads" not in found[0].asDict()
+
+
+def test_a_job_run_again_replaces_its_own_leads_only(spark, tmp_path):
+    from papertrawl.sources import sinks
+
+    path, kind = str(tmp_path / "leads"), "job_id long, company_name string"
+
+    def stored():
+        return sorted((r.job_id, r.company_name) for r in spark.read.schema(kind).parquet(path).collect())
+
+    sinks.write_leads(spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], kind), path)
+    for _ in range(2):
+        sinks.write_leads(spark.createDataFrame([(1, "b2")], kind), path, spark.createDataFrame([(1,), (3,)], "job_id long"))
+        assert stored() == [(1, "b2"), (2, "c")]
+    other = str(tmp_path / "batches")
+    for batch in (0, 1, 1):
+        sinks.write_lead_batch(spark.createDataFrame([(1, f"x{batch}")], kind), batch, other)
+    assert sorted(r.company_name for r in spark.read.parquet(other).collect()) == ["x0", "x1"]
+
+
+def test_refused_requests_and_blocked_pages_come_with_a_reason(spark):
+    from papertrawl.operators import leads as L
+
+    requests = spark.createDataFrame([(1, [], [], 0, ["u"]), (2, [], [], None, None), (3, [], [], 5, []), (4, [], [], 5, ["u"] * 51), (5, [], [], 5, ["u"])],
+                                     "request_id long, search_queries array<string>, locations array<string>, max_leads int, urls array<string>")
+    assert {(r.request_id, r.reason) for r in L.rejected_requests(requests).collect()} == {
+        (1, "lead limit out of range"), (2, "lead limit out of range"), (3, "no urls"), (4, "too many urls")}
+    assert [r.request_id for r in L.clean_requests(requests).collect()] == [5]
+    pages = spark.createDataFrame([(1, None), (2, "x" * 5000), (3, "b_results" * 600), (4, "b_results")], "page_id long, html string")
+    assert {(r.page_id, r.reason) for r in L.blocked_pages(pages).collect()} == {(1, "short page"), (2, "no result list"), (4, "short page")}
+    assert [r.page_id for r in L.reject_bot_pages(pages).collect()] == [3]
