@@ -8,9 +8,11 @@ from papertrawl import fixed_values as fv
 from papertrawl.functions import text as T
 from papertrawl.operators import jobs as J
 from papertrawl.operators import products as P
+from papertrawl.plans import leads as lead_plans
 from papertrawl.plans.contacts import email_rows_sql, phone_rows_sql
+from papertrawl.plans.leads import JOB_LIMITS
 from papertrawl.plans.retrieval import chunk_sql
-from papertrawl.session import scratch_path
+from papertrawl.session import cut_lineage, scratch_path
 from papertrawl.sources import files, rendered, sinks
 from papertrawl.sources.tables import table
 from papertrawl.streaming import ledger as S
@@ -190,6 +192,64 @@ def stream_first_fetches(spark, sf):
     return rows.select("key", F.col("row_id").alias("request_id"))
 
 
+def _arriving(spark, rows, parts: int, folder: str):
+    """The rows (with a column arrival from 0) written part by part; each part is there for the next run to find."""
+    rows = rows.withColumn("arrival", F.col("arrival").cast("int"))
+    for i in range(parts):
+        rows.filter(F.col("arrival") == i).drop("arrival").write.mode("append").parquet(folder)
+        yield S.read_folder(spark, folder, rows.drop("arrival").schema)
+
+
+def _arrival(spark, sf, parts: int):
+    """Events in so many parts by their number."""
+    events = rendered.job_events(spark, sf)
+    n = events.agg(F.max("event_id") + 1).first()[0]
+    return events, F.floor(F.col("event_id") * parts / F.lit(n))
+
+
+def stream_late_rows(spark, sf):
+    """Events in four arrivals; every 97th comes with the last one, whatever its time. Late ones go to a table of their own."""
+    events, arrival = _arrival(spark, sf, 4)
+    events = events.withColumn("arrival", F.when(F.col("event_id") % 97 == 5, 3).otherwise(arrival))
+    folder = scratch_path(spark, "split")
+    for stream in _arriving(spark, events.select("event_id", "job_id", "ts", "arrival"), 4, scratch_path(spark, "arrivals")):
+        in_time, late = S.split_late(stream, folder)
+    return in_time.select("event_id", "batch", F.lit("in time").alias("outcome")).unionByName(
+        late.select("event_id", "batch", F.lit("late").alias("outcome")))
+
+
+def stream_lead_jobs(spark, sf):
+    """Leads of three jobs in two arrivals, each job within its limit."""
+    listings = rendered.lead_listings(spark, sf).withColumn("job_id", (F.col("task") + F.col("source_rank")) % 3)
+    arrival = F.col("item") % 2
+    leads = listings.select(
+        F.col("job_id").cast("bigint").alias("job_id"), F.get(F.array(*[F.lit(n) for n in JOB_LIMITS]), F.col("job_id")).alias("max_leads"),
+        "company_name", "city", "source_rank", "task", "item", F.timestamp_seconds(1_700_000_000 + 60 * arrival).alias("ts"),
+        arrival.alias("arrival"))
+    state, out = scratch_path(spark, "lead-jobs-state"), scratch_path(spark, "lead-jobs")
+    for stream in _arriving(spark, leads, 2, scratch_path(spark, "arrivals")):
+        rows = S.run_to_table(S.capped_leads(stream), "lead-jobs", "append", state, out)
+    return rows.select("job_id", "dedup_key", "source_rank", "task", "item")
+
+
+#: A reader of stream_replay gives up after so many seconds without an event.
+PATIENCE = 43_200
+#: No job lives longer, so a reader that has been told all is remembered so long.
+JOB_LIFE = 60 * 86_400
+
+
+def stream_replay(spark, sf):
+    """Two readers of every job, one from the start and one from its middle event on, told in two runs."""
+    events, arrival = _arrival(spark, sf, 2)
+    middle = events.groupBy("job_id").agg(F.floor((F.min("event_id") + F.max("event_id")) / 2).alias("m"))
+    cursors = cut_lineage(middle.select("job_id", F.inline(F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("reader"), at.cast("bigint").alias("last_id")) for i, at in enumerate((F.lit(-1), F.col("m")))]))), "cursors")
+    state, out = scratch_path(spark, "replay-state"), scratch_path(spark, "replay")
+    for stream in _arriving(spark, events.select("job_id", "event_id", "ts", "event", arrival.alias("arrival")), 2, scratch_path(spark, "arrivals")):
+        rows = S.run_to_table(S.replay(stream, cursors, PATIENCE, keep=JOB_LIFE), "replay", "append", state, out)
+    return S.connected(cursors, _states(spark, sf)).unionByName(rows.select("job_id", "reader", "event_id", "event"))
+
+
 def stream_leads(spark, sf):
     """Distinct customers by name and market; one key may come from several customers."""
     leads = S.read_stream(spark, sf, "customer").select(
@@ -207,7 +267,7 @@ QUERIES = {f.__name__: f for f in (
     job_latest_state, last_n_events, job_timeouts, replay_from_cursor, job_counts, job_history, owned_jobs,
     job_submissions, new_jobs, owned_documents, labelled_documents, unlabelled_documents, file_screening, file_keys, unpivoted_suppliers,
     exported_segments, stored_products, replaced_index, downloaded_leads, stream_last_events, stream_job_state,
-    stream_throttle, stream_first_fetches, stream_leads, stream_contacts,
+    stream_throttle, stream_first_fetches, stream_late_rows, stream_lead_jobs, stream_replay, stream_leads, stream_contacts,
 )}
 
 _EV = """ev AS (SELECT user_id AS job_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'progress' END AS event,
@@ -292,3 +352,23 @@ ORACLES = {
     "stream_leads": r"""SELECT DISTINCT md5(left(regexp_replace(lower('Firm ' || c_nationkey), '[^\pL\pN_]+', '', 'g'), 40) || ':' || lower(c_mktsegment)) AS dedup_key FROM customer""",
     "stream_contacts": f"""SELECT doc_id, 'phone' AS kind, rank, phone AS value FROM ({_P}) UNION ALL SELECT doc_id, 'email', rank, email FROM ({_E})""",
 }
+ORACLES["stream_late_rows"] = """WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 97 = 5 THEN 3 ELSE event_id * 4 // (SELECT max(event_id) + 1 FROM events) END AS batch FROM events),
+    m AS (SELECT batch, max(ts) AS newest FROM e GROUP BY batch)
+  SELECT event_id, batch::BIGINT AS batch, CASE WHEN ts < (SELECT max(newest) FROM m WHERE m.batch < e.batch) - INTERVAL 10 MINUTE THEN 'late' ELSE 'in time' END AS outcome FROM e"""
+ORACLES["stream_lead_jobs"] = f"""WITH {lead_plans._BASE},
+  first AS (SELECT *, (task + source_rank) % 3 AS job_id, item % 2 AS arrival FROM keyed
+    QUALIFY row_number() OVER (PARTITION BY (task + source_rank) % 3, dedup_key ORDER BY item % 2, source_rank, task, item) = 1)
+  SELECT job_id::BIGINT AS job_id, dedup_key, source_rank::BIGINT AS source_rank, task::BIGINT AS task, item FROM first
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY arrival, source_rank, task, item) <= [{', '.join(map(str, JOB_LIMITS))}][job_id + 1]"""
+ORACLES["stream_replay"] = f"""WITH {_EV}, cur AS (SELECT job_id, r AS reader, CASE WHEN r = 0 THEN -1 ELSE m END AS last_id FROM range(2) a(r),
+      (SELECT job_id, floor((min(event_id) + max(event_id)) / 2)::BIGINT AS m FROM ev GROUP BY job_id)),
+  unread AS (SELECT ev.*, reader, coalesce(ts > lag(ts) OVER w + INTERVAL {PATIENCE} SECOND, false) AS gap,
+      coalesce(lag(event IN ({_TERMINAL})) OVER w, false) AS over FROM ev JOIN cur USING (job_id) WHERE event_id > last_id
+    WINDOW w AS (PARTITION BY job_id, reader ORDER BY event_id)),
+  told AS (SELECT *, min(CASE WHEN gap OR over THEN event_id END) OVER (PARTITION BY job_id, reader) AS stop FROM unread),
+  heard AS (SELECT * FROM told WHERE stop IS NULL OR event_id < stop),
+  last AS (SELECT * FROM heard QUALIFY row_number() OVER (PARTITION BY job_id, reader ORDER BY event_id DESC) = 1)
+  SELECT job_id, reader::BIGINT AS reader, NULL::BIGINT AS event_id, 'job_update:' || status AS event FROM cur JOIN states USING (job_id)
+  UNION ALL SELECT job_id, reader, event_id, event FROM heard
+  UNION ALL SELECT job_id, reader, event_id, 'timeout' FROM last WHERE event NOT IN ({_TERMINAL})
+    AND (stop IS NOT NULL OR ts + INTERVAL {PATIENCE} SECOND < (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE)"""

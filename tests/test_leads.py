@@ -100,7 +100,7 @@ def test_segments_add_up(spark, sf):
     assert total == sum(rows.values()) == leads.count()
 
 
-def _page(source, url, html, page_no=0):
+def _fetched(source, url, html, page_no=0):
     return (source, url, page_no, html)
 
 
@@ -115,9 +115,9 @@ def test_two_jobs_that_ask_for_one_page_read_it_once_and_each_keep_its_leads(spa
     cards = "".join(f'<div class="bx"><h3><a>{n}</a></h3><span class="phn">98765432{i:02d}</span></div>' for i, n in enumerate(
         ["Acme Works", "ACME works", "Bolt Ltd"]))
     pages = spark.createDataFrame(
-        [_page("indiamart", urls["indiamart"], cards), _page("indiamart", urls["indiamart"], '<div class="bx"><h3><a>Late Firm</a></h3></div>', 1),
-         _page("justdial", urls["justdial"], f'<a href="https://www.{fv.SITE_SEARCH_HOST}/a">x</a><a href="https://www.{fv.SITE_SEARCH_HOST}/gone">y</a>'),
-         _page("indiamart", "https://nobody.asked", cards), _page("other", "https://x", cards)],
+        [_fetched("indiamart", urls["indiamart"], cards), _fetched("indiamart", urls["indiamart"], '<div class="bx"><h3><a>Late Firm</a></h3></div>', 1),
+         _fetched("justdial", urls["justdial"], f'<a href="https://www.{fv.SITE_SEARCH_HOST}/a">x</a><a href="https://www.{fv.SITE_SEARCH_HOST}/gone">y</a>'),
+         _fetched("indiamart", "https://nobody.asked", cards), _fetched("other", "https://x", cards)],
         "source string, url string, page_no int, html string")
     linked = spark.createDataFrame([(f"https://www.{fv.SITE_SEARCH_HOST}/a", "<h1>Dial Shop</h1>")], "url string, html string")
     contacts = spark.createDataFrame([], "site string, site_phone string, site_email string, site_address string")

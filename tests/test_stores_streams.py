@@ -183,3 +183,78 @@ def test_replay_stops_at_the_event_that_ends_a_job(spark):
     states = spark.createDataFrame([(1, "done"), (2, "running")], "job_id long, status string")
     rows = jobs.replay_after(events, cursors, states).filter("event_id is not null").collect()
     assert sorted(r.event_id for r in rows) == [2, 3, 5]
+
+
+T0 = 1_700_000_000
+
+
+def _at(spark, rows):
+    """(job, event number, seconds, event) as events."""
+    return spark.createDataFrame([(j, e, s, k) for j, e, s, k in rows], "job_id bigint, event_id bigint, s bigint, event string").select(
+        "job_id", "event_id", F.timestamp_seconds(F.col("s") + T0).alias("ts"), "event", F.lit(5).alias("progress"))
+
+
+def _arrive(spark, folder, df):
+    df.coalesce(1).write.mode("append").parquet(str(folder))
+    return S.read_folder(spark, str(folder), df.schema)
+
+
+@pytest.mark.parametrize("job", ["throttle", "last_events", "first_fetches", "capped_leads", "replay"])
+def test_forgotten_keys_leave_no_state_and_the_query_ends(spark, tmp_path, job):
+    """Many keys in the first trigger; a row of one key a day later, and none of the many is still held."""
+    cursors = spark.range(60).select(F.col("id").alias("job_id"), F.lit(0).cast("bigint").alias("reader"), F.lit(-1).cast("bigint").alias("last_id"))
+    made = {
+        "throttle": lambda s: S.throttle(s, seconds=60), "last_events": lambda s: S.last_events(s, 5, keep=60),
+        "first_fetches": lambda s: S.first_fetches(s.select(F.col("job_id").alias("cache_key"), F.col("event_id").alias("request_id"), "ts"), 60),
+        "capped_leads": lambda s: S.capped_leads(s.select(
+            "job_id", F.lit(3).alias("max_leads"), F.col("event").alias("company_name"), F.lit("Pune").alias("city"), "ts",
+            F.lit(0).alias("source_rank"), F.lit(0).alias("task"), F.col("event_id").alias("item")), keep=60),
+        "replay": lambda s: S.replay(s, cursors, 60, keep=60),
+    }[job]
+    seen: list = []
+    first = [(j, j, j, "progress") for j in range(50)]
+    for rows in (first, [(7, 60, 90_000, "progress")], [(7, 61, 180_000, "progress")], [(7, 62, 270_000, "progress")]):
+        stream = _arrive(spark, tmp_path / "in", _at(spark, rows))
+        S.run_to_table(made(stream), job, "update" if job == "last_events" else "append", str(tmp_path / "state"), str(tmp_path / "out"), seen)
+    assert max(seen) >= 50 and seen[-1] <= 4, seen
+
+
+def test_late_rows_go_to_their_own_table_once(spark, tmp_path):
+    folder = str(tmp_path / "split")
+    for rows in ([(1, 1, 0, "progress"), (1, 2, 5000, "progress")], [(1, 3, 100, "progress"), (1, 4, 4500, "progress"), (1, 5, 9000, "complete")],
+                 [(1, 6, 4500, "progress"), (1, 7, 8500, "progress")]):
+        stream = _arrive(spark, tmp_path / "in", _at(spark, rows))
+        in_time, late = S.split_late(stream, folder)
+        in_time, late = S.split_late(stream, folder)  # nothing new: nothing changes
+    assert sorted(r.event_id for r in in_time.collect()) == [1, 2, 4, 5, 7] and sorted(r.event_id for r in late.collect()) == [3, 6]
+    # a job over the rows in time drops none of them
+    told = S.run_to_table(S.throttle(S.read_folder(spark, f"{folder}/in_time", in_time.schema), seconds=0), "t")
+    assert sorted(r.row_id for r in told.collect()) == [1, 2, 4, 5, 7]
+
+
+def test_a_lead_limit_holds_across_triggers(spark, tmp_path):
+    kind = "job_id long, max_leads int, company_name string, city string, s long, source_rank int, task int, item long"
+    first = [(1, 3, "Acme Works", "Pune", 0, 1, 0, 0), (1, 3, "ACME works", "Pune", 0, 0, 0, 1), (2, 1, "Acme Works", "Pune", 0, 0, 0, 2)]
+    second = [(1, 3, "Acme Works", "Pune", 9, 0, 0, 0), (1, 3, "Core Ltd", "Pune", 9, 0, 2, 0), (1, 3, "Bolt Ltd", "Pune", 9, 0, 1, 0),
+              (1, 3, "Dock Ltd", "Pune", 9, 0, 3, 0), (2, 1, "Bolt Ltd", "Pune", 9, 0, 0, 0), (3, 5, "Acme Works", "Goa", 9, 0, 0, 0)]
+    third = [(1, 3, "Early Ltd", "Pune", 9, 0, 0, 0), (3, 5, "Acme works", "goa", 9, 0, 0, 0)]
+    for rows in (first, second, third):
+        leads = spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds(F.col("s") + T0)).drop("s")
+        out = S.run_to_table(S.capped_leads(_arrive(spark, tmp_path / "in", leads)), "t", "append", str(tmp_path / "state"), str(tmp_path / "out"))
+    assert sorted((r.job_id, r.source_rank, r.task, r["item"]) for r in out.collect()) == [
+        (1, 0, 0, 1), (1, 0, 1, 0), (1, 0, 2, 0), (2, 0, 0, 2), (3, 0, 0, 0)]
+
+
+def test_a_replay_stopped_and_resumed_equals_one_run(spark, tmp_path):
+    rows = [(1, 0, 0, "progress"), (1, 3, 30, "progress"), (1, 6, 60, "complete"), (1, 8, 61, "progress"),
+            (2, 1, 1, "progress"), (2, 4, 700, "progress"), (3, 2, 2, "progress"), (3, 5, 50, "error"), (4, 7, 100_000, "progress")]
+    cursors = spark.createDataFrame([(1, 0, -1), (1, 1, 3), (2, 0, -1), (3, 0, 5), (4, 0, -1)], "job_id long, reader long, last_id long")
+    told = []
+    for name, parts in (("one", [rows]), ("two", [sorted(rows, key=lambda r: r[1])[:4], sorted(rows, key=lambda r: r[1])[4:]])):
+        for part in parts:
+            stream = _arrive(spark, tmp_path / name / "in", _at(spark, part))
+            out = S.run_to_table(S.replay(stream, cursors, 300), "t", "append", str(tmp_path / name / "state"), str(tmp_path / name / "out"))
+        told.append(sorted((r.job_id, r.reader, r.event_id, r.event) for r in out.collect()))
+    assert told[0] == told[1] == [
+        (1, 0, 0, "progress"), (1, 0, 3, "progress"), (1, 0, 6, "complete"), (1, 1, 6, "complete"),
+        (2, 0, 1, "progress"), (2, 0, 1, "timeout"), (4, 0, 7, "progress")]
