@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
-
-from papertrawl.fixed_values import CHARS_PER_TOKEN, MIN_CHUNK_CHARS
-from papertrawl.functions.dom import _Tree
-from papertrawl.session import ship_with_tasks
 
-ship_with_tasks(__name__)
+from papertrawl.fixed_values import CHARS_PER_TOKEN, WHITESPACE
+from papertrawl.functions.dom import parse_dom
 
 # plain SQL bodies: calls are inlined into the plan like any built-in expression
 SQL_FUNCTIONS = {
@@ -33,39 +27,36 @@ SQL_FUNCTIONS = {
 }
 
 
-class HtmlElements:
-    """html_elements(html): one row per element, in document order."""
-
-    def eval(self, html: str) -> Iterator[tuple]:
-        tree = _Tree().tree(html or "")
-        for el in tree["elements"][1:]:
-            text = " ".join(s["text"] for s in tree["strings"][el["strings_from"]:el["strings_to"]])
-            attrs = dict(el["attrs"])
-            yield el["idx"], el["parent"], el["tag"], attrs.get("id"), attrs.get("class"), attrs, text
-
-
-class ChunkText:
-    """chunk_text(text, tokens, overlap): the chunks of one text."""
-
-    def eval(self, text: str, tokens: int, overlap: int) -> Iterator[tuple]:
-        size, back = tokens * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
-        whole, at, index = text or "", 0, 0
-        while window := whole[at:at + size]:
-            head, gap, _ = window.rpartition(" ")
-            length = len(head) if gap and len(head) > back and at + size < len(whole) else size
-            piece = whole[at:at + length].strip()
-            if len(piece) > MIN_CHUNK_CHARS:
-                yield index, piece
-                index += 1
-            at += length - back
+_CUT = """aggregate(
+    sequence(1, greatest(1, CAST(2 * ceil(length(text) / ((tokens - overlap) * {chars})) + 2 AS INT))),
+    named_struct('at', 0, 'spans', CAST(array() AS ARRAY<STRUCT<start: INT, stop: INT>>)),
+    (acc, k) -> if(acc.at >= length(text), acc, transform(array(
+        transform(array(locate(' ', reverse(substring(text, acc.at + 1, tokens * {chars})))), gap ->
+          if(acc.at + tokens * {chars} < length(text) AND gap > 0 AND (tokens - overlap) * {chars} > gap,
+             acc.at + tokens * {chars} - gap, acc.at + tokens * {chars}))[0]),
+      stop -> named_struct('at', stop - overlap * {chars}, 'spans', array_append(acc.spans, named_struct('start', acc.at, 'stop', stop))))[0]),
+    acc -> acc.spans)""".format(chars=CHARS_PER_TOKEN)
+_BLANKS = "'" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "'"
+_STRIPPED = f"btrim(substring(text, s.start + 1, s.stop - s.start), {_BLANKS})"
+# a body that is one inline() stays a generator over the calling row: no join, no shuffle
+TABLE_FUNCTIONS = {
+    "chunk_text": (
+        "(text STRING, tokens INT, overlap INT) RETURNS TABLE (chunk_index INT, text STRING) RETURN SELECT inline(transform(filter("
+        f"transform({_CUT}, s -> {_STRIPPED}), piece -> length(piece) > 0), (piece, i) -> named_struct('chunk_index', i, 'text', piece)))"
+    ),
+    "html_elements": (
+        "(html STRING) RETURNS TABLE (el_idx INT, parent INT, tag STRING, id STRING, class STRING, attrs MAP<STRING, STRING>, text STRING) "
+        "RETURN SELECT inline(transform(array(parse_dom(html)), dom -> transform(filter(dom.elements, e -> e.idx > 0), e -> named_struct("
+        "'el_idx', e.idx, 'parent', e.parent, 'tag', e.tag, 'id', try_element_at(e.attrs, 'id'), 'class', try_element_at(e.attrs, 'class'), "
+        "'attrs', e.attrs, 'text', array_join(transform(slice(dom.strings, e.strings_from + 1, e.strings_to - e.strings_from), x -> x.text), ' '))))[0])"
+    ),
+}
 
 
 def register(spark: SparkSession) -> None:
     """Make the functions available to spark.sql in this session."""
     for name, body in SQL_FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")
-    elements = udtf(HtmlElements, returnType=(
-        "el_idx INT, parent INT, tag STRING, id STRING, class STRING, attrs MAP<STRING, STRING>, text STRING"
-    ))
-    spark.udtf.register("html_elements", elements)
-    spark.udtf.register("chunk_text", udtf(ChunkText, returnType="chunk_index INT, text STRING"))
+    spark.udf.register("parse_dom", parse_dom)
+    for name, body in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}{body}")

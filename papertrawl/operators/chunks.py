@@ -50,11 +50,11 @@ def chunk_spans(text: Column, tokens: int = fv.CHUNK_TOKENS, overlap: int = fv.O
 
 def chunk_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: int = fv.CHUNK_TOKENS,
-    overlap: int = fv.OVERLAP_TOKENS,
+    overlap: int = fv.OVERLAP_TOKENS, least: int = 1,
 ) -> DataFrame:
     """(key, chunk_index, text, start, is_contained): no shuffle, whole texts.
 
-    is_contained marks a last chunk that lies completely inside the one before it.
+    Chunks of under `least` characters are left out: by default blank ones only, 21 for parity. is_contained marks a last chunk that lies completely inside the one before it.
     """
     spans = chunk_spans(F.col(text), tokens, overlap)
     parts = F.transform(F.col("_spans"), lambda s, i: F.struct(
@@ -62,29 +62,34 @@ def chunk_documents(
         T.strip(F.substring(F.col(text), s["start"] + 1, s["stop"] - s["start"])).alias("text"),
         ((i > 0) & (F.length(text) <= F.get(F.col("_spans"), i - 1)["stop"])).alias("is_contained"),
     ))
-    kept = F.filter(parts, lambda p: F.length(p["text"]) > fv.MIN_CHUNK_CHARS)
+    kept = F.filter(parts, lambda p: F.length(p["text"]) >= least)
     return docs.select(key, text, spans.alias("_spans")).select(
         key, F.posexplode(kept).alias("chunk_index", "part")
     ).select(key, "chunk_index", "part.text", "part.start", "part.is_contained")
 
 
-def hashed_embedding(chunks: DataFrame, text: str = "text", dims: int = 256) -> DataFrame:
-    """Normalised hashed term counts of the first 8000 characters: the embedding used without a model.
+def _embedded(text: str, chars: int | None) -> Column:
+    """The part of a text that is embedded: all of it, or its first characters (8000 for parity)."""
+    return T.or_blank(text) if chars is None else F.left(T.or_blank(text), F.lit(chars))
+
+
+def hashed_embedding(chunks: DataFrame, text: str = "text", dims: int = 256, chars: int | None = None) -> DataFrame:
+    """Normalised hashed term counts: the embedding used without a model.
 
     Blank texts get the zero vector. All JVM-side.
     """
-    cut = chunks.withColumn("_cut", F.left(F.col(text), F.lit(fv.EMBED_CHARS)))
+    cut = chunks.withColumn("_cut", _embedded(text, chars))
     words = RegexTokenizer(inputCol="_cut", outputCol="_words", pattern=fv.WORD + "+", gaps=False).transform(cut)
     counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(words)
     unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(counts)
     return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_cut", "_words", "_tf", "_unit")
 
 
-def embed_chunks(chunks: DataFrame, scorer: Callable[..., Column] | None = None) -> DataFrame:
+def embed_chunks(chunks: DataFrame, scorer: Callable[..., Column] | None = None, chars: int | None = None) -> DataFrame:
     """Vectors from a model (a predict_batch_udf over text, loaded once per worker), else hashed terms."""
     if scorer is None:
-        return hashed_embedding(chunks)
-    return chunks.withColumn("embedding", scorer(F.left("text", F.lit(fv.EMBED_CHARS))))
+        return hashed_embedding(chunks, chars=chars)
+    return chunks.withColumn("embedding", scorer(_embedded("text", chars)))
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", scorer: Callable[..., Column] | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,21 +51,21 @@ def drop_small_regions(regions: DataFrame, least: int = 10) -> DataFrame:
 
 
 def engine_regions(words: DataFrame) -> DataFrame:
-    """One row per region with every engine's average confidence (c0, c1, …) and words (w0, w1, …).
+    """One row per region with a map from every engine that read it to its average confidence and words.
 
-    The only shuffle of words: all engines' readings of a region meet once, on the region.
+    The only shuffle of words: they are dealt by region, which both groupings can use. Any number of engines.
     """
-    def of(engine: str, value: Column) -> Column:
-        return F.when(F.col("engine") == engine, value)
-
     word = F.struct("word_idx", "text", "confidence", "x", "y", "width", "height")
     exact = F.col("confidence").cast("decimal(18,6)")
-    sides = []
-    for i, engine in enumerate(fv.OCR_ENGINES):
-        # an engine without words for a region has no average
-        average = F.try_divide(F.sum(of(engine, exact)).cast("double"), F.count(of(engine, exact)).cast("double"))
-        sides += [average.alias(f"c{i}"), F.array_sort(F.collect_list(of(engine, word))).alias(f"w{i}")]
-    return words.groupBy(*REGION).agg(F.max("region_type").alias("region_type"), *sides)
+    read = words.repartition(*REGION).groupBy(*REGION, "engine").agg(
+        F.max("region_type").alias("region_type"),
+        F.struct(F.try_divide(F.sum(exact).cast("double"), F.count(exact).cast("double")).alias("confidence"),
+                 F.array_sort(F.collect_list(word)).alias("words")).alias("reading"),
+    )
+    return read.groupBy(*REGION).agg(
+        F.max("region_type").alias("region_type"),
+        F.map_from_entries(F.collect_list(F.struct("engine", "reading"))).alias("engines"),
+    )
 
 
 def word_confidence(words: DataFrame) -> DataFrame:
@@ -73,24 +75,33 @@ def word_confidence(words: DataFrame) -> DataFrame:
     )
 
 
-def select_engine(by_region: DataFrame, ensemble: bool = True) -> DataFrame:
+def select_engine(by_region: DataFrame, ensemble: bool = True, order: Sequence[str] = tuple(fv.OCR_ENGINES)) -> DataFrame:
     """The engine each region is read by: (doc_id, page, region, region_type, engine, confidence, words).
 
-    Tables use the first engine. Other regions use the better of the first two, the first one on ties; below
-    0.75 the third engine is used when it is better still. Regions without words drop out.
+    order: engines by precedence. Tables use the first engine. Other regions use the better of the first two, the
+    first one on ties; below 0.75 the best of all other engines is used when it is better still, on ties the earlier
+    in the order, engines outside of it last and by name. Regions without words drop out.
     """
-    def side(i: int) -> Column:
-        return F.struct(F.lit(i).alias("no"), F.coalesce(f"c{i}", F.lit(0.0)).alias("confidence"))
+    def side(name: str) -> Column:
+        reading = F.try_element_at("engines", F.lit(name))
+        return F.struct(F.lit(name).alias("engine"), F.coalesce(reading["confidence"], F.lit(0.0)).alias("confidence"))
 
+    first, second, *_ = order
     table = F.col("region_type") == "table"
-    better = F.lit(ensemble) & ~table & (F.coalesce("c1", F.lit(0.0)) > F.coalesce("c0", F.lit(0.0)))
-    first = by_region.withColumn("_c", F.when(better, side(1)).otherwise(side(0)))
-    weak = ~table & (F.col("_c.confidence") < fv.OCR_RETRY_BELOW) & (F.coalesce("c2", F.lit(0.0)) > F.col("_c.confidence"))
-    chosen = first.withColumn("_c", F.when(weak, side(2)).otherwise(F.col("_c")))
-    no = F.col("_c.no")
+    better = F.lit(ensemble) & ~table & (side(second)["confidence"] > side(first)["confidence"])
+    place = lambda name: F.array_position(F.lit(list(order)), name)
+    others = F.transform(
+        F.filter(F.map_entries("engines"), lambda e: ~e["key"].isin(first, second)),
+        lambda e: F.struct((-e["value"]["confidence"]).alias("down"),
+                           F.when(place(e["key"]) > 0, place(e["key"])).otherwise(len(order) + 1).alias("place"),
+                           e["key"].alias("engine")))
+    chosen = by_region.withColumn("_c", F.when(better, side(second)).otherwise(side(first))).withColumn("_other", F.array_min(others))
+    weak = ~table & (F.col("_c.confidence") < fv.OCR_RETRY_BELOW) & (-F.col("_other.down") > F.col("_c.confidence"))
+    retried = F.struct(F.col("_other.engine").alias("engine"), (-F.col("_other.down")).alias("confidence"))
+    chosen = chosen.withColumn("_c", F.when(weak, retried).otherwise(F.col("_c")))
     return chosen.select(
-        *REGION, "region_type", F.get(F.lit(fv.OCR_ENGINES), no).alias("engine"), F.col("_c.confidence").alias("confidence"),
-        F.when(no == 0, F.col("w0")).when(no == 1, F.col("w1")).otherwise(F.col("w2")).alias("words"),
+        *REGION, "region_type", F.col("_c.engine").alias("engine"), F.col("_c.confidence").alias("confidence"),
+        F.try_element_at("engines", F.col("_c.engine"))["words"].alias("words"),
     ).filter(F.size("words") > 0)
 
 

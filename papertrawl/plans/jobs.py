@@ -111,8 +111,26 @@ def file_keys(spark, sf):
     )
 
 
+#: Neighbouring documents in one file, and the largest file taken, in ingested_files.
+FILE_DOCS, FILE_BYTES = 20, 40_000
+
+
+def ingested_files(spark, sf):
+    """Twenty documents each as a file, every fifth file sent twice, taken into a store by two runs over them."""
+    folder, store = scratch_path(spark, "uploads"), scratch_path(spark, "store")
+    docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / FILE_DOCS).alias("file"), "doc_id", F.col("text").alias("value"))
+    for copy, some in ((0, docs), (1, docs.filter("file % 5 = 0"))):
+        some.repartition("file").sortWithinPartitions("file", "doc_id").drop("doc_id").write.partitionBy("file").text(f"{folder}/copy{copy}")
+    files.ingest(spark, folder, store, FILE_BYTES, "*.txt")
+    objects, rejects = files.ingest(spark, folder, store, FILE_BYTES, "*.txt")
+    kept = objects.select("storage_key", "size", (F.sha2("content", 256) == F.col("file_hash")).alias("is_whole"), F.lit("stored").alias("outcome"))
+    return kept.unionByName(rejects.select(F.lit(None).cast("string").alias("storage_key"), "size", F.lit(None).cast("boolean").alias("is_whole"),
+                                           F.col("reason").alias("outcome")))
+
+
 def unpivoted_suppliers(spark, sf):
-    return sinks.unpivot_result(table(spark, sf, "supplier").drop("s_acctbal"), ["s_suppkey"])
+    money = F.col("s_acctbal").cast("decimal(18,2)")  # one way to write a number
+    return sinks.unpivot_result(table(spark, sf, "supplier").withColumn("s_acctbal", money), ["s_suppkey"])
 
 
 def exported_segments(spark, sf):
@@ -265,7 +283,7 @@ def stream_contacts(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     job_latest_state, last_n_events, job_timeouts, replay_from_cursor, job_counts, job_history, owned_jobs,
-    job_submissions, new_jobs, owned_documents, labelled_documents, unlabelled_documents, file_screening, file_keys, unpivoted_suppliers,
+    job_submissions, new_jobs, owned_documents, labelled_documents, unlabelled_documents, file_screening, file_keys, ingested_files, unpivoted_suppliers,
     exported_segments, stored_products, replaced_index, downloaded_leads, stream_last_events, stream_job_state,
     stream_throttle, stream_first_fetches, stream_late_rows, stream_lead_jobs, stream_replay, stream_leads, stream_contacts,
 )}
@@ -336,7 +354,8 @@ ORACLES = {
         file_hash AS plain_key, replace(filename, ' ', '_') AS safe_name, 'scrape:amazon:' || left(sha256(filename), 16) AS cache_key,
         submission_id % 4 = 0 OR head = '%PDF' AS is_pdf, left('A and B ' || filename, 31) AS sheet FROM sub""",
     "unpivoted_suppliers": """SELECT s_suppkey, 's_name' AS field, s_name AS value FROM supplier
-      UNION ALL SELECT s_suppkey, 's_nationkey', s_nationkey::VARCHAR FROM supplier""",
+      UNION ALL SELECT s_suppkey, 's_nationkey', s_nationkey::VARCHAR FROM supplier
+      UNION ALL SELECT s_suppkey, 's_acctbal', s_acctbal::DECIMAL(18,2)::VARCHAR FROM supplier""",
     "exported_segments": "SELECT c_mktsegment AS segment, count(*) AS leads FROM customer GROUP BY ALL",
     "stored_products": """SELECT 'job-' || ['amazon','flipkart','amazon','flipkart','manual','flipkart','swiggy','zomato'][p_partkey % 8 + 1] AS job_id,
         count(*) AS products FROM part GROUP BY ALL""",
@@ -372,3 +391,7 @@ ORACLES["stream_replay"] = f"""WITH {_EV}, cur AS (SELECT job_id, r AS reader, C
   UNION ALL SELECT job_id, reader, event_id, event FROM heard
   UNION ALL SELECT job_id, reader, event_id, 'timeout' FROM last WHERE event NOT IN ({_TERMINAL})
     AND (stop IS NOT NULL OR ts + INTERVAL {PATIENCE} SECOND < (SELECT max(ts) FROM ev) - INTERVAL 10 MINUTE)"""
+ORACLES["ingested_files"] = f"""WITH f AS (SELECT doc_id // {FILE_DOCS} AS file, string_agg(text || chr(10), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1),
+    c AS (SELECT sha256(t) || '.txt' AS storage_key, strlen(t)::BIGINT AS size, file FROM f UNION ALL SELECT sha256(t) || '.txt', strlen(t), file FROM f WHERE file % 5 = 0)
+  SELECT DISTINCT storage_key, size, true AS is_whole, 'stored' AS outcome FROM c WHERE size <= {FILE_BYTES}
+  UNION ALL SELECT NULL, size, NULL, 'too large' FROM c WHERE size > {FILE_BYTES}"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papertrawl.operators import chunks as K
+from papertrawl.operators import models as M
 from papertrawl.operators import ranking
 from papertrawl.operators import search as S
 from papertrawl.sources.tables import spread, table
@@ -37,6 +38,13 @@ def chunk_index(spark, sf):
     )
 
 
+def model_embeddings(spark, sf):
+    """Chunks embedded by a batch model that reads letters: the shares of e and n, to unit length."""
+    index = K.build_index(spread(table(spark, sf, "documents")), scorer=M.as_scorer(M.letter_embedder(), "float"))
+    return index.select("doc_id", "chunk_index", *[
+        F.round(F.get("embedding", M.LETTERS.index(x)).cast("double"), 4).alias(x) for x in ("e", "n")])
+
+
 def _vectors(spark, sf):
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("document_id"), "embedding"
@@ -138,7 +146,7 @@ def similar_rows(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    chunks, small_chunks, chunk_stats, chunk_index, vector_topk, vector_topk_filtered, text_search, prompts,
+    chunks, small_chunks, chunk_stats, chunk_index, model_embeddings, vector_topk, vector_topk_filtered, text_search, prompts,
     cosine_prompts, session_titles, message_sequence, recent_sessions, similar_rows,
 )}
 
@@ -155,7 +163,7 @@ def chunk_sql(size: int, back: int) -> str:
       SELECT doc_id, text, n, no + 1, off, CASE WHEN off + {size} < n AND {usable} THEN {blank} ELSE off + {size} END, n <= stop
       FROM (SELECT doc_id, text, n, no, stop - {back} AS off, stop FROM w) WHERE off < n),
     parts AS (SELECT doc_id, no, off, {strip} AS piece, inside FROM w),
-    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS chunk_index FROM parts WHERE length(piece) > 20)"""
+    kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS chunk_index FROM parts WHERE length(piece) > 0)"""
 
 
 _BIG = chunk_sql(2048, 512)
@@ -165,7 +173,11 @@ _CENTROIDS = """v AS (SELECT vec_id AS chunk_id, label::BIGINT AS document_id, e
 _SIM = "list_cosine_similarity(e, vector)"
 ORACLES = {
     "chunk_index": f"""WITH {_BIG} SELECT doc_id, chunk_index, 256 AS dims,
-        CASE WHEN regexp_matches(left(piece, 8000), '[\\pL\\pN_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM kept""",
+        CASE WHEN regexp_matches(piece, '[\\pL\\pN_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM kept""",
+    "model_embeddings": f"""WITH {_BIG}, low AS (SELECT doc_id, chunk_index, translate(piece, '{M.LETTERS.upper()}', '{M.LETTERS}') AS t FROM kept),
+        c AS (SELECT doc_id, chunk_index, [{', '.join(f"strlen(t) - strlen(replace(t, '{x}', ''))" for x in M.LETTERS)}] AS n FROM low),
+        l AS (SELECT *, greatest(sqrt(list_sum(list_transform(n, lambda x: x * x))), 1e-9) AS length FROM c)
+      SELECT doc_id, chunk_index, round((n[5] / length)::FLOAT::DOUBLE, 4) AS e, round((n[14] / length)::FLOAT::DOUBLE, 4) AS n FROM l""",
     "chunks": f"WITH {_BIG} SELECT doc_id, chunk_index, md5(piece) AS text_hash, length(piece) AS chars, inside AS is_contained FROM kept",
     "small_chunks": f"WITH {chunk_sql(256, 64)} SELECT doc_id, chunk_index, off AS start, length(piece) AS chars FROM kept",
     "chunk_stats": f"WITH {_BIG} SELECT doc_id, count(*) AS chunks, max(length(piece)) AS longest FROM kept GROUP BY doc_id",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from papertrawl import fixed_values as fv
 from papertrawl.functions import text as T
+from papertrawl.session import cut_lineage
 
 
 def extension(filename: T.ColumnOrName) -> Column:
@@ -81,3 +82,47 @@ def new_files(uploads: DataFrame, stored: DataFrame) -> DataFrame:
         stored.select("storage_key"), "storage_key", "left_anti"
     )
     return uploads.join(chosen.select("path"), "path", "left_semi")
+
+
+OBJECTS, REJECTS = "objects", "rejects"
+_OBJECT = "storage_key string, file_hash string, filename string, size bigint, content binary, shelf string"
+_REJECT = "path string, filename string, size bigint, reason string"
+
+
+def ingest(spark: SparkSession, folder: str, store: str, most: int = fv.MAX_EXTRACTION_BYTES, glob: str | None = None
+           ) -> tuple[DataFrame, DataFrame]:
+    """Files of a folder into a store that holds each content once; refused files into a table of rejects.
+
+    A file's key is its hash and extension. Keys that the store has, from this run or earlier ones, are not written
+    again, so a run over the same files adds nothing. Files that are empty or too large are refused by their length:
+    their contents are never read. Returns all objects of the store and all rejects.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    listed = (files.option("pathGlobFilter", glob) if glob else files).load(folder)
+    name = F.substring_index("path", "/", -1)
+    size = F.col("length")
+    refused = listed.select("path", name.alias("filename"), size.alias("size"), F.when(size <= 0, "empty file").when(
+        size > most, "too large").alias("reason")).filter("reason is not null")
+    known = _stored(spark, f"{store}/{REJECTS}", _REJECT)
+    refused.join(known.select("path", "size"), ["path", "size"], "left_anti").write.mode("append").parquet(f"{store}/{REJECTS}")
+
+    accepted = listed.filter((size > 0) & (size <= most))  # read only as far as this holds: the source prunes by length
+    hashed = accepted.select("path", F.sha2("content", 256).alias("file_hash"), name.alias("filename"))
+    keys = cut_lineage(hashed.withColumn("storage_key", storage_key("file_hash", "filename")), "upload-keys")
+    objects = _stored(spark, f"{store}/{OBJECTS}", _OBJECT)
+    fresh = keys.groupBy("storage_key").agg(F.min(F.struct("path", "file_hash", "filename")).alias("f")).join(
+        objects.select("storage_key"), "storage_key", "left_anti").select("storage_key", "f.*")
+    fresh = cut_lineage(fresh, "new-keys")  # settled before the store is written to
+    shelf = F.substring("file_hash", 1, 2)
+    accepted.select("path", size.alias("size"), "content").join(fresh, "path").select(
+        "storage_key", "file_hash", "filename", "size", "content", shelf.alias("shelf")
+    ).write.mode("append").partitionBy("shelf").parquet(f"{store}/{OBJECTS}")
+    return _stored(spark, f"{store}/{OBJECTS}", _OBJECT), _stored(spark, f"{store}/{REJECTS}", _REJECT)
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table of the store, empty before its first rows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

@@ -6,12 +6,37 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from papertrawl.functions.registry import ChunkText
+from papertrawl.fixed_values import CHARS_PER_TOKEN, WHITESPACE
+from papertrawl.functions.registry import register
 from papertrawl.operators import chunks as K
 from papertrawl.operators import search as S
 from papertrawl.operators.ranking import number_rows
 
 
+def step_by_step(text, tokens, overlap):
+    size, back = tokens * CHARS_PER_TOKEN, overlap * CHARS_PER_TOKEN
+    at, found = 0, []
+    while window := text[at:at + size]:
+        head, gap, _ = window.rpartition(" ")
+        length = len(head) if gap and len(head) > back and at + size < len(text) else size
+        found.append(text[at:at + length].strip(WHITESPACE))
+        at += length - back
+    return list(enumerate(p for p in found if p))
+
+
+def test_sql_reads_the_same_chunks(spark):
+    register(spark)
+    texts = [None, "", "short", "  ", "word " * 900, "a " + "y" * 400 + " b \u2003", "\u00a0 x\u3000"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").createOrReplaceTempView("some_texts")
+    rows = spark.sql("SELECT doc_id, c.* FROM some_texts, LATERAL chunk_text(text, 20, 5) c")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan and "Generate" in plan
+    want = [(i, n, p) for i, t in enumerate(texts) for n, p in step_by_step(t or "", 20, 5)]
+    assert sorted((r.doc_id, r.chunk_index, r.text) for r in rows.collect()) == sorted(want)
+    found = spark.sql("""SELECT e.* FROM (SELECT '<div id=a class="x y">one <b>two</b></div>' AS html) p, LATERAL html_elements(p.html) e""").collect()
+    assert [(r.el_idx, r.parent, r.tag, r.id, r["class"], r.text) for r in found] == [(1, 0, "div", "a", "x y", "one two"), (2, 1, "b", None, None, "two")]
+
+
 def test_chunks_equal_the_step_by_step_reading(spark):
     rng = random.Random(7)
     texts = ["", "short", "word " * 3000, "x" * 5000, "a " + "y" * 4000 + " b " + "z" * 300, "é" * 10 + " " + "日本 " * 2000]
@@ -23,7 +48,7 @@ def test_chunks_equal_the_step_by_step_reading(spark):
         for r in K.chunk_documents(df, tokens=tokens, overlap=overlap).orderBy("doc_id", "chunk_index").collect():
             got.setdefault(r["doc_id"], []).append((r["chunk_index"], r["text"]))
         for i, text in enumerate(texts):
-            assert got.get(i, []) == list(ChunkText().eval(text, tokens, overlap)), (i, tokens, overlap)
+            assert got.get(i, []) == step_by_step(text, tokens, overlap), (i, tokens, overlap)
 
 
 def test_chunks_cover_the_text(spark):

@@ -34,6 +34,25 @@ def test_uploads_are_stored_once(spark, tmp_path):
     assert {r["filename"] for r in pdf if r["pdf"]} == {"a.PDF", "b.pdf"}
 
 
+def test_a_store_takes_each_content_once_and_refuses_by_length(spark, tmp_path):
+    folder, store = tmp_path / "in", str(tmp_path / "store")
+    (folder / "more").mkdir(parents=True)
+    for name, content in (("a.PDF", b"%PDF one"), ("more/b.pdf", b"%PDF one"), ("c.txt", b"%PDF one"), ("empty.pdf", b""), ("big.pdf", b"x" * 101), ("edge.pdf", b"y" * 100)):
+        (folder / name).write_bytes(content)
+
+    def held(rows):
+        return sorted((r.storage_key.split(".")[-1], bytes(r.content)) for r in rows.collect())
+
+    for _ in range(2):
+        objects, rejects = files.ingest(spark, str(folder), store, most=100)
+        assert held(objects) == [("pdf", b"%PDF one"), ("pdf", b"y" * 100), ("txt", b"%PDF one")]
+        assert sorted((r.filename, r.reason) for r in rejects.collect()) == [("big.pdf", "too large"), ("empty.pdf", "empty file")]
+    (folder / "late.pdf").write_bytes(b"late")
+    (folder / "again.pdf").write_bytes(b"y" * 100)
+    objects, rejects = files.ingest(spark, str(folder), store, most=100)
+    assert len(held(objects)) == 4 and rejects.count() == 2
+
+
 def test_exports_replace_themselves(spark, sf, tmp_path):
     from papertrawl.operators import statements
 
