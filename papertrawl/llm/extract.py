@@ -32,7 +32,7 @@ from papertrawl.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
-TRAINING_PAGES, STEPS, RATE, PENALTY = 600, 150, 0.3, 1e-3
+TRAINING_PAGES, STEPS, RATE, PENALTY = 900, 150, 0.3, 1e-3
 
 # ---- fixed lists: kinds of tags ----
 _BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure
@@ -47,6 +47,8 @@ _UNQUOTED = re.compile(r"=\s*[^\s\"']+\Z")
 #: An opening tag closes an open element of these kinds.
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
            "th": ("td", "th"), "option": ("option",)}
+#: Blocks that an opening tag of their kind may close across.
+_NO_BORDER = frozenset("p li td th dt dd tr".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)"""
                   r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL)
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -70,7 +72,9 @@ _TAGS = """article main section nav header footer aside form div li table p h1 h
 address select""".split()
 _SHAPES = ["bias", "under_4_words", "under_10_words", "over_25_words", "links", "half_links", "sentence", "comma", "sign",
            "digits", "first", "last", "in_article_tag"]
-FEATURES = [f"tag:{t}" for t in _TAGS] + [f"hint:{h}" for h in HINTS] + [f"near:{h}" for h in HINTS] + _SHAPES
+FEATURES = [f"{kind}:{h}" for kind in ("hint", "wide", "near") for h in HINTS] + [f"tag:{t}" for t in _TAGS] + _SHAPES
+#: An element with more of a page's text outside of links than this is its body, whatever its name says.
+WIDE = 0.5
 _AT = {f: i for i, f in enumerate(FEATURES)}
 _HEADINGS = {"h4": "h3", "h5": "h3", "h6": "h3", "ol": "li", "ul": "li", "td": "table", "th": "table", "dd": "dl", "dt": "dl",
              "menu": "nav", "option": "select", "fieldset": "form", "search": "form"}
@@ -81,51 +85,78 @@ _HEADINGS = {"h4": "h3", "h5": "h3", "h6": "h3", "ol": "li", "ul": "li", "td": "
 
 @dataclass
 class Block:
+    """A leaf block. hints: of each kind, the number of the innermost element with such a word; near: the kinds of the
+    innermost element with any, and its number; both as far as they are bounded by the number of kinds, not by depth."""
     text: str
     tags: tuple[str, ...]
-    hints: tuple[str, ...]
-    near: tuple[str, ...]
+    hints: tuple[tuple[str, int], ...]
+    near: tuple[tuple[str, ...], int]
     linked: int = 0
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     tag: str
     hints: tuple[str, ...]
-    block: bool
+    number: int
+    before: int
 
 
 @dataclass
 class _Reader:
-    """Collects text until a block-level tag ends the block."""
+    """Collects text until a block-level tag ends the block.
+
+    What a block needs of its ancestors is kept as counts and innermost places, so a tag costs the same at any depth.
+    """
     open: list[_Open] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=dict)
+    borders: list[int] = field(default_factory=list)
+    inner: list[int] = field(default_factory=list)
+    named: list[_Open] = field(default_factory=list)
+    kinds: dict[str, list[int]] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
+    plain: list[int] = field(default_factory=list)
+    semantic: list[bool] = field(default_factory=list)
     linked: int = 0
+    total: int = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            hints = tuple(h for o in self.open for h in o.hints)
-            near = next((o.hints for o in reversed(self.open) if o.hints), ())
-            self.blocks.append(Block(text, tuple(o.tag for o in self.open), hints, near, min(self.linked, len(text))))
+            linked = min(self.linked, len(text))
+            hints = tuple((kind, numbers[-1]) for kind, numbers in self.kinds.items() if numbers)
+            near = (self.named[-1].hints, self.named[-1].number) if self.named else ((), -1)
+            self.blocks.append(Block(text, tuple(t for t, at in self.places.items() if at), hints, near, linked))
+            self.total += len(text) - linked
         self.parts, self.linked = [], 0
 
     def text(self, raw: str) -> None:
         if raw:
             text = entities.unescape(raw) if "&" in raw else raw
             self.parts.append(text)
-            if any(o.tag == "a" for o in self.open):
+            if self.places.get("a"):
                 self.linked += len(text.strip())
 
+    def cut(self, place: int) -> None:
+        """Close all open elements from a place on."""
+        while len(self.open) > place:
+            o = self.open.pop()
+            self.places[o.tag].pop()
+            for stack in (self.borders, self.inner):
+                if stack and stack[-1] == len(self.open):
+                    stack.pop()
+            if o.hints:
+                self.named.pop()
+                self.plain[o.number] = self.total - o.before
+                for kind in o.hints:
+                    self.kinds[kind].pop()
+
     def close(self, tags: tuple[str, ...]) -> None:
         """Close the innermost open element of these kinds and all inside it, unless a block boundary is between."""
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].block and self.open[k].tag not in ("p", "li", "td", "th", "dt", "dd", "tr"):
-                return
+        place = max((at[-1] for at in map(self.places.get, tags) if at), default=-1)
+        if place >= 0 and (not self.borders or self.borders[-1] <= place):
+            self.cut(place)
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCK:
@@ -141,17 +172,36 @@ class _Reader:
         if "=" in attributes:
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes))
             hints = tuple(dict.fromkeys(_HINT_OF[w] for w in map(str.lower, _WORD.findall(named)) if w in _HINT_OF))
-        self.open.append(_Open(tag, hints, tag in _BLOCK))
+        place = len(self.open)
+        self.open.append(o := _Open(tag, hints, len(self.plain), self.total))
+        self.places.setdefault(tag, []).append(place)
+        if tag in _BLOCK:
+            self.inner.append(place)
+            if tag not in _NO_BORDER:
+                self.borders.append(place)
+        if hints:
+            self.named.append(o)
+            self.plain.append(0)
+            self.semantic.append(tag in ("article", "main"))
+            for kind in hints:
+                self.kinds.setdefault(kind, []).append(o.number)
 
     def end(self, tag: str) -> None:
         if tag in _BLOCK:
             self.flush()
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].block and tag not in _BLOCK:
-                return
+        at = self.places.get(tag)
+        if at and (tag in _BLOCK or not self.inner or self.inner[-1] < at[-1]):
+            self.cut(at[-1])
+
+    def finish(self) -> list[Block]:
+        """The blocks; hints of elements that hold most of the page's own text, and of articles, are told apart."""
+        self.flush()
+        self.cut(0)
+        wide = [s or p > WIDE * self.total for p, s in zip(self.plain, self.semantic, strict=True)]
+        for b in self.blocks:
+            b.hints = tuple(f"{'wide' if wide[n] else 'hint'}:{kind}" for kind, n in b.hints)
+            b.near = tuple(f"near:{kind}" for kind in b.near[0] if not wide[b.near[1]])
+        return self.blocks
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -181,8 +231,7 @@ def blocks_of(page: str) -> list[Block]:
         else:
             reader.start(tag, m[3] or m[6] or "")
     reader.text(page[at:])
-    reader.flush()
-    return reader.blocks
+    return reader.finish()
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
@@ -190,8 +239,8 @@ def features(blocks: list[Block]) -> list[list[int]]:
     rows = []
     for k, b in enumerate(blocks):
         names = {f"tag:{_HEADINGS.get(t, t)}" for t in b.tags}
-        names.update(f"hint:{h}" for h in b.hints)
-        names.update(f"near:{h}" for h in b.near)
+        names.update(b.hints)
+        names.update(b.near)
         n, share = len(_WORDS.findall(b.text)), b.linked / max(1, len(b.text))
         shapes = {
             "bias": True, "under_4_words": n < 4, "under_10_words": n < 10, "over_25_words": n > 25, "links": share > 0,
@@ -366,8 +415,20 @@ class PageMaker:
             inside.append(self.boilerplate(d.choice(["comment", "form", "side", "advert"])))
         shell = d.choices(["article", self.named("article", "article"), "main", self.named("div", "article", 1),
                            self.named("section", "article", 1), "div"], [5, 3, 2, 4, 2, 1])[0]
-        body = self.wrap(shell, "".join(inside))
-        return self.wrap("main", body) if d.random() < 0.2 and shell != "main" else body
+        body = self.wrap(self.misnamed(shell, 0.35), "".join(inside))
+        body = self.wrap("main", body) if d.random() < 0.2 and shell != "main" else body
+        return self.wrap(self.misnamed("div", 0.8), body) if d.random() < 0.2 else body
+
+    def misnamed(self, opening: str, chance: float) -> str:
+        """Words that speak for boilerplate on an element that is none: "read-more", "top", "alert"."""
+        d = self.draw
+        if d.random() > chance:
+            return opening
+        words = " ".join(d.choice(HINTS[d.choice(["advert", "menu", "side", "head", "notice", "form", "foot"])].split())
+                         for _ in range(d.choice([1, 1, 2])))
+        if '="' in opening:
+            return opening[:-1] + f' {words}"'
+        return f'{opening} {d.choice(["class", "class", "id"])}="{d.choice(["", "", "read-", "post "])}{words}{d.choice(["", "", "-story"])}"'
 
     def page(self) -> tuple[str, list[bool]]:
         d, self.labels = self.draw, []

@@ -407,3 +407,62 @@ def test_extraction_reads_what_browsers_read(spark):
         plain = re.sub(r"<(?!/?(p|h1)\b)[^>]*(>|$)", " ", body)
         parts = [" ".join(p.replace("&amp;", "&").replace("&quot;", '"').split()) for p in re.split("</?(?:p|h1)>", plain)]
         assert r.text == "\n\n".join(p for p in parts if p)
+
+
+STORY = "".join(f"<p>Paragraph {i} tells the story in some detail, with commas, and goes on for a while.</p>" for i in range(6))
+
+
+@pytest.mark.parametrize("shell", [
+    'article class="post read-more content"', 'article id="top"', 'section class="main alert"', 'article class="search-results-story"',
+    'div class="promo-story"', 'div id="header-content"', 'article class="sponsored"', 'div class="related-article body"'])
+def test_a_hint_word_on_the_articles_own_element_loses_nothing(shell):
+    page = (f"<html><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><{shell}><h1>The title here</h1>{STORY}"
+            f"</{shell.split()[0]}><div class='comments'><p>Nice one, thanks for that.</p></div><footer><p>© 2024 Us</p></footer></body></html>")
+    want = "The title here\n\n" + "\n\n".join(re.findall("<p>(.*?)</p>", STORY))
+    assert extract.main_text(page, extract.trained()) == want
+
+
+def test_unclosed_elements_cost_no_more_at_any_depth():
+    import time
+    import tracemalloc
+
+    def seconds(n):
+        start = time.perf_counter()
+        blocks = extract.blocks_of("<div><b>x <i class=top>y " * n)
+        assert len(blocks) == n
+        extract.features(blocks)
+        return time.perf_counter() - start
+
+    seconds(2000)
+    assert seconds(40_000) < 60 * max(seconds(2000), 0.02)
+    tracemalloc.start()
+    assert len(extract.blocks_of("<div><b>" * 50_000 + "x" + "</a></section></b>" * 50_000)) == 1
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
+def test_extraction_on_pages_of_another_maker():
+    """Other names, other layouts, real words: nothing here comes from the lists the training pages are drawn from."""
+    d = random.Random(99)
+    nouns = "harbour council budget river museum engine season teacher bridge report village railway forest painter winter market".split()
+    verbs = "opened delayed restored visited measured planned closed praised repaired crossed described defended".split()
+
+    def sentence():
+        return f"The {d.choice(nouns)} {d.choice(verbs)} the {d.choice(nouns)}, and the {d.choice(nouns)} of the {d.choice(nouns)} {d.choice(verbs)} it again."
+
+    def links(k):
+        return "".join(f'<a href="/{i}">{d.choice(nouns).title()}</a> ' for i in range(k))
+
+    wrong = total = 0
+    for _ in range(150):
+        story = [f"<h1>{sentence()[:-1]}</h1>"] + [f"<p>{' '.join(sentence() for _ in range(d.randint(1, 5)))}</p>" for _ in range(d.randint(3, 9))]
+        shell = d.choice(["article", 'div class="lead-column"', 'section id="story-12"', 'article class="wide top"', 'div class="maincol"', "main"])
+        page = (f'<body><div class="topnav">{links(5)}</div><{shell}>{"".join(story)}</{shell.split()[0]}>'
+                f'<aside><h4>See also</h4><ul>{"".join(f"<li>{links(1)}</li>" for _ in range(4))}</ul></aside>'
+                f'<div class="user-comments"><div><p>{d.choice(nouns)} was great</p></div><div><p>{sentence()}</p></div></div>'
+                f'<form action="/s"><p>Search this site</p><input name=q></form><footer><p>Copyright {d.choice(nouns).title()} Press</p></footer></body>')
+        want = [re.sub("<.*?>", "", x) for x in story]
+        got = extract.main_text(page, extract.trained()).split("\n\n")
+        total += len(want) + 10
+        wrong += len(set(want) ^ set(got))
+    assert wrong < 0.03 * total, (wrong, total)
