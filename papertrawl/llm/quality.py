@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papertrawl.llm.common import bind, join_on, lines, normal_line, pack, text_key, whole, words
+from papertrawl.llm.common import bind, compute_once, join_on, lines, normal_line, pack, text_key, whole, words
 from papertrawl.session import cut_lineage
 
 #: A line in more distinct texts of one host than this is boilerplate.
@@ -144,8 +144,8 @@ def judge(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUME
 
 def clean(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """The documents that pass, without their boilerplate lines; n_chars follows where there is one."""
-    own = pack(docs, doc_id=docs["doc_id"], host=docs[host], text_hash=F.xxhash64(docs["text"]),
-               m=measures(whole(docs["text"])))
+    own = pack(docs, doc_id=docs["doc_id"], host=docs[host], text_hash=F.xxhash64(docs["text"]))
+    own = compute_once(own, {"m": measures(whole(F.col("row.text")))})
     own = own.filter(~F.col("m.base_failed")).withColumn("n_words", F.col("m.n_words")).drop("m")
     found = boilerplate(docs, docs[host], max_documents)
     left = 100 * (F.col("n_words") - F.coalesce("removed_words", F.lit(0)))
