@@ -94,19 +94,18 @@ def ingest(spark: SparkSession, folder: str, store: str, most: int = fv.MAX_EXTR
     """Files of a folder into a store that holds each content once; refused files into a table of rejects.
 
     A file's key is its hash and extension. Keys that the store has, from this run or earlier ones, are not written
-    again, so a run over the same files adds nothing. Files that are empty or too large are refused by their length:
-    their contents are never read. Returns all objects of the store and all rejects.
+    again, so a run over the same files adds nothing. Files that are too large are refused by their length: their
+    contents are never read. Spark lists no empty files. Returns all objects of the store and all rejects.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     listed = (files.option("pathGlobFilter", glob) if glob else files).load(folder)
     name = F.substring_index("path", "/", -1)
     size = F.col("length")
-    refused = listed.select("path", name.alias("filename"), size.alias("size"), F.when(size <= 0, "empty file").when(
-        size > most, "too large").alias("reason")).filter("reason is not null")
+    refused = listed.filter(size > most).select("path", name.alias("filename"), size.alias("size"), F.lit("too large").alias("reason"))
     known = _stored(spark, f"{store}/{REJECTS}", _REJECT)
     refused.join(known.select("path", "size"), ["path", "size"], "left_anti").write.mode("append").parquet(f"{store}/{REJECTS}")
 
-    accepted = listed.filter((size > 0) & (size <= most))  # read only as far as this holds: the source prunes by length
+    accepted = listed.filter(size <= most)  # read only as far as this holds: the source prunes by length
     hashed = accepted.select("path", F.sha2("content", 256).alias("file_hash"), name.alias("filename"))
     keys = cut_lineage(hashed.withColumn("storage_key", storage_key("file_hash", "filename")), "upload-keys")
     objects = _stored(spark, f"{store}/{OBJECTS}", _OBJECT)
