@@ -194,15 +194,23 @@ def _batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _by_range(name: str, ranges: int, hashes: np.ndarray, *extra: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Entries of a batch as one row per hash range; hashes ascending, so entries keep their order in a range."""
-    where = (hashes >> np.uint64(33)) % np.uint64(ranges)
-    for r in np.unique(where):
-        pick = where == r
-        payload = b"".join(a[pick].tobytes() for a in (hashes, *extra))
+    where, order = _ranged(hashes, ranges)
+    arrays = [a[order] for a in (hashes, *extra)]
+    starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else []
+    for a, b in zip(starts, [*starts[1:], len(where)], strict=True):
+        payload = b"".join(x[a:b].tobytes() for x in arrays)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(r)], pa.int32()), pa.array([name]), pa.array([int(pick.sum())], pa.int64()),
+            [pa.array([int(where[a])], pa.int32()), pa.array([name]), pa.array([int(b - a)], pa.int64()),
              pa.array([payload], pa.binary())], ["range", "batch", "n", "payload"])
 
 
+def _ranged(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges of hashes in ascending order, and the places of the hashes in that order; one sort, however many ranges."""
+    where = (hashes >> np.uint64(33)) % np.uint64(ranges)
+    order = np.argsort(where, kind="stable")
+    return where[order], order
+
+
 _SENT = "range int, batch string, n long, payload binary"
 _ANSWER = "range int, batch string, bits binary"
 
@@ -210,9 +218,9 @@ _ANSWER = "range int, batch string, bits binary"
 def _answers(hashes: np.ndarray, ranges: int, found: list | None) -> np.ndarray:
     """The bits that came back for a batch's entries, in their order; ranges without an answer said no."""
     bits = np.zeros(len(hashes), bool)
-    where = (hashes >> np.uint64(33)) % np.uint64(ranges)
+    where, order = _ranged(hashes, ranges)
     for one in found or []:
-        at = np.flatnonzero(where == one["range"])
+        at = order[np.searchsorted(where, one["range"]):np.searchsorted(where, one["range"], "right")]
         bits[at] = np.unpackbits(np.frombuffer(one["bits"], np.uint8), count=len(at)).astype(bool)
     return bits
 
