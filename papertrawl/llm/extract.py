@@ -392,12 +392,13 @@ class PageMaker:
     def article(self) -> str:
         d = self.draw
         self.keep = True
-        inside = [self.block(d.choice(["h1", "h1", "h2"]), d.choice([self.words(2, 10), self.sentence(4, 14)]))]
+        inside = [self.block(d.choice(["h1", "h1", "h2"]), d.choice([self.words(2, 10), self.sentence(4, 14)]))] if d.random() < 0.9 else []
         for _ in range(d.choice([1, 2, 3, 5, 8, 12])):
             kind = d.random()
             if kind < 0.72:
-                inside.append(self.block("p", " ".join(self.sentence(1, 25) for _ in range(d.randint(1, 6))),
-                                         0.03 if d.random() < 0.9 else 0.5))
+                text = " ".join(self.sentence(1, 25) for _ in range(d.randint(1, 6)))
+                text = text.replace(" ", d.choice([" | ", " » ", " ® "])) if d.random() < 0.08 else text
+                inside.append(self.block("p", text, 0.03 if d.random() < 0.9 else 0.5))
             elif kind < 0.82:
                 inside.append(self.block(d.choice(["h2", "h3"]), self.words(1, 8)))
             elif kind < 0.88:
@@ -436,6 +437,7 @@ class PageMaker:
                   if d.random() < p]
         after = [k for k, p in (("comment", 0.4), ("side", 0.4), ("advert", 0.2), ("form", 0.2), ("notice", 0.2), ("menu", 0.15),
                                 ("foot", 0.85)) if d.random() < p]
+        before, after = [[] if d.random() < 0.1 else kinds for kinds in (before, after)]
         if d.random() < 0.3:
             d.shuffle(before)
         body = "".join(self.boilerplate(k) for k in before) + self.article() + "".join(self.boilerplate(k) for k in after)
