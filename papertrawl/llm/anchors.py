@@ -196,8 +196,8 @@ def _by_range(name: str, ranges: int, hashes: np.ndarray, *extra: np.ndarray) ->
     """Entries of a batch as one row per hash range; hashes ascending, so entries keep their order in a range."""
     where, order = _ranged(hashes, ranges)
     arrays = [a[order] for a in (hashes, *extra)]
-    starts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(where) else []
-    for a, b in zip(starts, [*starts[1:], len(where)], strict=True):
+    edges = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1], [True]))) if len(where) else []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         payload = b"".join(x[a:b].tobytes() for x in arrays)
         yield pa.RecordBatch.from_arrays(
             [pa.array([int(where[a])], pa.int32()), pa.array([name]), pa.array([int(b - a)], pa.int64()),
@@ -220,7 +220,8 @@ def _answers(hashes: np.ndarray, ranges: int, found: list | None) -> np.ndarray:
     bits = np.zeros(len(hashes), bool)
     where, order = _ranged(hashes, ranges)
     for one in found or []:
-        at = order[np.searchsorted(where, one["range"]):np.searchsorted(where, one["range"], "right")]
+        low, high = np.searchsorted(where, np.array([one["range"], one["range"] + 1], np.uint64))
+        at = order[low:high]
         bits[at] = np.unpackbits(np.frombuffer(one["bits"], np.uint8), count=len(at)).astype(bool)
     return bits
 
