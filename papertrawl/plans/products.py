@@ -99,6 +99,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _K = "p_partkey"
+_BRANDS = "[" + ", ".join(f"'{b}'" for b, _ in rendered.BRAND_PAGES) + "]"
 _BASE = f"""prod AS (SELECT {_K} AS item, k8, ['amazon','flipkart','amazon','flipkart','manual','flipkart','swiggy','zomato'][k8 + 1] AS platform,
     CASE WHEN k8 IN (0, 2) THEN 'B' || lpad({_K}::VARCHAR, 9, '0') WHEN k8 = 1 THEN 'P' || {_K} WHEN k8 = 3 THEN 'ITM' || {_K}
          WHEN k8 = 5 THEN 'F' || {_K} WHEN k8 = 6 THEN 'R' || {_K} END AS product_id,
@@ -109,7 +110,7 @@ _BASE = f"""prod AS (SELECT {_K} AS item, k8, ['amazon','flipkart','amazon','fli
     'INR' AS currency, CASE WHEN k8 = 7 THEN stars + 0.5 ELSE stars END AS rating,
     CASE k8 WHEN 0 THEN p_size WHEN 2 THEN ('1' || p_size)::INT WHEN 3 THEN ('20' || p_size)::INT END AS review_count,
     CASE k8 WHEN 2 THEN 'out_of_stock' ELSE 'in_stock' END AS availability,
-    CASE WHEN k8 < 4 OR k8 = 5 THEN p_brand WHEN k8 = 4 THEN 'myntra' ELSE p_name || ' ' || {_K} END AS brand,
+    CASE WHEN k8 < 4 OR k8 = 5 THEN p_brand WHEN k8 = 4 THEN ({_BRANDS})[{_K} // 8 % 9 + 1] ELSE p_name || ' ' || {_K} END AS brand,
     CASE WHEN k8 IN (2, 3) THEN 'Home > Tools' WHEN k8 > 5 THEN 'Restaurant' END AS category,
     CASE k8 WHEN 0 THEN 'a.jpg|b.jpg|c.jpg|d.jpg' WHEN 2 THEN 'h' || {_K} || '.jpg' WHEN 4 THEN 'm' || {_K} || '.jpg'
          WHEN 6 THEN 'img' || {_K} ELSE '' END AS images,

@@ -281,6 +281,24 @@ PART_PLATFORMS = ["amazon", "flipkart", "amazon", "flipkart", "manual", "flipkar
 PART_LAYOUTS = ["jsonld", "state", "page", "page", "page", "api", "payload", "page"]
 
 
+#: A product page of each brand that has selector rules.
+BRAND_PAGES = [
+    ("nykaa", '<h1 class="css-xrzmfa">{title}</h1><span class="css-1jczs19">{price}</span><i class="css-1lmzrv3">{stars}</i><img class="big-product" src="{image}">'),
+    ("meesho", '<p class="sc-ProductTitle">{title}</p><h5>{price}</h5><i class="sc-Rating">{stars}</i><img class="sc-Image" src="{image}">'),
+    ("myntra", '<h1 class="pdp-title">{title}</h1><span class="pdp-price"><strong>{price}</strong></span>'
+               '<div class="index-overallRating"><div>{stars}</div></div><img class="img-responsive" src="{image}">'),
+    ("snapdeal", '<h1 class="pdp-e-i-head">{title}</h1><b class="payBlkBig">{price}</b><div class="filled-stars">{stars}</div><img id="product-image" src="{image}">'),
+    ("ajio", '<h1 class="prod-name">{title}</h1><div class="prod-sp">{price}</div><div class="rating-block"><span>{stars}</span></div>'
+             '<img class="rilrtl-products-image" src="{image}">'),
+    ("bigbasket", '<h1 class="pd__title">{title}</h1><span class="pd__price">{price}</span><span class="rating__value">{stars}</span><img class="pd__image" src="{image}">'),
+    ("jiomart", '<div class="product-name">{title}</div><div class="final-price">{price}</div><i class="rating-count">{stars}</i>'
+                '<div class="product-img"><img src="{image}"></div>'),
+    ("croma", '<h1 class="pd-title">{title}</h1><span class="new-price">{price}</span><span class="rating-value">{stars}</span><img class="product-img" src="{image}">'),
+    ("reliance_digital", '<h1 class="pdp_title">{title}</h1><span class="real-price">{price}</span><span class="rdrating">{stars}</span>'
+                         '<div class="pdp-img"><img src="{image}"></div>'),
+]
+
+
 def product_pages(spark: SparkSession, sf: str) -> DataFrame:
     """One product page per part: structured data, embedded state, intercepted payload or plain page."""
     k, name, brand = F.col("p_partkey"), F.col("p_name"), F.col("p_brand")
@@ -327,10 +345,9 @@ def product_pages(spark: SparkSession, sf: str) -> DataFrame:
         '</div><div class="_3LWZlK">%(stars)s</div><span class="_2_R_DZ"><span>2,0%(size)s Ratings</span></span>'
         '<a class="G6XhRU">%(brand)s more</a><button id="buyNowButton">Buy</button>'
     )
-    manual = fill(
-        '<h1 class="pdp-title">%(name)s %(k)s</h1><span class="pdp-price"><strong>Rs. %(price)s</strong></span>'
-        '<div class="index-overallRating"><div>%(stars)s</div></div><img class="img-responsive" src="m%(k)s.jpg">'
-    )
+    shop = F.get(F.lit([b for b, _ in BRAND_PAGES]), F.pmod(F.floor(k / 8), F.lit(len(BRAND_PAGES))).cast("int"))
+    manual = F.coalesce(*[F.when(shop == b, fill(page.format(
+        title="%(name)s %(k)s", price="Rs. %(price)s", stars="%(stars)s", image="m%(k)s.jpg"))) for b, page in BRAND_PAGES])
     zomato = fill(
         '<h1 class="sc-1">%(name)s %(k)s</h1><span>%(stars)s.5</span>'
         '<a class="cuisine-x">Thai</a><a class="cuisine-y">Pizza</a>'
@@ -358,7 +375,7 @@ def product_pages(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("platform", _pick(PART_PLATFORMS, k % 8))
         .select(
             k.alias("item"), "platform",
-            F.when(F.col("platform") == "manual", "myntra").alias("brand_hint"),
+            F.when(F.col("platform") == "manual", shop).alias("brand_hint"),
             F.concat(F.lit("https://shop.example"), path).alias("url"),
             F.inline(F.array(F.struct(
                 F.concat(F.lit("<html><body>"), html, F.lit("</body></html>")).alias("html"),
