@@ -116,3 +116,25 @@ def test_statistics_cover_every_term(spark):
     assert idf.count() == 40 * (300 + 299) and C.idf_table(docs, most=50).count() == 50
     per_doc = C.tfidf_features(docs, idf).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("weight") ** 2).alias("s")).collect()
     assert all(r["n"] == 599 and abs(r["s"] - 1) < 1e-9 for r in per_doc) and len(per_doc) == 40
+
+
+def test_the_fit_is_at_the_optimum_of_its_penalised_likelihood(spark):
+    """The gradient of mean loss plus penalty vanishes at the trained weights, and features equal the relational ones."""
+    import numpy as np
+
+    labelled = C.training_texts(spark)
+    terms, intercepts, classes = C.train(labelled)
+    rows = terms.collect()
+    points = C._points(labelled, [r.term for r in rows], [r.idf for r in rows])
+    x = np.array([p.features.toArray() for p in points.collect()])
+    y = np.array([int(p.label) for p in points.collect()])
+    want = {(r.doc_id, r.term): r.weight for r in C.tfidf_features(labelled, terms).collect()}
+    at = {r.term: i for i, r in enumerate(rows)}
+    docs = [r.doc_id for r in labelled.collect()]
+    assert all(abs(x[docs.index(d), at[t]] - w) < 1e-9 for (d, t), w in want.items()) and (x > 0).sum() == len(want)
+    w, b = np.array([r.weights for r in rows]).T, np.array(intercepts)
+    margins = x @ w.T + b
+    p = np.exp(margins - margins.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    gap = p - np.eye(classes)[y]
+    assert np.abs(gap.T @ x / len(y) + w / len(y)).max() < 1e-3 and np.abs(gap.mean(0)).max() < 1e-3
