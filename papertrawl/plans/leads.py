@@ -225,6 +225,16 @@ def known_categories(spark, sf):
     return L.restrict_categories(tables.categories(spark), wanted).select("category", "label")
 
 
+def wanted_categories(spark, sf):
+    """Known categories among those that some requests name, and all of them where requests name only unknown ones."""
+    asked = _requests(spark, sf).select((F.col("request_id") % 18).alias("kind"), F.explode("categories").alias("category"))
+    dim = tables.categories(spark)
+    some = L.restrict_categories(dim, asked.filter(F.col("kind").isin(2, 5, 17)))
+    none = L.restrict_categories(dim, asked.filter(F.col("kind") == 17))
+    return some.select(F.lit("some known").alias("requests"), "category").unionByName(
+        none.select(F.lit("none known").alias("requests"), "category"))
+
+
 def gated_sources(spark, sf):
     return L.gate_sources(rendered.lead_listings(spark, sf), ["bing", "sulekha"]).groupBy("source").agg(
         F.count(F.lit(1)).alias("leads")
@@ -288,7 +298,7 @@ QUERIES = {f.__name__: f for f in (
     rejected_requests, enrichment_stats, lead_coverage,
     lead_counts, lead_sorted_counts, lead_dims, segment_summary, segment_keys, high_priority,
     high_priority_fallback, lead_filters, lead_page, lead_page_envelope, lead_report, lead_numbers,
-    lead_storage_rows, lead_view, lead_export, clean_requests, request_grid, known_categories, gated_sources,
+    lead_storage_rows, lead_view, lead_export, clean_requests, request_grid, known_categories, wanted_categories, gated_sources,
     listing_cards, heading_leads, service_cards, serp_leads, serp_links, site_search_urls, site_search_leads,
     sorted_cities, business_page_leads,
 )}
@@ -453,6 +463,8 @@ ORACLES = {
         'https://www.bing.com/search?q=' || {_ENC.format('t')} || '&count=10&mkt=en-IN&setlang=en-IN&cc=IN'
       FROM (SELECT *, query || ' ' || city || ' India' AS t FROM base)""",
     "known_categories": f"""WITH {_DIM} SELECT category, label FROM dim""",
+    "wanted_categories": f"""WITH {_DIM}, c AS (SELECT unnest({_CATS}) AS category, unnest(range(17)) AS n)
+      SELECT 'some known' AS requests, category FROM c WHERE n IN (2, 5) UNION ALL SELECT 'none known', category FROM dim""",
     "gated_sources": _with("SELECT source, count(*) AS leads FROM listings WHERE source IN ('bing', 'sulekha') GROUP BY source"),
     "listing_cards": """
       WITH c AS (SELECT *, lpad(c_custkey::VARCHAR, 9, '0') AS d,
@@ -518,7 +530,7 @@ found AS (
   UNION ALL SELECT j.*, k, c_name, '6' || digits, '', 'https://www.justdial.com/firm' || k, ''
   FROM jobs j JOIN f USING (cat_no, city_no) WHERE source = 'justdial' AND k % 10 = 0 AND k % 30 <> 0),
 firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY job_id,
-  left(regexp_replace(lower(company_name), '[^\pL\pN_]+', '', 'g'), 40), city ORDER BY rank, task, k) = 1),
+  left(regexp_replace(lower(company_name), '[^\\pL\\pN_]+', '', 'g'), 40), city ORDER BY rank, task, k) = 1),
 capped AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY rank, task, k) <= most),
 filled AS (SELECT c.* EXCLUDE (phone, email, address), coalesce(nullif(phone, ''), site_phone, '') AS phone,
     coalesce(nullif(email, ''), site_email, '') AS email, coalesce(nullif(address, ''), site_address, '') AS address, site IS NOT NULL AS was_enriched

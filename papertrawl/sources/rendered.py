@@ -428,6 +428,30 @@ def invoice_text(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def brand_invoice_text(spark: SparkSession, sf: str) -> DataFrame:
+    """One invoice per order in the layout of one of three marketplaces, with central and state or integrated tax."""
+    k = F.col("o_orderkey")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    whole, half = [F.round(price * F.lit(share).cast("decimal(4,2)"), 2).cast("decimal(18,2)") for share in ("0.18", "0.09")]
+    day = lambda form: F.date_format("o_orderdate", form)
+    firm, house = F.concat(F.lit("Firm "), letters(F.col("o_custkey"))), F.concat(F.lit("House "), letters(k))
+    amazon = F.concat(
+        F.lit("amazon.in\nOrder Number: 402-"), F.lpad(k.cast("string"), 9, "0"), F.lit("\nInvoice Number : AMZ-"), k,
+        F.lit("\nInvoice Date : "), day("dd.MM.yyyy"), F.lit("\nGST Registration No: 29ABCDE1234F1Z5 "), firm,
+        F.lit("\nPart no "), k, F.lit(" ₹"), price, F.lit(" ₹0.00 1 ₹"), price, F.lit(" 18% IGST ₹"), whole, F.lit(" ₹"), price + whole,
+        F.lit("\nTOTAL: ₹"), whole, F.lit("₹"), price + whole, F.lit("\nFor "), house, F.lit(":\nAuthorized Signatory\n"))
+    zepto = F.concat(
+        F.lit("zepto\nSeller Name: "), house, F.lit("\nInvoice No.: ZP-"), k, F.lit("-A\nOrder No.: ORD-"), k, F.lit("\nDate: "), day("dd-MM-yyyy"),
+        F.lit("\nBill To Ship To\n"), firm, F.lit("\n"), price, F.lit(" "), half, F.lit(" "), half, F.lit(" 0.00 "), price + half + half,
+        F.lit("\nItem Total "), price, F.lit("\nInvoice Value "), price + half + half, F.lit("\n"))
+    flipkart = F.concat(
+        F.lit("Flipkart\nInvoice No: FK-"), k, F.lit("\nOrder ID: OD"), F.lpad(k.cast("string"), 9, "0"), F.lit("\nInvoice Date: "), day("dd-MM-yyyy"),
+        F.lit("\nSold By: "), house, F.lit("\nBill To:\n"), firm, F.lit("\n\n18% IGST ₹"), whole, F.lit("\nTaxable Value: "), price,
+        F.lit("\nGrand Total: ₹"), price + whole, F.lit("\n"))
+    text = F.when(k % 3 == 0, amazon).when(k % 3 == 1, zepto).otherwise(flipkart)
+    return table(spark, sf, "orders").select(k.alias("doc_id"), F.explode(F.array(text)).alias("text"))
+
+
 def _statement_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as booked lines: twenty consecutive order keys make one statement, so no statement grows."""
     k = F.col("o_orderkey")
