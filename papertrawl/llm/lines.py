@@ -3,12 +3,13 @@
 Pages are grouped by host; the pages that hold a line are divided by all pages of the host, and lines above a ratio
 are boilerplate and dropped from every page. Lines are compared normalised (case of A-Z, digits, spaces).
 
-A line is counted once a page. A host needs a few pages before a ratio means anything, so a line must also be on
-MIN_PAGES pages. Counting combines before it shuffles; a hot host or line is no hot task. Texts move once, to meet
-the lines their page loses.
+Pages with the same text are one page in both counts, so copies of an article keep its lines, and a line is counted
+once a page. A host needs a few pages before a ratio means anything, so a line must also be on MIN_PAGES of them.
+Counting combines before it shuffles; a hot host or line is no hot task. Texts move once, to meet the lines their page
+loses.
 
-Defined results: a null text is an empty page and stays one; null hosts form one host; repeated rows are pages of
-their own but are cut alike; an empty table gives an empty result; columns named like ours are replaced by ours.
+Defined results: a null text is an empty page and stays one; null hosts form one host; repeated rows and copies count
+as one page and are all cut alike; an empty table gives an empty result; columns named like ours are replaced by ours.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 from papertrawl.llm.common import join_on, lines, normal_line, text_key, whole
 from papertrawl.session import cut_lineage
 
-MAX_RATIO, MIN_PAGES = 0.02, 3
+#: A line on more than this share of a host's distinct pages, and on so many of them at least, is boilerplate.
+MAX_RATIO, MIN_PAGES = 0.1, 5
 _KEY = ["doc_id", "host", "text_hash"]
 
 
@@ -33,9 +35,9 @@ def _page_lines(docs: DataFrame, host: str) -> DataFrame:
 
 def boilerplate(docs: DataFrame, page_lines: DataFrame, host: str = "source", max_ratio: float = MAX_RATIO,
                 min_pages: int = MIN_PAGES) -> DataFrame:
-    """host, line_hash, pages, host_pages of the lines above the ratio."""
-    totals = docs.groupBy(docs[host].alias("host")).agg(F.count("*").alias("host_pages"))
-    counted = page_lines.groupBy("host", "line_hash").agg(F.count("*").alias("pages")).filter(
+    """host, line_hash, pages, host_pages of the lines above the ratio; both count distinct texts."""
+    totals = docs.groupBy(docs[host].alias("host")).agg(F.countDistinct(text_key()).alias("host_pages"))
+    counted = page_lines.groupBy("host", "line_hash").agg(F.countDistinct("text_hash").alias("pages")).filter(
         F.col("pages") >= min_pages)
     return join_on(counted, totals, ["host"]).filter(F.col("pages") > max_ratio * F.col("host_pages"))
 

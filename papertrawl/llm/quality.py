@@ -3,12 +3,12 @@
 Lines are normalised and hashed, distinct texts of a host that hold a line are counted, lines held by more than a
 limit are removed, and a document that loses too much of its words is rejected. On top come the base rules on words.
 
-judge() has a fixed limit, as its SQL says. clean(), which texts go through, must not lose what is no boilerplate: its
-limit grows with the distinct texts of a host, and texts that share their body count once for its lines, so a large
-group of near copies keeps its text and is left to near-duplicate removal. A text shares its body when lines above the
-limit hold so much of it that it would be rejected; its body is told by the rarest of these lines. Near copies with up
-to e edited lines have at most e + 1 such lines between them. A line that more texts than the limit hold otherwise
-goes as before, so pages that are mostly such lines are still rejected.
+What is no boilerplate must not be lost: the limit grows with the distinct texts of a host, and texts that share their
+body count once for its lines, so a large group of near copies keeps its text and is left to near-duplicate removal. A
+text shares its body when lines above the limit hold so much of it that it would be rejected; its body is told by the
+rarest of these lines, the first of equally rare ones. Near copies with up to e edited lines have at most e + 1 such
+lines between them. A line that more texts than the limit hold otherwise goes as before, so pages that are mostly such
+lines are still rejected. judge() gives the verdicts, clean() the texts that pass; both follow the same rule.
 
 All of it is DataFrame functions: texts stay where they are read, only (host, line hash, text hash) rows are shuffled.
 
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from papertrawl.llm.common import bind, compute_once, join_on, lines, normal_line, pack, text_key, whole, words
 from papertrawl.session import cut_lineage
 
-#: A line in more distinct texts of one host than this is boilerplate.
+#: A line in more distinct texts of one host than this may be boilerplate.
 MAX_DOCUMENTS = 50
-#: In clean() the limit is this percentage of the distinct texts of a host, if that is more.
+#: The limit is this percentage of the distinct texts of a host, if that is more.
 MAX_HOST_PERCENT = 1
 #: A document must keep at least this percentage of its words.
 MIN_KEPT_PERCENT = 50
@@ -92,16 +92,16 @@ def frequent_lines(line_table: DataFrame, max_documents: int = MAX_DOCUMENTS) ->
 
 def boilerplate(docs: DataFrame, host: Column, max_documents: int = MAX_DOCUMENTS,
                 host_percent: float = MAX_HOST_PERCENT) -> DataFrame:
-    """As removed_lines, with a limit that follows the host and bodies of near copies counted once."""
+    """Per document with boilerplate lines: how many words they hold and their hashes (bounded by its own lines)."""
     texts = docs.select("doc_id", host.alias("host"), text_key().alias("text_hash"),
                         F.size(words(whole(F.col("text")))).alias("text_words"))
     rows = cut_lineage(line_rows(docs, host), "lines")
     limits = texts.groupBy("host").agg(F.greatest(F.lit(max_documents), F.floor(
-        F.countDistinct("text_hash") * F.lit(host_percent / 100))).alias("most"))
+        F.countDistinct("text_hash") * F.lit(host_percent) / 100)).alias("most"))
     frequent = join_on(frequent_lines(rows, max_documents), limits, ["host"]).filter("n_documents > most")
     # a set: repeated rows are judged as one; bounded by the lines of one document
     held = join_on(rows, frequent, ["host", "line_hash"]).groupBy(*_KEY, "most").agg(
-        F.collect_set(F.struct("n_documents", "line_hash", "pos", "line_words")).alias("held"))
+        F.collect_set(F.struct("n_documents", "pos", "line_hash", "line_words")).alias("held"))
     held = join_on(held, texts.dropDuplicates(_KEY), _KEY)
     left = 100 * (F.col("text_words") - F.aggregate("held", F.lit(0), lambda n, x: n + x["line_words"]))
     body = F.when(left < MIN_KEPT_PERCENT * F.col("text_words"), F.xxhash64(F.lit("body"), F.array_min("held")["line_hash"])
@@ -115,39 +115,29 @@ def boilerplate(docs: DataFrame, host: Column, max_documents: int = MAX_DOCUMENT
         F.sum("line_words").alias("removed_words"), F.collect_set("line_hash").alias("removed"))
 
 
-def removed_lines(docs: DataFrame, host: Column, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """Per document with lines above the limit: how many words they hold and their hashes.
-
-    The list of hashes is bounded by the lines of one document.
-    """
-    rows = cut_lineage(line_rows(docs, host), "lines")  # read twice; texts are read and normalised once
-    frequent = frequent_lines(rows, max_documents).drop("n_documents")
-    hits = join_on(rows, frequent, ["host", "line_hash"])
-    return (hits.dropDuplicates([*_KEY, "pos"]).groupBy(*_KEY)
-            .agg(F.sum("line_words").alias("removed_words"), F.collect_set("line_hash").alias("removed")))
-
-
 def _kept(m: Column, removed_words: Column) -> Column:
     left = 100 * (m["n_words"] - F.coalesce(removed_words, F.lit(0)))
     return ~m["base_failed"] & (left >= MIN_KEPT_PERCENT * m["n_words"])
 
 
-def judge(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS,
+          host_percent: float = MAX_HOST_PERCENT) -> DataFrame:
     """One row per document, without its text: doc_id, the counts, removed_words, base_failed, kept."""
     own = docs.select("doc_id", docs[host].alias("host"), text_key().alias("text_hash"),
                       measures(whole(docs["text"])).alias("m"))
-    found = removed_lines(docs, docs[host], max_documents).drop("removed")
+    found = boilerplate(docs, docs[host], max_documents, host_percent).drop("removed")
     return join_on(own, found, _KEY, "left").select(
         "doc_id", "m.*", F.coalesce("removed_words", F.lit(0)).alias("removed_words"),
         _kept(F.col("m"), F.col("removed_words")).alias("kept"))
 
 
-def clean(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+def clean(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS,
+          host_percent: float = MAX_HOST_PERCENT) -> DataFrame:
     """The documents that pass, without their boilerplate lines; n_chars follows where there is one."""
     own = pack(docs, doc_id=docs["doc_id"], host=docs[host], text_hash=F.xxhash64(docs["text"]))
     own = compute_once(own, {"m": measures(whole(F.col("row.text")))})
     own = own.filter(~F.col("m.base_failed")).withColumn("n_words", F.col("m.n_words")).drop("m")
-    found = boilerplate(docs, docs[host], max_documents)
+    found = boilerplate(docs, docs[host], max_documents, host_percent)
     left = 100 * (F.col("n_words") - F.coalesce("removed_words", F.lit(0)))
     both = join_on(own, found, _KEY, "left").filter(left >= MIN_KEPT_PERCENT * F.col("n_words"))
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(F.array_join(F.filter(

@@ -49,8 +49,8 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", own), (-7, 1, "assistant", own)],
-                                  "conv_id long, turn long, role string, text string")
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :own), (-7L, 1L, 'assistant', :own) AS t(conv_id, turn, role, text)",
+                      {"own": own})
     turns = table(spark, sf_dir, "conversations").union(extra)
     formatted = chat.format_chats(turns.select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("content")))
     back = chat.read_back(formatted)
@@ -99,8 +99,9 @@ QUERIES = {q.__name__: q for q in (op1_mix, op2_shards, op3_quality, op4_deconta
 
 _FOLD = "translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000')"
 _NORMAL = rf"array_to_string(regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+'), ' ')"
-_LINES = f"""lines AS (SELECT doc_id, source, text, {_NORMAL} AS line, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS k
-  FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS l FROM documents))"""
+_LINES = f"""lines AS (SELECT doc_id, source, text, p, {_NORMAL} AS line, len(regexp_extract_all(l, '[^\\x20\\x09-\\x0D]+')) AS k
+  FROM (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS p FROM documents))"""
 
 ORACLES = {
     "op3_quality": rf"""
@@ -114,10 +115,21 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
 raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM raw WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
 {_LINES},
-often AS (SELECT source, line FROM lines WHERE line <> '' GROUP BY 1, 2
-  HAVING count(DISTINCT text) > {quality.MAX_DOCUMENTS}),
-gone AS (SELECT doc_id, sum(k) AS n FROM lines
-  JOIN often ON lines.line = often.line AND lines.source IS NOT DISTINCT FROM often.source GROUP BY 1),
+most AS (SELECT source, greatest({quality.MAX_DOCUMENTS},
+    count(DISTINCT coalesce(text, chr(0))) * {quality.MAX_HOST_PERCENT} // 100) AS most FROM documents GROUP BY 1),
+freq AS (SELECT lines.source, line, most, count(DISTINCT text) AS n
+  FROM lines JOIN most ON lines.source IS NOT DISTINCT FROM most.source WHERE line <> '' GROUP BY 1, 2, 3 HAVING n > most),
+held AS (SELECT DISTINCT lines.*, n, most FROM lines
+  JOIN freq ON lines.line = freq.line AND lines.source IS NOT DISTINCT FROM freq.source),
+own AS (SELECT doc_id, source, text, CASE
+    WHEN 100 * (len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) - sum(k))
+      < {quality.MIN_KEPT_PERCENT} * len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))
+    THEN 'line ' || first(line ORDER BY n, p) ELSE 'text ' || text END AS body FROM held GROUP BY 1, 2, 3),
+often AS (SELECT held.source, line FROM held
+  JOIN own ON held.doc_id IS NOT DISTINCT FROM own.doc_id AND held.source IS NOT DISTINCT FROM own.source AND held.text = own.text
+  GROUP BY 1, 2, most HAVING count(DISTINCT body) > most),
+gone AS (SELECT doc_id, sum(k) AS n FROM held
+  JOIN often ON held.line = often.line AND held.source IS NOT DISTINCT FROM often.source GROUP BY 1),
 m AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
     coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
@@ -148,11 +160,11 @@ g AS (SELECT conv_id, count(*) AS n_turns,
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
   chars::BIGINT AS formatted_chars FROM g""",
     "op8_lines": rf"""
-WITH raw AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+WITH raw AS (SELECT doc_id, source, text, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
     unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS p FROM documents),
 n AS (SELECT *, {_NORMAL} AS line FROM raw),
-total AS (SELECT source, count(*) AS pages FROM documents GROUP BY 1),
-often AS (SELECT n.source, line FROM (SELECT DISTINCT doc_id, source, line FROM n WHERE line <> '') n
+total AS (SELECT source, count(DISTINCT coalesce(text, chr(0))) AS pages FROM documents GROUP BY 1),
+often AS (SELECT n.source, line FROM (SELECT DISTINCT text, source, line FROM n WHERE line <> '') n
   JOIN total ON n.source IS NOT DISTINCT FROM total.source GROUP BY 1, 2, pages
   HAVING count(*) >= {lines.MIN_PAGES} AND count(*) > {lines.MAX_RATIO} * pages)
 SELECT doc_id, count(*) AS n_lines, count(often.line) AS n_dropped,

@@ -11,13 +11,14 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
-from papertrawl.llm import anchors, chat, decontam, extract, mix, quality, queries, secrets, shards, simhash
+from papertrawl.llm import anchors, chat, decontam, extract, lines, mix, quality, queries, secrets, shards, simhash
 from papertrawl.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -274,6 +275,33 @@ def test_the_line_limit_follows_the_host(spark):
     assert sum("seen on few" in t for t in left.values()) == 8
 
 
+def test_verdicts_by_lines_equal_their_sql(spark, tmp_path):
+    """Near copies, a footer, pages that are mostly menu, and a rarer line on a host so large that the limit follows it."""
+    draw = random.Random(12)
+    own = lambda n: " ".join("".join(draw.choices("abcdefghij", k=5)) for _ in range(n))
+    menu, body, rows = own(34) + "\t tail", [own(8) for _ in range(12)], []
+    for k in range(120):
+        copy = list(body)
+        copy[draw.randrange(12)] = own(8)
+        rows.append((k, "\n".join([*copy, "footer of Page 7"]), "en", "a", 0))
+    rows += [(1000 + k, f"{own(3)}\nfooter of page 8\n" + menu, "en", "a", 0) for k in range(60)]
+    rows += [(1500 + k, f"{own(45)}\nfooter of page 8\n" + menu, "en", "a", 0) for k in range(60)]
+    rows += [(2000 + k, own(30) + "\nseen on sixty pages of many " * (k < 60), "en", "b", 0) for k in range(7000)]
+    rows += [(3000, None, "en", "a", 0), (rows[0][0], *rows[0][1:])]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT DISTINCT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(queries.ORACLES["op3_quality"])
+    names, want = [c[0] for c in want.description], {tuple(r) for r in want.fetchall()}
+    got = quality.judge(docs).select(*names).collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+    kept = {r.doc_id: (r.kept, r.removed_words) for r in got}
+    assert all(kept[k] == (True, 4) for k in range(120))  # copies lose the footer alone
+    assert not any(kept[1000 + k][0] for k in range(60)) and all(kept[1500 + k] == (True, 39) for k in range(60))
+    assert all(kept[2000 + k] == (True, 0) for k in range(7000))  # sixty of 7,000 are under one percent
+
+
 def test_masks_cover_every_allowed_replacement():
     for n in range(decontam.MIN_ITEM, decontam.OVERLAP + 1):
         gone = n - math.ceil(decontam.SIMILARITY * n)
@@ -311,6 +339,16 @@ def test_leaks_are_all_aligned_stretches(spark):
     assert {(r.doc_id, r.item_id): r.agreeing for r in decontam.leaks(docs, bench).collect()} == want
 
 
+def test_copies_of_an_article_keep_their_lines(spark):
+    article = "\n".join(f"line {'abcdefgh'[k]} of the article" for k in range(8))
+    pages = [(k, article, "en", "a", 0) for k in range(9)]
+    pages += [(10 + k, f"page {'abcdefghijkl'[k]}\nHome | 2{k} News\n" + "seen twice" * (k < 2), "en", "a", 0) for k in range(10)]
+    left = {r.doc_id: (r.text, r.n_dropped) for r in lines.drop_boilerplate(spark.createDataFrame(pages, DOCS)).collect()}
+    assert all(left[k] == (article, 0) for k in range(9))
+    assert all("News" not in left[10 + k][0] and left[10 + k][1] == 1 for k in range(10))
+    assert "seen twice" in left[10][0] and "seen twice" in left[11][0]
+
+
 def test_secrets_of_all_documents(spark, documents):
     got = {r.doc_id: r for r in queries.op10_secrets(spark, SF).collect()}
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
