@@ -287,7 +287,7 @@ def test_verdicts_by_lines_equal_their_sql(spark, tmp_path):
     rows += [(1000 + k, f"{own(3)}\nfooter of page 8\n" + menu, "en", "a", 0) for k in range(60)]
     rows += [(1500 + k, f"{own(45)}\nfooter of page 8\n" + menu, "en", "a", 0) for k in range(60)]
     rows += [(2000 + k, own(30) + "\nseen on sixty pages of many " * (k < 60), "en", "b", 0) for k in range(7000)]
-    rows += [(3000, None, "en", "a", 0), (rows[0][0], *rows[0][1:])]
+    rows += [(-1, None, "en", "a", 0), (rows[0][0], *rows[0][1:])]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents")
     docs = spark.read.parquet(f"{tmp_path}/documents")
     con = duckdb.connect()
