@@ -214,29 +214,27 @@ FROM n JOIN u USING (s) LEFT JOIN n parent ON n.d > 0 AND parent.s = CASE WHEN n
 
 
 def _leak_sql() -> str:
-    """The same hits by joining windows on the words that a mask takes, then comparing aligned stretches."""
-    span, before = len(decontam.MASKS[0]), decontam.OVERLAP - len(decontam.MASKS[0])
-    pick = lambda alias, m: "||' '||".join(f"{alias}.w[{alias}.i+{k}]" for k, bit in enumerate(m) if bit == "1")
-    probes = " UNION ALL ".join(
-        f"SELECT doc_id, i, {k} AS m, {pick('x', m)} AS s FROM x WHERE i + {span} <= len(w) + 1"
-        for k, m in enumerate(decontam.MASKS))
-    seeds = " UNION ALL ".join(
-        f"SELECT item_id, i AS q, {k} AS m, {pick('y', m)} AS s FROM y WHERE i + {span} <= len(w) + 1"
-        for k, m in enumerate(decontam.MASKS))
+    """All aligned stretches, without masks: a stretch of n tokens with r replaced has a run of (n - r) / (r + 1) that agree."""
+    tokens = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda a: a <> '')"
+    gram = lambda r: f"array_to_string({r}.w[i:i + g - 1], ' ')"
     return rf"""
-WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda a: a <> '') AS w
-  FROM documents),
-bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda a: a <> '') AS w
-  FROM benchmark),
-x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw),
-y AS (SELECT item_id, w, unnest(range(1, len(w) + 1)) AS i FROM bw WHERE len(w) >= {span}),
-hit AS (SELECT DISTINCT p.doc_id, s.item_id, p.i, s.q FROM ({probes}) p JOIN ({seeds}) s ON p.m = s.m AND p.s = s.s),
-same AS (SELECT hit.*, b, t, (bw.w[q + b + t] = dw.w[i + b + t] AND q + b + t > 0 AND i + b + t > 0)::INT AS e, len(bw.w) AS n
-  FROM hit JOIN bw USING (item_id) JOIN dw USING (doc_id), range(-{before}, 1) AS bs(b), range({decontam.OVERLAP}) AS ts(t)),
-best AS (SELECT doc_id, item_id, i, q, n, max(a) AS a FROM (
-  SELECT doc_id, item_id, i, q, n, b, sum(coalesce(e, 0)) AS a FROM same GROUP BY ALL) GROUP BY ALL)
-SELECT doc_id, item_id, count(DISTINCT i) AS hits, (min(i) - 1)::INT AS first_token, max(a)::INT AS agreeing
-FROM best WHERE a >= ceil({decontam.SIMILARITY} * least({decontam.OVERLAP}, n)) GROUP BY 1, 2"""
+WITH d AS (SELECT doc_id, {tokens} AS w FROM documents),
+b AS (SELECT item_id, w, len(w) AS n, least({decontam.OVERLAP}, len(w)) AS size,
+    ceil({decontam.SIMILARITY} * least({decontam.OVERLAP}, len(w)))::INT AS need
+  FROM (SELECT item_id, {tokens} AS w FROM benchmark)),
+bg AS (SELECT *, ((need + size - need) // (size - need + 1)) AS g FROM b WHERE n >= {decontam.MIN_ITEM}),
+y AS (SELECT item_id, i, g, {gram('x')} AS s FROM (SELECT *, unnest(range(1, n - g + 2)) AS i FROM bg) x),
+x AS (SELECT doc_id, i, g, {gram('x')} AS s FROM (SELECT *, unnest(range(1, len(w) - g + 2)) AS i
+  FROM d, (SELECT DISTINCT g FROM bg)) x),
+near AS (SELECT DISTINCT doc_id, item_id, x.i - y.i AS off FROM x JOIN y USING (g, s)),
+same AS (SELECT doc_id, item_id, off, size, need, n, q, q + off AS p
+  FROM (SELECT near.*, bg.w AS bw, n, size, need, unnest(range(1, n + 1)) AS q FROM near JOIN bg USING (item_id)) t
+  JOIN d USING (doc_id) WHERE q + off > 0 AND bw[q] = w[q + off]),
+best AS (SELECT doc_id, item_id, off, need, s, count(*) AS a, min(p) AS p FROM (
+    SELECT *, unnest(range(greatest(1, q - size + 1), least(q, n - size + 1) + 1)) AS s FROM same) GROUP BY ALL),
+line AS (SELECT DISTINCT doc_id, {tokens} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents))
+SELECT doc_id, item_id, (min(p) - 1)::INT AS first_token, max(a)::INT AS agreeing FROM best WHERE a >= need GROUP BY 1, 2
+UNION ALL SELECT doc_id, item_id, NULL, n::INT FROM line JOIN b USING (w) WHERE n BETWEEN 1 AND {decontam.MIN_ITEM - 1}"""
 
 
 ORACLES["op4_decontamination"] = _leak_sql()

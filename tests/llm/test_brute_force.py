@@ -329,14 +329,35 @@ def test_leaks_are_all_aligned_stretches(spark):
     for d, ws in enumerate(texts):
         for n, item in items.items():
             length = min(n, decontam.OVERLAP)
-            best = max(sum(0 <= i + k < len(ws) and ws[i + k] == item[q + k] for k in range(length))
-                       for q in range(n - length + 1) for i in range(1 - length, len(ws)))
-            if best >= math.ceil(decontam.SIMILARITY * length):
-                want[d, n] = best
+            for q, i in itertools.product(range(n - length + 1), range(1 - length, len(ws))):
+                at = [i + k for k in range(length) if 0 <= i + k < len(ws) and ws[i + k] == item[q + k]]
+                if len(at) >= math.ceil(decontam.SIMILARITY * length):
+                    first, best = want.get((d, n), (at[0], 0))
+                    want[d, n] = min(first, at[0]), max(best, len(at))
     docs = spark.createDataFrame([(d, " ".join(ws), "en", "s", 0) for d, ws in enumerate(texts)], DOCS)
     bench = spark.createDataFrame([(n, " ".join(ws)) for n, ws in items.items()], "item_id long, text string")
     assert len(want) > 300
-    assert {(r.doc_id, r.item_id): r.agreeing for r in decontam.leaks(docs, bench).collect()} == want
+    found = decontam.leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id): (r.first_token, r.agreeing) for r in found} == want and len(found) == len(want)
+
+
+def test_short_and_repeated_items(spark):
+    """Items of a few words leak as whole lines, equal items are told apart, a template of many items is found for each."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    template = [word() for _ in range(15)]
+    bench = [(1, "Two plus two"), (2, "two, plus TWO?"), (3, "yes"), (4, "  "), (5, None)]
+    bench += [(10 + k, " ".join([word(), *template, word(), word()])) for k in range(40)] + [(10, bench[0][1])]
+    rows = [(1, "before\n- two plus two -\nafter"), (2, "we say two plus two here"), (3, "yes\nyes"), (4, None), (5, "yes sir")]
+    rows += [(10 + k, " ".join([*[word() for _ in range(k)], *template])) for k in range(5)] + [(3, "yes\nyes")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    items = spark.createDataFrame(bench, "item_id long, text string")
+    want = {(1, 1): (None, 3), (1, 2): (None, 3), (1, 10): (None, 3), (3, 3): (None, 1)}
+    want |= {(10 + k, 10 + i): (k, 13) for k in range(5) for i in range(40)}
+    for block in (decontam.SEED_BLOCK, 300):  # one plan, and several that are written one after the other
+        found = decontam.leaks(docs, items, block).collect()
+        assert {(r.doc_id, r.item_id): (r.first_token, r.agreeing) for r in found} == want and len(found) == len(want)
+    assert sorted(r.doc_id for r in decontam.decontaminate(docs, items).collect()) == [2, 4, 5]
 
 
 def test_copies_of_an_article_keep_their_lines(spark):
