@@ -38,13 +38,14 @@ def _non_zero_text(c: Column) -> Column:
     return bind(T.number(c), lambda n: T.or_blank(T.number_text(F.when(n != 0, n))))
 
 
-def transactions_of(text: T.ColumnOrName) -> Column:
-    """All lines of date, narration, debit, credit and balance, in order."""
+def transactions_of(text: T.ColumnOrName, narration_chars: int | None = None) -> Column:
+    """All lines of date, narration, debit, credit and balance, in order; narrations whole, or cut (150 for parity)."""
     def read(m: Column) -> Column:
         part = {n: F.regexp_extract(m, fv.TRANSACTION, i + 1) for i, n in enumerate(_TX)}
+        narration = T.strip(part["narration"])
         return F.struct(
             T.strip(part["date"]).alias("date"),
-            F.left(T.strip(part["narration"]), F.lit(150)).alias("narration"),
+            (narration if narration_chars is None else F.left(narration, F.lit(narration_chars))).alias("narration"),
             *[_non_zero_text(part[n]).alias(n) for n in ("debit", "credit", "balance")],
         )
 

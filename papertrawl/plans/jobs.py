@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from papertrawl import fixed_values as fv
 from papertrawl.functions import text as T
 from papertrawl.operators import jobs as J
+from papertrawl.operators import models as M
 from papertrawl.operators import products as P
+from papertrawl.operators import statements
 from papertrawl.plans import leads as lead_plans
+from papertrawl.plans import products as product_plans
+from papertrawl.plans import statements as statement_plans
 from papertrawl.plans.contacts import email_rows_sql, phone_rows_sql
 from papertrawl.plans.leads import JOB_LIMITS
 from papertrawl.plans.retrieval import chunk_sql
@@ -150,20 +154,56 @@ def stored_products(spark, sf):
 
 
 def replaced_index(spark, sf):
-    """Chunks of all documents indexed; the English ones indexed again with other chunks, those of src1 with none."""
-    from papertrawl.operators.chunks import chunk_documents
+    """Chunks of all documents and their vectors indexed; the English ones again with other chunks, those of src1 with none."""
+    from papertrawl.operators.chunks import chunk_documents, embed_chunks
 
     path = scratch_path(spark, "index")
     docs = table(spark, sf, "documents")
-    chunks = chunk_documents(docs).select("doc_id", "chunk_index", F.length("text").alias("chars"))
-    sinks.replace_index_partition(chunks, path, buckets=8)
+
+    def rows(chunks):
+        index = embed_chunks(chunks, M.as_scorer(M.letter_embedder(), "float"))
+        return index.select("doc_id", "chunk_index", F.length("text").alias("chars"), "embedding")
+
+    sinks.replace_index_partition(rows(chunk_documents(docs)), path, buckets=8)
     english = docs.filter("lang = 'en'")
     again = chunk_documents(english.filter("source <> 'src1'"), tokens=256, overlap=64)
-    index = sinks.replace_index_partition(
-        again.select("doc_id", "chunk_index", F.length("text").alias("chars")), path, buckets=8, documents=english)
+    index = sinks.replace_index_partition(rows(again), path, buckets=8, documents=english)
     marked = sinks.mark_indexed(docs.select("doc_id"), index)
-    counts = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"))
-    return marked.join(counts, "doc_id", "left").select("doc_id", "is_indexed", "chunks", "chars")
+    shares = F.round(F.get("embedding", M.LETTERS.index("e")).cast("double"), 4).cast("decimal(18,4)")
+    counts = index.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("chars").alias("chars"),
+                                         F.sum(shares).cast("double").alias("e"))
+    return marked.join(counts, "doc_id", "left").select("doc_id", "is_indexed", "chunks", "chars", "e")
+
+
+def _reexported(spark, results, kind, name):
+    """One table of the report that is exported again from stored results."""
+    stored, report = scratch_path(spark, "results"), scratch_path(spark, "report")
+    results.write.parquet(stored)
+    sinks.reexport(spark, stored, kind, report)
+    return spark.read.parquet(f"{report}/{name}")
+
+
+def reexported_statements(spark, sf):
+    """The transactions of a bank report, from stored results of statements."""
+    results = statements.statement_results(statements.read_text(rendered.statement_text(spark, sf)))
+    return _reexported(spark, results, "extraction_bank_statement", "transactions").drop("source_file")
+
+
+def reexported_accounts(spark, sf):
+    """The account summary of a bank report, from stored results of statements."""
+    results = statements.statement_results(statements.read_text(rendered.statement_text(spark, sf)))
+    return _reexported(spark, results, "extraction_bank_statement", "account_summary")
+
+
+def reexported_prices(spark, sf):
+    """The price table of a product report, from stored products."""
+    return _reexported(spark, P.extract_products(rendered.product_pages(spark, sf)), "scraping", "price_analysis")
+
+
+def reexported_orders(spark, sf):
+    """Results of a kind that has no report of its own: a row per field."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    return _reexported(spark, orders, "other", "output").groupBy("field", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def downloaded_leads(spark, sf):
@@ -284,7 +324,8 @@ def stream_contacts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     job_latest_state, last_n_events, job_timeouts, replay_from_cursor, job_counts, job_history, owned_jobs,
     job_submissions, new_jobs, owned_documents, labelled_documents, unlabelled_documents, file_screening, file_keys, ingested_files, unpivoted_suppliers,
-    exported_segments, stored_products, replaced_index, downloaded_leads, stream_last_events, stream_job_state,
+    reexported_statements, reexported_accounts, reexported_prices, reexported_orders, exported_segments, stored_products,
+    replaced_index, downloaded_leads, stream_last_events, stream_job_state,
     stream_throttle, stream_first_fetches, stream_late_rows, stream_lead_jobs, stream_replay, stream_leads, stream_contacts,
 )}
 
@@ -317,17 +358,21 @@ def _spaced_sql(key: str, interval: str) -> str:
 
 
 _P, _E = phone_rows_sql("documents", "doc_id", "text"), email_rows_sql("documents", "doc_id", "text")
+_TIMES = [f"(strlen(t) - strlen(replace(t, '{x}', '')))" for x in M.LETTERS]
+_SHARE = f"round(({_TIMES[M.LETTERS.index('e')]} / greatest(sqrt({' + '.join(f'{n} * {n}' for n in _TIMES)}), 1e-9))::FLOAT::DOUBLE, 4)"
+
+
 def _chunk_rows(tokens: int, overlap: int) -> str:
-    return f"SELECT * FROM (WITH {chunk_sql(tokens * 4, overlap * 4)} SELECT doc_id, length(piece) AS n FROM kept) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)"
+    return f"SELECT * FROM (WITH {chunk_sql(tokens * 4, overlap * 4)} SELECT doc_id, length(piece) AS n, {_SHARE} AS e FROM (SELECT *, translate(piece, '{M.LETTERS.upper()}', '{M.LETTERS}') AS t FROM kept)) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)"
 
 
 _TERMINAL = ", ".join(f"'{e}'" for e in fv.TERMINAL_EVENTS)
 
 ORACLES = {
-    "replaced_index": f"""WITH k AS (SELECT doc_id, n FROM ({_chunk_rows(512, 128)}) WHERE lang <> 'en'
-        UNION ALL SELECT doc_id, n FROM ({_chunk_rows(256, 64)}) WHERE lang = 'en' AND source <> 'src1'),
-        g AS (SELECT doc_id, count(*) AS chunks, sum(n)::BIGINT AS chars FROM k GROUP BY doc_id)
-      SELECT d.doc_id, g.doc_id IS NOT NULL AS is_indexed, chunks, chars FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
+    "replaced_index": f"""WITH k AS (SELECT doc_id, n, e FROM ({_chunk_rows(512, 128)}) WHERE lang <> 'en'
+        UNION ALL SELECT doc_id, n, e FROM ({_chunk_rows(256, 64)}) WHERE lang = 'en' AND source <> 'src1'),
+        g AS (SELECT doc_id, count(*) AS chunks, sum(n)::BIGINT AS chars, sum(e::DECIMAL(18,4))::DOUBLE AS e FROM k GROUP BY doc_id)
+      SELECT d.doc_id, g.doc_id IS NOT NULL AS is_indexed, chunks, chars, e FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id""",
     "job_latest_state": f"WITH {_EV} SELECT job_id, status, progress, {_SEC.format('updated_at')} AS updated_at, events FROM states",
     "last_n_events": _LAST,
     "job_timeouts": f"""WITH {_EV}, late AS (SELECT job_id, ts, event_id FROM ev JOIN agg USING (job_id) WHERE event = 'progress' AND ts > created_at + INTERVAL 900 SECOND
@@ -359,6 +404,11 @@ ORACLES = {
     "exported_segments": "SELECT c_mktsegment AS segment, count(*) AS leads FROM customer GROUP BY ALL",
     "stored_products": """SELECT 'job-' || ['amazon','flipkart','amazon','flipkart','manual','flipkart','swiggy','zomato'][p_partkey % 8 + 1] AS job_id,
         count(*) AS products FROM part GROUP BY ALL""",
+    "reexported_statements": statement_plans.ORACLES["transaction_sheet"],
+    "reexported_accounts": statement_plans.ORACLES["statement_summary"],
+    "reexported_prices": product_plans.ORACLES["price_analysis"],
+    "reexported_orders": """SELECT field, value, count(*) AS rows FROM (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_orderpriority']) AS field,
+        unnest([o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus, o_orderpriority]) AS value FROM orders) GROUP BY ALL""",
     "downloaded_leads": """SELECT c_custkey::VARCHAR AS id, c_name AS company_name, CASE WHEN c_custkey % 2 = 0 THEN '9' ELSE '8' END || lpad(c_custkey::VARCHAR, 9, '0') AS phone,
         least(round((c_custkey % 11) / 8.0, 3), 1.0)::DOUBLE AS confidence_score FROM customer""",
     "stream_last_events": _LAST,

@@ -480,8 +480,9 @@ def statement_text(spark: SparkSession, sf: str) -> DataFrame:
     )
     d = F.col("doc_id")
     bank = F.element_at(
-        F.lit(["HDFC BANK LIMITED", "State Bank of India", "Axis Bank Ltd", "Some Cooperative", "Bank Asia"]),
-        (d % 5 + 1).cast("int"),
+        F.lit(["HDFC BANK LIMITED", "State Bank of India", "Axis Bank Ltd", "Some Cooperative", "Bank Asia", "ICICI Bank",
+               "Kotak Mahindra Bank", "Canara Bank"]),
+        (d % 8 + 1).cast("int"),
     )
     text = F.concat(
         bank, F.lit("\nAccount No: "), F.lpad(d.cast("string"), 10, "0"),
