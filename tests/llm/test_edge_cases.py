@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing column names, for every operator."""
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,22 @@ def test_decontamination(spark, odd, none, items):
     assert decontam.leaks(both, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline(spark, odd, none, items, tmp_path, empty):
+    """Stages up to the mix keep one row of each group with its own columns; the mix may repeat or leave out a row."""
+    (none if empty else odd).write.parquet(f"{tmp_path}/documents.parquet")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id or 0 for r in docs.collect()) == ([] if empty else [0, 1, 6])
+    assert docs.columns == (none if empty else odd).columns
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} <= {None, 1, 6} and bool(rows) != empty
+    for shard in {r.shard for r in rows}:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
 def test_mix(odd, none):
     rows = mix.decide(odd, mix.word_count(odd["text"])).collect()
     assert sum(r.n_rows for r in rows) == 10 and all(r.copies <= 3 for r in rows)
