@@ -2,6 +2,10 @@
 
 Each stage takes what the one before kept and is written as Parquet in the shared checkpoint folder in between, so a
 lost executor repeats at most one stage.
+
+Defined results: null, empty and short texts fail the quality rules; null ids and null sources are kept like others; of
+repeated rows and copies one stays, until the mix takes a document more than once; very long texts are read whole; an
+empty table gives an empty result; columns named like ours are kept up to the last stage, whose own replace them.
 """
 
 from __future__ import annotations
