@@ -37,10 +37,10 @@ EVENT = "job_id bigint, event_id bigint, ts timestamp, event string, progress in
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 100) -> DataFrame:
-    """Files of one table as they arrive."""
+    """Files of one table as they arrive; a table is files in the folder, or a folder of files."""
     return (
         spark.readStream.schema(SCHEMAS[table]).option("maxFilesPerTrigger", files_per_trigger)
-        .option("pathGlobFilter", f"{table}*.parquet").parquet(folder)
+        .parquet(f"{folder.rstrip('/')}/{table}*.parquet")
     )
 
 

@@ -277,3 +277,11 @@ def test_a_replay_stopped_and_resumed_equals_one_run(spark, tmp_path):
     assert told[0] == told[1] == [
         (1, 0, 0, "progress"), (1, 0, 3, "progress"), (1, 0, 6, "complete"), (1, 1, 6, "complete"),
         (2, 0, 1, "progress"), (2, 0, 1, "timeout"), (4, 0, 7, "progress")]
+
+
+def test_streams_read_tables_that_are_folders_of_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "call 9876543210"), (2, "write to desk@firm.in")], "doc_id bigint, text string")
+    rows.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.limit(0).write.parquet(str(tmp_path / "pages.parquet"))
+    found = S.run_to_table(S.ingest_contacts(S.read_stream(spark, str(tmp_path), "documents")), "contacts")
+    assert sorted((r["doc_id"], r["value"]) for r in found.collect()) == [(1, "9876543210"), (2, "desk@firm.in")]
