@@ -285,3 +285,8 @@ def test_streams_read_tables_that_are_folders_of_files(spark, tmp_path):
     rows.limit(0).write.parquet(str(tmp_path / "pages.parquet"))
     found = S.run_to_table(S.ingest_contacts(S.read_stream(spark, str(tmp_path), "documents")), "contacts")
     assert sorted((r["doc_id"], r["value"]) for r in found.collect()) == [(1, "9876543210"), (2, "desk@firm.in")]
+
+
+def test_texts_of_short_rows_are_rendered_in_many_tasks(spark, sf):
+    for pages in (rendered.listing_pages, rendered.heading_pages, rendered.contact_pages, rendered.product_pages):
+        assert pages(spark, sf).select(F.spark_partition_id()).distinct().count() == 4
