@@ -138,3 +138,13 @@ def test_the_fit_is_at_the_optimum_of_its_penalised_likelihood(spark):
     p /= p.sum(1, keepdims=True)
     gap = p - np.eye(classes)[y]
     assert np.abs(gap.T @ x / len(y) + w / len(y)).max() < 1e-3 and np.abs(gap.mean(0)).max() < 1e-3
+
+
+def test_regions_without_their_words_have_the_same_counts(spark):
+    rows = [(d, 0, r, "text", "paddle", i, t, 0.5 + 0.1 * r, 0.0, 0.0, 0.1, 0.1)
+            for d, r, i, t in ((1, 0, 0, "one"), (1, 0, 1, " "), (1, 0, 2, "three"), (1, 1, 0, " "), (2, 0, 0, None), (2, 1, 0, "é"))]
+    words = spark.createDataFrame(rows, "doc_id bigint, page int, region int, region_type string, engine string, word_idx int, text string, "
+                                        "confidence double, x double, y double, width double, height double")
+    whole, counts = [O.region_rollup(O.select_engine(O.engine_regions(words, w))) for w in (True, False)]
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, whole.select(*counts.columns).collect()))
+    assert "collect_list(struct(word_idx" not in counts._jdf.queryExecution().optimizedPlan().toString()
