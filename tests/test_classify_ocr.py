@@ -148,3 +148,27 @@ def test_regions_without_their_words_have_the_same_counts(spark):
     whole, counts = [O.region_rollup(O.select_engine(O.engine_regions(words, w))) for w in (True, False)]
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, whole.select(*counts.columns).collect()))
     assert "collect_list(struct(word_idx" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_packed_where_they_are_read_and_put_in_order_afterwards(spark):
+    """Regions in pieces, equal keys in two documents, blank and missing values; texts keep two fields of a word."""
+    rows = [(d, 0, r, "text", e, i, f"{e[0]}{i}" if i % 7 else (" " if i else None), None if i == 3 else c + i / 1e6, i / 8, 0.0, 0.1, 0.1)
+            for d in (1, 1, None) for r in (0, 1) for e, c in (("paddle", 0.5), ("easyocr", 0.6), ("tesseract", 0.9 - r / 2)) for i in range(40)]
+    words = spark.createDataFrame(rows, "doc_id bigint, page int, region int, region_type string, engine string, word_idx int, text string, "
+                                        "confidence double, x double, y double, width double, height double").repartition(3)
+    packed = O.pack_words(words)
+    assert packed.count() <= 3 * 12 and packed.select(F.sum(F.size("word_idx"))).first()[0] == len(rows)
+    assert "mapinarrow" in O.engine_regions(words)._jdf.queryExecution().optimizedPlan().toString().lower()
+    chosen = O.select_engine(O.engine_regions(words))
+    got = {(r.doc_id, r.region): r for r in chosen.collect()}
+    assert set(got) == {(1, 0), (1, 1), (None, 0), (None, 1)}
+    for (d, region), r in got.items():
+        engine, c = ("tesseract", 0.9) if region == 0 else ("easyocr", 0.6)
+        mine = [x for x in rows if x[0] == d and x[2] == region and x[4] == engine]
+        assert r.engine == engine and abs(r.confidence - sum(x[7] for x in mine if x[7]) / (len(mine) * 39 / 40)) < 1e-12
+        low = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
+        assert [tuple(w) for w in r.words] == sorted((x[5:] for x in mine), key=low)
+    texts = O.region_rollup(O.select_engine(O.engine_regions(words, fields=("word_idx", "text"))))
+    whole = O.region_rollup(chosen)
+    columns = [c for c in texts.columns if c != "words"]
+    assert sorted(map(str, texts.select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
