@@ -157,3 +157,17 @@ def test_refused_requests_and_blocked_pages_come_with_a_reason(spark):
     pages = spark.createDataFrame([(1, None), (2, "x" * 5000), (3, "b_results" * 600), (4, "b_results")], "page_id long, html string")
     assert {(r.page_id, r.reason) for r in L.blocked_pages(pages).collect()} == {(1, "short page"), (2, "no result list"), (4, "short page")}
     assert [r.page_id for r in L.reject_bot_pages(pages).collect()] == [3]
+
+
+def test_trees_are_made_a_slice_of_pages_at_a_time():
+    """A batch of rows may hold any number of long pages; their trees are not all held at once."""
+    import pyarrow as pa
+
+    from papertrawl.functions import dom as D
+
+    pages = [f"<p>{'x' * 3000} {i}</p>" for i in range(1000)] + [None, "", "<b>last</b>"]
+    parts = list(D.parse_dom.func(iter([pa.array(pages, pa.string()), pa.array([], pa.string())])))
+    trees = pa.concat_arrays(parts).to_pylist()
+    assert len(parts) > 5 and len(trees) == len(pages)
+    assert [t["strings"][0]["text"].split()[-1] for t in trees[:1000]] == [str(i) for i in range(1000)]
+    assert [t["strings"] for t in trees[1000:1002]] == [[], []] and trees[-1]["strings"][0]["text"] == "last"
