@@ -1,5 +1,8 @@
 """Classification and OCR choices."""
 
+import math
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +121,34 @@ def test_statistics_cover_every_term(spark):
     assert all(r["n"] == 599 and abs(r["s"] - 1) < 1e-9 for r in per_doc) and len(per_doc) == 40
 
 
+#: Odd rows: no text, no words, a key twice, no key, other scripts, letters that not every Unicode version has.
+ODD_TEXTS = [(1, "An old Stone, an old stone. A b c"), (1, "old stone"), (2, None), (3, " . a "), (None, "stone_1 OLD stone"), (None, "new"),
+             (4, "Größe “größe” – İstanbul ΣΟΦΟΣ"), (5, "\u4e2d\u6587 \u0870\u0871x \u216b\u0664 \U00020000\U00020001 z\u0301z"), (6, "x" * 50 + " old")]
+
+
+def _odd_texts(spark, monkeypatch):
+    monkeypatch.setattr(C, "BYTES_AT_ONCE", 40)
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id bigint, text string").coalesce(1)
+    rows = [(i, r.doc_id, t) for i, r in enumerate(docs.select("doc_id", C.terms_of("text").alias("t")).collect()) for t in r.t or []]
+    return docs, Counter(rows)
+
+
+def test_terms_are_counted_without_a_row_per_term(spark, monkeypatch):
+    docs, want = _odd_texts(spark, monkeypatch)
+    counts = C.term_counts_in_row(docs, "text", "doc_id")
+    assert Counter((r.doc_id, r.term, r.tf) for r in counts.collect()) == Counter((k, t, n) for (_, k, t), n in want.items())
+    tf, df = Counter(), Counter()
+    for (_, _, t), n in want.items():
+        tf[t] += n
+        df[t] += 1
+    table = C.idf_table(docs)
+    got = table.collect()
+    assert {r.term: (r.tf, r.df) for r in got} == {t: (tf[t], df[t]) for t in tf} and len(got) == len(tf)
+    assert all(r.idf == pytest.approx(math.log((1 + len(ODD_TEXTS)) / (1 + r.df)) + 1, rel=1e-12) for r in got)
+    plan = table._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInArrow" in plan and "hashpartitioning(term#" not in plan
+
+
 def test_the_fit_is_at_the_optimum_of_its_penalised_likelihood(spark):
     """The gradient of mean loss plus penalty vanishes at the trained weights, and features equal the relational ones."""
     import numpy as np
