@@ -149,6 +149,22 @@ def test_terms_are_counted_without_a_row_per_term(spark, monkeypatch):
     assert "FlatMapGroupsInArrow" in plan and "hashpartitioning(term#" not in plan
 
 
+def test_weights_are_joined_by_groups_of_terms(spark, monkeypatch):
+    docs, want = _odd_texts(spark, monkeypatch)
+    idf = C.idf_table(docs).filter("term != 'stone'").unionByName(spark.sql("SELECT 'nowhere' AS term, 1L AS tf, 1L AS df, 1D AS idf"))
+    known = {r.term: r.idf for r in idf.collect()}
+    x = [(k, t, (1 + math.log(n)) * known[t]) for (_, k, t), n in want.items() if t in known]
+    length = Counter()
+    for k, _, w in x:
+        length[k] += w * w
+    features = C.tfidf_features(docs, idf)
+    got = sorted(((str(r.doc_id), r.term, r.weight) for r in features.collect()))
+    expected = sorted((str(k), t, w / math.sqrt(length[k])) for k, t, w in x)
+    assert [r[:2] for r in got] == [r[:2] for r in expected] and [r[2] for r in got] == pytest.approx([r[2] for r in expected], rel=1e-9)
+    plan = features._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan and "Join" not in plan.partition("== Physical Plan ==")[2]
+
+
 def test_the_fit_is_at_the_optimum_of_its_penalised_likelihood(spark):
     """The gradient of mean loss plus penalty vanishes at the trained weights, and features equal the relational ones."""
     import numpy as np
