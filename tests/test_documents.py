@@ -1,5 +1,8 @@
 """Invoices and statements on small texts."""
 
+from pyspark.sql import functions as F
+
+from papertrawl import fixed_values as fv
 from papertrawl.operators import invoices as I
 from papertrawl.operators import statements as S
 
@@ -144,3 +147,18 @@ def test_short_and_header_rows(spark):
     head = S.read_rows(df).first()
     assert (head["account_no"], head["opening_balance"], head["closing_balance"]) == ("12345678", "9.00", "7.00")
     assert (head["total_debit"], head["total_credit"]) == ("1000.5", "7.0")
+
+
+def test_items_are_found_on_the_same_lines_as_by_the_plain_pattern(spark):
+    texts = ["Blue pen ₹5 each ₹10\nno price here\nRed pen \n ₹5 x ₹6\nshort ₹1 ₹2", "Long name\n\n₹3 of\n₹4", "a b c d e ₹1,200.50 x ₹2,400 \n \nNext item ₹1 ₹2 tail",
+             "plain\n" * 5 + "Pen, box\u00a0₹2 ₹3", "₹", "no sign", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = df.select(F.regexp_extract_all("text", F.lit(fv.GENERIC_ITEM), F.lit(0)).alias("a"), F.regexp_extract_all("text", F.lit(I.ITEM_LINE), F.lit(0)).alias("b")).collect()
+    assert all(r.a == r.b for r in rows) and sum(len(r.a or []) for r in rows) >= 4
+
+
+def test_brand_words_and_percent_signs_decide_nothing_but_speed(spark):
+    text = "Invoice No. AB12\nGST 18%\nBlue pen ₹5 each ₹10\nA b  c item ₹1,000.5 each ₹2\nGrand Total: ₹10\n"
+    row = I.read_invoices(spark.createDataFrame([(1, text), (2, text.replace("%", ""))], "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r.rate for r in row] == ["18", None]
+    assert [tuple(i)[:4] for i in row[0]["items"]] == [("Blue pen", 1.0, 5.0, 10.0), ("A b  c item", 1.0, 1000.5, 2.0)]
