@@ -219,3 +219,28 @@ def test_words_are_packed_where_they_are_read_and_put_in_order_afterwards(spark)
     whole = O.region_rollup(chosen)
     columns = [c for c in texts.columns if c != "words"]
     assert sorted(map(str, texts.select(*columns).collect())) == sorted(map(str, whole.select(*columns).collect()))
+
+
+def test_sums_of_confidences_are_exact(spark):
+    values = [0.1, 0.7, 0.8450005, 0.1234565, -0.0000005, 0.0, None, 999.999999, 1000.0000005, 123456789.1234567, 1e-9, 0.30000000000000004]
+    df = spark.createDataFrame([(i % 3, v) for i, v in enumerate(values * 3)] + [(7, None)], "k int, v double")
+    total, n = O.exact_sum(F.col("v"))
+    plain = F.col("v").cast("decimal(18,6)")
+    rows = df.groupBy("k").agg(total.alias("a"), F.sum(plain).alias("b"), n.alias("n"), F.count(plain).alias("m")).collect()
+    assert len(rows) == 4 and all((r.a, r.n) == (r.b, r.m) for r in rows)
+
+
+def test_more_engines_shuffle_counts(spark, sf):
+    from papertrawl import plans
+
+    plan = plans.queries()["ocr_more_engines"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "collect_list(struct(word_idx" not in plan
+
+
+def test_characters_of_odd_words(spark):
+    words = ["a", "!", "~x", "\x7f", " ", " ", " b", "é", "", "\t\n", "₹5"]
+    df = spark.createDataFrame([(1, 0, 0, "text", i, w, "paddle", 0.5) for i, w in enumerate(words)],
+                               "doc_id int, page int, region int, region_type string, word_idx int, text string, engine string, confidence double")
+    plain = O.region_rollup(O.select_engine(O.engine_regions(df, True, ("word_idx", "text")))).first()
+    counts = O.region_rollup(O.select_engine(O.engine_regions(df, False))).first()
+    assert (counts.tokens, counts.characters, counts.confidence) == (plain.tokens, plain.characters, plain.confidence)
